@@ -1,0 +1 @@
+"""operators of the engine; see the README for the inventory."""
