@@ -57,24 +57,28 @@ def chosen_paths(messages: DataFrame, branches: int = 1, max_rounds: int = 40) -
     slim = messages.select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")).where("conv_id is not null and msg_id is not null")
     ids = slim.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("there"))
     first = slim.join(ids.distinct(), ["conv_id", "parent_id"], "left").select("conv_id", "msg_id", F.when(F.col("there"), F.col("parent_id")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))
-    jumps = [scratch.write(first.dropDuplicates(["conv_id", "msg_id"]), "jump-0")]
+    state = scratch.write(first.dropDuplicates(["conv_id", "msg_id"]), "jump-0")
+    done, active = state.where("up is null"), state.where("up is not null")
+    jumps = [active]
     for k in range(1, max_rounds + 1):
-        last = jumps[-1]
-        if not last.where("up is not null").limit(1).count():
+        if not active.limit(1).count():
             break
-        above = last.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        both = last.join(above, ["conv_id", "up"], "left")
-        jumps.append(scratch.write(both.select("conv_id", "msg_id", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), f"jump-{k}"))
+        # Only messages still on their way join again; the rows made in all rounds stay near the messages' number.
+        known = done.unionByName(active).select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
+        both = active.join(known, ["conv_id", "up"])
+        state = scratch.write(both.select("conv_id", "msg_id", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps")), f"jump-{k}")
+        done, active = done.unionByName(state.where("up is null")), state.where("up is not null")
+        jumps.append(active)
     else:
         raise ValueError("the reply tree has a cycle")
-    total = jumps[-1]
-    parents = jumps[0].where("up is not null").select("conv_id", F.col("up").alias("msg_id")).distinct()
+    total = done
+    parents = jumps[0].select("conv_id", F.col("up").alias("msg_id")).distinct()
     leaves = total.join(parents, ["conv_id", "msg_id"], "left_anti")
     rank = W.partitionBy("conv_id").orderBy(F.desc("sum"), F.desc("steps"), "msg_id")
     best = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= branches)
     on = best.select("conv_id", "path", "msg_id", F.col("steps").alias("place"))
     for k in range(len(jumps) - 2, -1, -1):  # every distance below 2^k+1 is a sum of powers of two
-        up = jumps[k].where("up is not null").select("conv_id", "msg_id", "up")
+        up = jumps[k].select("conv_id", "msg_id", "up")
         more = on.join(up, ["conv_id", "msg_id"]).select("conv_id", "path", F.col("up").alias("msg_id"), (F.col("place") - 2**k).alias("place"))
         on = scratch.write(on.unionByName(more), f"on-{k}")
     return on

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, langid, quality, rules, toxicity
+from orrery.llm import chat, decontam, langid, mixing, quality, rules, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, _ = mixing.mix(_t(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(_t(spark, sf_dir, "documents"))
 
@@ -49,13 +58,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
+    "op7_mix_sources": op7_mix_sources,
     "op9_chat_format": op9_chat_format,
 }
 
 _CONTROL = r"(\|im_start\||\|im_end\||\|endoftext\||\|system\||\|user\||\|assistant\||/?s>|<SYS>>|</SYS>>|/?INST\])"
 
 ORACLE: dict[str, str] = {
+    "op5_decontaminate": r"""
+with d as materialized (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select cast(item_id as varchar) as item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where item_id is not null
+), bw as materialized (
+  select distinct item, least(13, len(w)) as k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as win
+  from (select item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as i from b where len(w) > 0)
+), sizes as (select distinct k from bw
+), dw as (
+  select rid, k, i, array_to_string(w[i:i + k - 1], ' ') as win
+  from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes where len(w) >= k)
+), hit as materialized (select rid, dw.k, i, item from dw join bw on dw.k = bw.k and dw.win = bw.win
+), cov as (select rid, count(*) as n_hit from (select distinct rid, unnest(range(i, i + k)) as p from hit) group by rid
+), items as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct rid, item from hit) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join cov using (rid) left join items using (rid)
+""",
     "op9_chat_format": rf"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
