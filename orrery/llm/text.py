@@ -92,6 +92,7 @@ class Hashes:
     """Hashes of any span of a code array; zeros inside a span count as gaps, not as text."""
 
     def __init__(self, codes: np.ndarray):
+        self.codes = codes
         self.power, self.inverse = powers(len(codes) + 1)
         self.prefix = np.zeros(len(codes) + 1, U)
         np.cumsum(codes.astype(U) * self.power[: len(codes)], out=self.prefix[1:])
