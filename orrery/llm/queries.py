@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, decontam, langid, lines, minhash, mixing, quality, rules, toxicity
+from orrery.llm import chat, decontam, langid, lines, minhash, mixing, quality, rules, suffix, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(_t(spark, sf_dir, "documents"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_t(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
     "op7_mix_sources": op7_mix_sources,
+    "op8_repeated_substrings": op8_repeated_substrings,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
 }
