@@ -87,17 +87,24 @@ def _mined(own: list[np.ndarray], label: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def scored(documents: DataFrame, features: Features, weights: np.ndarray, bias: float, held_out: Column) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; whole texts; null counts as empty."""
+def scored(documents: DataFrame, features: Features, weights: np.ndarray, bias: float, held_out: Column, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; whole texts; null counts as empty.
+
+    carry: give the whole row too, as a struct `own`, so that a filter on the score needs no join.
+    """
     spark = documents.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((weights, bias))  # DIM floats, whatever the corpus
+    names = ["doc_id", "held_out", *["own"] * carry]
+    extra = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")] * carry
+    rows = documents.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").alias("body"), *extra)
 
     def run(batches):
         w, b = shared.value
         for batch in batches:
-            for i, j, c in chunks(batch.column("text")):
+            for i, j, c in chunks(batch.column("body")):
                 s = linear.score(*features(c), c.n, w, b)
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                yield pa.record_batch([*(batch.column(x).slice(i, j - i) for x in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    schema = rows.drop("body").schema.add("score", "double").add("predicted", "int")
+    return rows.mapInArrow(run, schema)

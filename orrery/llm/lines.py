@@ -123,7 +123,7 @@ def _verified(rows: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: fl
                 new[1:] = (sh[1:] != sh[:-1]) | (line[1:] != line[:-1])
                 yield pa.record_batch([pa.array([x for _, x in chosen], pa.int64()), list_array(sh[new].view(np.int64), np.bincount(line[new], minlength=len(at)), pa.int64())], names=["h1", "shingles"])
 
-    sets = rows.join(wanted, "row").mapInArrow(run, "h1 long, shingles array<long>")
+    sets = rows.select("row", "text").dropDuplicates(["row"]).join(wanted, "row").mapInArrow(run, "h1 long, shingles array<long>")
     sets = Scratch(rows.sparkSession, "line-sets").write(sets, "sets")
     own = sets.select(F.col("h1").alias("a"), F.col("shingles").alias("sa"))
     other = sets.select(F.col("h1").alias("b"), F.col("shingles").alias("sb"))
@@ -163,10 +163,11 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Removed lines go with their newline. Every row stays, also where nothing of its text is left.
     """
-    rows, drops = removed_lines(documents, threshold)
-    lines = F.split("text", "\n")
-    cut = rows.join(drops, "row", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    n = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = cut.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")).withColumn("n_removed", F.size("drop").cast("long"))
-    return out.withColumn("text", F.when(F.size("drop") > 0, kept).otherwise(F.col("text"))).drop("row", "drop")
+    slim = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"))
+    rows, drops = removed_lines(slim, threshold)
+    cut = rows.join(drops, "row", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    text = F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text"))
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed")]
+    return cut.select(*[text.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in documents.columns], *counts)
