@@ -106,5 +106,5 @@ def scored(documents: DataFrame, features: Features, weights: np.ndarray, bias:
                 s = linear.score(*features(c), c.n, w, b)
                 yield pa.record_batch([*(batch.column(x).slice(i, j - i) for x in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    schema = rows.drop("body").schema.add("score", "double").add("predicted", "int")
+    schema = rows.drop("body").schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(run, schema)

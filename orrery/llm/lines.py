@@ -163,7 +163,7 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Removed lines go with their newline. Every row stays, also where nothing of its text is left.
     """
-    slim = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"))
+    slim = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("own"))
     rows, drops = removed_lines(slim, threshold)
     cut = rows.join(drops, "row", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
