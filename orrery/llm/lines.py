@@ -102,7 +102,7 @@ def line_table(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "row", "text").mapInArrow(run, _LINES)
 
 
-def _verified(rows: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _verified(rows: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of line hashes whose exact shingle sets reach the threshold."""
     involved = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b"))).distinct()
     one = lines.where("size(keys) > 0").join(involved, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"))
@@ -124,7 +124,8 @@ def _verified(rows: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: fl
                 yield pa.record_batch([pa.array([x for _, x in chosen], pa.int64()), list_array(sh[new].view(np.int64), np.bincount(line[new], minlength=len(at)), pa.int64())], names=["h1", "shingles"])
 
     sets = rows.select("row", "text").dropDuplicates(["row"]).join(wanted, "row").mapInArrow(run, "h1 long, shingles array<long>")
-    sets = Scratch(rows.sparkSession, "line-sets").write(sets, "sets")
+    sets = scratch.write(sets, "sets")
+    scratch.release()
     own = sets.select(F.col("h1").alias("a"), F.col("shingles").alias("sa"))
     other = sets.select(F.col("h1").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(own, "a").join(other, "b").where(F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")))
@@ -142,7 +143,9 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFra
     least = banded.groupBy("key").agg(F.min("h1").alias("center"), F.max("h1").alias("far")).where("center <> far").select("key", "center")
     pairs = scratch.write(banded.join(least, "key").where("h1 <> center").select(F.col("center").alias("a"), F.col("h1").alias("b")).distinct(), "pairs")
     scratch.release()
-    links = scratch.write(_verified(rows, lines, pairs, threshold), "links")
+    links = scratch.write(_verified(rows, lines, pairs, threshold, scratch), "links")
+    scratch.drop("sets")
+    scratch.drop("pairs")
     scratch.release()
     comps = connected_components(links).withColumnRenamed("id", "h1")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row", "line")
@@ -154,7 +157,11 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFra
     best = named.groupBy("component", "h").agg(F.min("first").alias("keep"))
     keep = scratch.write(named.join(best, ["component", "h"]).select("h1", "h2", "keep"), "keep")
     gone = lines.withColumn("place", place).join(keep, ["h1", "h2"]).where(F.col("place") > F.col("keep"))
+    scratch.release()
     drops = scratch.write(gone.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
+    scratch.drop("lines")
+    scratch.drop("keep")
+    scratch.release()
     return rows, drops
 
 

@@ -250,17 +250,15 @@ def _index_groups(group: np.ndarray, order: list, data: list[bytes]) -> list[np.
     cls = index.classes(LENGTH)
     spot = np.flatnonzero(cls >= 0)
     seg = np.searchsorted(index.start, spot, "right") - 1
-    # Order of a window: its segment's place in order of (doc, row), then its position there.
-    rank = np.lexsort((spot - index.start[seg] + np.array([o[2] for o in order])[seg], np.array([o[1] for o in order])[seg], np.array([o[0] for o in order])[seg]))
-    place = np.empty(len(spot), np.int64)
-    keys = np.stack([np.array([o[0] for o in order])[seg], np.array([o[1] for o in order])[seg], spot - index.start[seg] + np.array([o[2] for o in order])[seg]])[:, rank]
-    place[rank] = np.cumsum(np.concatenate(([0], (keys[:, 1:] != keys[:, :-1]).any(0)))) if len(spot) else 0
+    # Order of a window: its text's place in order of (doc, row), then its position there.
+    own = np.array(order, np.int64).reshape(-1, 3)
+    text = np.unique(own[:, :2], axis=0, return_inverse=True)[1].ravel() if len(own) else np.zeros(0, np.int64)
+    place = (text[seg] << 32) + (spot - index.start[seg] + own[seg, 2])
     first = np.full(int(cls.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, cls[spot], place)
-    gone = place > first[cls[spot]]
-    out = [np.zeros(max(0, len(d) - LENGTH + 1), bool) for d in data]
-    for k in np.unique(seg[gone]):
-        out[k][(spot - index.start[seg])[gone & (seg == k)]] = True
+    flat = np.zeros(len(cls) + 1, bool)
+    flat[spot] = place > first[cls[spot]]
+    out = [flat[s : s + max(0, len(d) - LENGTH + 1)].copy() for s, d in zip(index.start.tolist(), data, strict=True)]
     return out, index
 
 
