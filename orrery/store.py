@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +55,4 @@ class Scratch:
         """Let Spark's cleaner remove the shuffle files of plans that are done with."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside
