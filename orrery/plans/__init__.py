@@ -1 +1,9 @@
-"""plans of the engine; see the README for the inventory."""
+"""Plans bound to the test tables: one query for each operator, with its SQL."""
+
+import importlib
+
+CORE_QUERIES, CORE_ORACLE = {}, {}
+for _name in ("graph_queries", "analysis_queries", "extract_queries"):
+    _module = importlib.import_module(f"orrery.plans.{_name}")
+    CORE_QUERIES |= _module.QUERIES
+    CORE_ORACLE |= _module.ORACLE
