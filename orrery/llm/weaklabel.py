@@ -34,15 +34,14 @@ class LabelModel:
         if not n or not m:
             self.prior, self.tables = prior, np.zeros((m, 2, OUTCOMES, OUTCOMES))
             return post
-        for stage in range(2):
-            for _ in range(self.rounds):
-                self._maximise(votes, post)
-                new = self.posterior(votes, labels)
-                moved, post = np.abs(new - post).max(), new
-                if moved < 1e-4:
-                    break
-            if stage == 0:
-                self.parent = self._forest(votes, post)
+        # The forest comes first: started without it, EM takes a block of copied voters for the class itself.
+        self.parent = self._forest(votes, post)
+        for _ in range(self.rounds):
+            self._maximise(votes, post)
+            new = self.posterior(votes, labels)
+            moved, post = np.abs(new - post).max(), new
+            if moved < 1e-4:
+                break
         return post
 
     def _maximise(self, votes: np.ndarray, post: np.ndarray) -> None:
