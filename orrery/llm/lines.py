@@ -116,21 +116,41 @@ def _verified(rows: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: fl
                 want = batch.column("wanted").slice(i, j - i).to_pylist()
                 chosen = [(place[t, w["line"]], w["h1"]) for t, ws in enumerate(want) for w in ws if (t, w["line"]) in place]
                 at = np.array([x for x, _ in chosen], np.int64)
-                sh, line = shingle_table(s[at], e[at], h)
-                order = np.lexsort((sh, line))
-                sh, line = sh[order], line[order]
-                new = np.ones(len(sh), bool)
-                new[1:] = (sh[1:] != sh[:-1]) | (line[1:] != line[:-1])
-                yield pa.record_batch([pa.array([x for _, x in chosen], pa.int64()), list_array(sh[new].view(np.int64), np.bincount(line[new], minlength=len(at)), pa.int64())], names=["h1", "shingles"])
-
-    sets = rows.select("row", "text").dropDuplicates(["row"]).join(wanted, "row").mapInArrow(run, "h1 long, shingles array<long>")
-    sets = scratch.write(sets, "sets")
+                raw = c.data.tobytes()
+                yield pa.record_batch([pa.array([x for _, x in chosen], pa.int64()), pa.array([raw[s[k] : e[k]].decode() for k in at], pa.string())], names=["h1", "body"])
+
+    bodies = rows.select("row", "text").join(wanted, "row").mapInArrow(run, "h1 long, body string").dropDuplicates(["h1"])
+    bodies = scratch.write(bodies, "sets")
     scratch.release()
-    own = sets.select(F.col("h1").alias("a"), F.col("shingles").alias("sa"))
-    other = sets.select(F.col("h1").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(own, "a").join(other, "b").where(F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    both = pairs.join(bodies.select(F.col("h1").alias("a"), F.col("body").alias("ta")), "a").join(bodies.select(F.col("h1").alias("b"), F.col("body").alias("tb")), "b")
+
+    def similar(batches):
+        for batch in batches:
+            parts = [_distinct_shingles(batch.column(x)) for x in ("ta", "tb")]
+            sizes = [np.bincount(p, minlength=batch.num_rows) for p, _ in parts]
+            pair, sh = np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts])
+            order = np.lexsort((sh, pair))
+            pair, sh = pair[order], sh[order]
+            common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (sh[1:] == sh[:-1])], minlength=batch.num_rows)
+            ok = common >= threshold * (sizes[0] + sizes[1] - common)
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    return both.mapInArrow(similar, "a long, b long").distinct()
+
+
+def _distinct_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of a column of single lines."""
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for i, _, c in chunks(column):
+        s, e, text, _, h = line_spans(c)
+        sh, line = shingle_table(s, e, h)
+        order = np.lexsort((sh, line))
+        sh, line = sh[order], line[order]
+        new = np.ones(len(sh), bool)
+        new[1:] = (sh[1:] != sh[:-1]) | (line[1:] != line[:-1])
+        rows.append(i + text[line[new]])
+        hashes.append(sh[new])
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 def removed_lines(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
