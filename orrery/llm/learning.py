@@ -51,7 +51,7 @@ def train(rows: DataFrame, features: Features, votes: Votes, mined: int = 0, l1:
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     got = got.take(pa.array(order))
     label = got.column("label").to_numpy()
-    own = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in got.column("features")]
+    own = [np.asarray(x.values, np.int32) for x in got.column("features")]
     n = len(label)
     width = len(got.column("votes")[0]) if n else 0
     v = np.array(got.column("votes").combine_chunks().flatten(), np.int64).reshape(n, width) if n else np.zeros((0, 0), np.int64)

@@ -23,10 +23,10 @@ def fit(rows: list[np.ndarray], soft: np.ndarray, keep: int = 4096, least_rows:
     n = len(rows)
     prior = float((soft.sum() + 0.5) / (n + 1)) if n else 0.5
     bias = float(np.log(prior / (1 - prior)))
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
+    flat = np.concatenate(rows).astype(np.int32) if n else np.zeros(0, np.int32)
     if not len(flat):
         return weights, bias
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=DIM).astype(float)
     good = np.bincount(flat, weights=soft[row], minlength=DIM)
     expect = seen * prior

@@ -65,7 +65,7 @@ def votes(c: Chunk, texts: list) -> np.ndarray:
     return out
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, labelled: int = 12000, unlabelled: int = 2000, mined: int = 64, carry: bool = False) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, labelled: int = 8000, unlabelled: int = 1500, mined: int = 64, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; see the module for the method.
 
     carry: add the document's row as a struct `own`. labelled, unlabelled: the most sample rows that teach; ids with crc32(doc_id) mod 5 = 0 never do.
