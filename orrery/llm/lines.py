@@ -5,8 +5,9 @@ hashed once each into one of 48 bins, the least hash of a bin being its coordina
 an empty bin borrows its right neighbour's value, mixed with the distance). Bands of 4 coordinates, 12
 of them, miss a pair of similarity 0.8 with probability 2e-3, of 0.9 with 2e-5. Every member of a
 band bucket is paired with the bucket's least line; exact Jaccard over shingle sets verifies each pair. Verified
-pairs join into components by a distributed union-find, and the first line of each, by (doc_id,
-line number), stays.
+pairs join into components by a distributed union-find. Where a bucket still holds several components, its members
+meet one another by dart signatures, in blocks of bounded size, and likely pairs are verified too; the signatures miss a
+pair right at 0.8 with probability 3e-4. The first line of each component, by (doc_id, line number), stays.
 
 Equal lines (128 bits of hash) are one member from the start. A line of fewer than `Q` bytes has one shingle: itself. Null texts
 have no lines; lines without a word are never removed. Repeated rows are documents of their own;
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.minhash import across, dart_signatures, open_rows
 from orrery.llm.text import PLAIN, SPACED, Chunk, Hashes, U, chunks, list_array, mix, small_batches, spans
 from orrery.operators.components import connected_components
 from orrery.store import Scratch
 
 Q, BINS, ROWS = 8, 48, 4
+#: Coordinates of the signatures by which open buckets are screened, and how far below the threshold the screen is (3.4 standard deviations).
+DARTS, SCREEN = 64, 0.17
 #: Another value for each byte, for a second, independent hash of a line.
 _SCATTER = mix(np.arange(257, dtype=U) + U(77))
 _SCATTER[0] = 0
@@ -102,8 +106,8 @@ def line_table(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "row", "text").mapInArrow(run, _LINES)
 
 
-def _verified(rows: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of line hashes whose exact shingle sets reach the threshold."""
+def _bodies(rows: DataFrame, lines: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h1, body): the text of every line that is in a pair, written as "sets"."""
     involved = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b"))).distinct()
     one = lines.where("size(keys) > 0").join(involved, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"))
     wanted = one.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h1")).alias("wanted"))
@@ -122,6 +126,11 @@ def _verified(rows: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: fl
     bodies = rows.select("row", "text").join(wanted, "row").mapInArrow(run, "h1 long, body string").dropDuplicates(["h1"])
     bodies = scratch.write(bodies, "sets")
     scratch.release()
+    return bodies
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of line hashes whose exact shingle sets reach the threshold."""
     both = pairs.join(bodies.select(F.col("h1").alias("a"), F.col("body").alias("ta")), "a").join(bodies.select(F.col("h1").alias("b"), F.col("body").alias("tb")), "b")
 
     def similar(batches):
@@ -153,7 +162,19 @@ def _distinct_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def removed_lines(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def _darts(bodies: DataFrame) -> DataFrame:
+    """(member, coarse): a dart signature of each line's shingle set, one byte for each of DARTS coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            row, sh = _distinct_shingles(batch.column("body"))
+            bits = mix(dart_signatures(sh, row, batch.num_rows, DARTS).view(U))
+            yield pa.record_batch([batch.column("h1"), pa.array([x.tobytes() for x in (bits >> U(56)).astype(np.uint8)], pa.binary())], names=["member", "coarse"])
+
+    return bodies.select("h1", "body").mapInArrow(run, "member long, coarse binary")
+
+
+def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(rows, drops): documents with a row hash, and for each row with removals the sorted line numbers."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "lines")
@@ -161,13 +182,31 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFra
     lines = scratch.write(line_table(rows), "lines")
     banded = lines.where("size(keys) > 0").select("h1", F.explode("keys").alias("key"))
     least = banded.groupBy("key").agg(F.min("h1").alias("center"), F.max("h1").alias("far")).where("center <> far").select("key", "center")
-    pairs = scratch.write(banded.join(least, "key").where("h1 <> center").select(F.col("center").alias("a"), F.col("h1").alias("b")).distinct(), "pairs")
+    buckets = scratch.write(banded.join(least, "key").select("key", "center", "h1"), "buckets")
+    pairs = scratch.write(buckets.where("h1 <> center").select(F.col("center").alias("a"), F.col("h1").alias("b")).distinct(), "pairs")
+    scratch.release()
+    bodies = _bodies(rows, lines, pairs, scratch)
+    links = scratch.write(_verified(pairs, bodies, threshold), "links")
     scratch.release()
-    links = scratch.write(_verified(rows, lines, pairs, threshold, scratch), "links")
+    comps = connected_components(links)
+    # Buckets that hold several components: their members meet one another by signature, in blocks, as those of documents do.
+    rest = open_rows(buckets.select("key", F.col("h1").alias("member")), comps, scratch, "open")
+    scratch.drop("buckets")
+    if rest.limit(1).count():
+        wanted = rest.select(F.col("member").alias("h1")).distinct()
+        darts = scratch.write(_darts(bodies.join(wanted, "h1", "left_semi")), "darts")
+        more = scratch.write(across(rest.join(darts, "member"), threshold - SCREEN, block).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+        scratch.drop("open")
+        scratch.drop("darts")
+        scratch.release()
+        if more.limit(1).count():
+            links = scratch.write(links.unionByName(_verified(more, bodies, threshold)), "links-2")
+            comps = connected_components(links)
+        scratch.drop("pairs-2")
     scratch.drop("sets")
     scratch.drop("pairs")
     scratch.release()
-    comps = connected_components(links).withColumnRenamed("id", "h1")
+    comps = comps.withColumnRenamed("id", "h1")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row", "line")
     # Equal lines are told apart by both hashes, fuzzy ones by component; first of each stays.
     exact = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"))

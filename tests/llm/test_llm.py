@@ -155,6 +155,43 @@ def test_lines_match_brute_force(spark):
         assert got[d]["text"] == want and got[d]["n_removed"] == sum(x[0] == d for x in gone)
 
 
+def test_lines_of_mixed_buckets_lose_no_link(spark):
+    """Variants of one line, about as alike as the threshold: buckets hold several components."""
+    rnd = random.Random(11)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    ts = []
+    for _ in range(120):
+        t = list(base)
+        for _ in range(rnd.choice([1, 2, 2, 3])):
+            at = rnd.randrange(150)
+            t[at : at + 4] = [rnd.choice("xyz") for _ in range(4)]
+        ts.append("".join(t))
+    grams = [frozenset(t[i : i + 8] for i in range(len(t) - 7)) for t in ts]
+    links = [(i, j) for j in range(len(ts)) for i in range(j) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    want = classes(links, range(len(ts)))
+    for block in (2048, 16):
+        _, drops = lines.removed_lines(docs(spark, ts).select("doc_id", "text"), block=block)
+        assert drops.count() == sum(i != c for i, c in want.items())
+    assert 1 < len(set(want.values())) < 100
+
+
+def test_near_duplicates_of_mixed_buckets_lose_no_link(spark):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    ts = []
+    for _ in range(80):
+        t = list(base)
+        for _ in range(rnd.choice([2, 3, 4, 5])):
+            t[rnd.randrange(200)] = f"v{rnd.randrange(10**6)}"
+        ts.append(" ".join(t))
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in ts]
+    links = [(i, j) for j in range(len(ts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = classes(links, range(len(ts)))
+    for block in (2048, 16):
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, ts), block=block).collect()}
+        assert got == want
+
+
 def test_decontamination_matches_brute_force(spark):
     ts = corpus(30)
     bench = [(1, " ".join(folded(ts[9])[:30]).upper()), (2, "one two"), (3, None), (4, "!!"), (5, " ".join(folded(ts[12])[10:40]))]
