@@ -10,7 +10,7 @@ costs its elements plus k log k darts. Equal coordinates have the probability of
 Candidates: 32 bands of 4 coordinates miss a pair of similarity 0.8 with probability 5e-8. In every
 band bucket the members are compared with the bucket's least member only, a linear number of pairs;
 exact Jaccard decides, and components form. Buckets that still hold several components are compared
-member by member on their signatures, in blocks of bounded size, and what may reach the threshold
+with further centers in the same way, and what is apart then, member by member on their signatures, in blocks of bounded size, and what may reach the threshold
 across components is verified exactly too. So a link between different texts is lost only if the
 bands or the signatures' estimate (3.4 standard deviations off, probability 3e-4 for a pair right at 0.8) miss it.
 
@@ -31,6 +31,8 @@ from orrery.operators.components import connected_components
 from orrery.store import Scratch
 
 K, ROWS = 128, 4
+#: Further centers that a bucket of several components is compared with before its members meet one another.
+STARS = 3
 
 
 def dart_signatures(element: np.ndarray, owner: np.ndarray, n: int, k: int = K, weight: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
@@ -143,7 +145,21 @@ def _jaccard(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _across(rows: DataFrame, least: float, block: int) -> DataFrame:
+def open_rows(rows: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(key, member, component) of the buckets (key, member) that hold more than two members and more than one component."""
+    named = rows.join(comps.withColumnRenamed("id", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
+    return scratch.write(named.join(keys, "key").select("key", "member", "component"), name)
+
+
+def _star(rows: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's center, drawn by a hash, and the members outside the center's component."""
+    drawn = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("member", F.lit(seed)).alias("h"), F.col("member").alias("m"), F.col("component").alias("c"))).alias("center"))
+    apart = rows.join(drawn, "key").where("component <> center.c")
+    return apart.select(F.least("member", "center.m").alias("a"), F.greatest("member", "center.m").alias("b")).distinct()
+
+
+def across(rows: DataFrame, least: float, block: int) -> DataFrame:
     """Pairs (a, b) of one bucket, of different components, whose signatures agree on `least` of k.
 
     A bucket of more than `block` members is dealt into parts, and each pair of parts is one group, so no
@@ -196,11 +212,19 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     links = scratch.write(_jaccard(pairs, sets, threshold), "links-1")
     scratch.release()
     comps = scratch.write(connected_components(links), "components-1")
-    # Buckets whose members are not yet one component: all members meet all others, by signature.
-    named = buckets.join(comps.withColumnRenamed("id", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    rest = named.join(open_keys, "key").select("key", "member", "component").join(lead.select("member", "coarse"), "member")
-    more = scratch.write(_across(rest, threshold - 0.12, block).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+    # Buckets whose members are not yet one component: other centers first, each a linear number of pairs that joins
+    # most of what belongs together; then all members meet all others, by signature.
+    rest, tried = open_rows(buckets.select("key", "member"), comps, scratch, "open-0"), pairs
+    for k in range(1, STARS + 1):
+        if not rest.limit(1).count():
+            break
+        star = scratch.write(_star(rest, k).join(tried, ["a", "b"], "left_anti"), f"star-{k}")
+        tried = tried.unionByName(star)
+        links = links.unionByName(scratch.write(_jaccard(star, sets, threshold), f"star-links-{k}"))
+        comps = scratch.write(connected_components(links), f"star-components-{k}")
+        rest = open_rows(rest.select("key", "member"), comps, scratch, f"open-{k}")
+    rest = rest.join(lead.select("member", "coarse"), "member")
+    more = scratch.write(across(rest, threshold - 0.12, block).join(tried, ["a", "b"], "left_anti"), "pairs-2")
     if more.limit(1).count():
         links = scratch.write(links.unionByName(_jaccard(more, sets, threshold)), "links-2")
         comps = scratch.write(connected_components(links), "components-2")
