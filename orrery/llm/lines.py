@@ -6,8 +6,8 @@ an empty bin borrows its right neighbour's value, mixed with the distance). Band
 of them, miss a pair of similarity 0.8 with probability 2e-3, of 0.9 with 2e-5. Every member of a
 band bucket is paired with the bucket's least line; exact Jaccard over shingle sets verifies each pair. Verified
 pairs join into components by a distributed union-find. Where a bucket still holds several components, its members
-meet one another by dart signatures, in blocks of bounded size, and likely pairs are verified too; the signatures miss a
-pair right at 0.8 with probability 3e-4. The first line of each component, by (doc_id, line number), stays.
+meet one another in blocks of bounded size, by exact Jaccard again, so no link inside a bucket is lost. The first line
+of each component, by (doc_id, line number), stays.
 
 Equal lines (128 bits of hash) are one member from the start. A line of fewer than `Q` bytes has one shingle: itself. Null texts
 have no lines; lines without a word are never removed. Repeated rows are documents of their own;
@@ -21,14 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.minhash import across, dart_signatures, open_rows
+from orrery.llm.minhash import open_rows
 from orrery.llm.text import PLAIN, SPACED, Chunk, Hashes, U, chunks, list_array, mix, small_batches, spans
 from orrery.operators.components import connected_components
 from orrery.store import Scratch
 
 Q, BINS, ROWS = 8, 48, 4
-#: Coordinates of the signatures by which open buckets are screened, and how far below the threshold the screen is (3.4 standard deviations).
-DARTS, SCREEN = 64, 0.17
 #: Another value for each byte, for a second, independent hash of a line.
 _SCATTER = mix(np.arange(257, dtype=U) + U(77))
 _SCATTER[0] = 0
@@ -162,16 +160,44 @@ def _distinct_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def _darts(bodies: DataFrame) -> DataFrame:
-    """(member, coarse): a dart signature of each line's shingle set, one byte for each of DARTS coordinates."""
+def _across(rows: DataFrame, threshold: float, block: int, most: int = 1 << 20) -> DataFrame:
+    """Links (a, b) of lines of one bucket (key, member, component, body) that join its components, by exact Jaccard.
 
-    def run(batches):
-        for batch in batches:
-            row, sh = _distinct_shingles(batch.column("body"))
-            bits = mix(dart_signatures(sh, row, batch.num_rows, DARTS).view(U))
-            yield pa.record_batch([batch.column("h1"), pa.array([x.tobytes() for x in (bits >> U(56)).astype(np.uint8)], pa.binary())], names=["member", "coarse"])
-
-    return bodies.select("h1", "body").mapInArrow(run, "member long, coarse binary")
+    A bucket of more than `block` members or `most` bytes is dealt into parts, and each pair of parts is one group, so no
+    group grows with the bucket. A group compares each member with the later ones that are not joined to it yet and
+    gives a spanning forest: fewer links than members.
+    """
+    sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes"))
+    parts = rows.join(sized, "key").withColumn("parts", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / most)).cast("int"))
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "member", "component", "body")
+
+    def forest(table: pa.Table) -> pa.Table:
+        member = table.column("member").to_numpy()
+        _, label = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        row, sh = _distinct_shingles(table.column("body"))
+        _, ids = np.unique(sh, return_inverse=True)
+        size = np.bincount(row, minlength=len(member))
+        begin = np.cumsum(size) - size
+        held = np.zeros(len(ids) + 1, np.int32)
+        a, b = [], []
+        for i in range(len(member) - 1):
+            if (label == label[0]).all():
+                break
+            own = ids[begin[i] : begin[i] + size[i]]
+            held[own] = 1
+            common = np.add.reduceat(held[ids[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1])
+            held[own] = 0
+            for j in np.flatnonzero(common >= threshold * (size[i] + size[i + 1 :] - common)) + i + 1:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    a.append(member[i])
+                    b.append(member[j])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long").distinct()
 
 
 def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 2048) -> tuple[DataFrame, DataFrame]:
@@ -189,20 +215,15 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
     links = scratch.write(_verified(pairs, bodies, threshold), "links")
     scratch.release()
     comps = connected_components(links)
-    # Buckets that hold several components: their members meet one another by signature, in blocks, as those of documents do.
+    # Buckets that hold several components: their members meet one another, in blocks.
     rest = open_rows(buckets.select("key", F.col("h1").alias("member")), comps, scratch, "open")
     scratch.drop("buckets")
     if rest.limit(1).count():
-        wanted = rest.select(F.col("member").alias("h1")).distinct()
-        darts = scratch.write(_darts(bodies.join(wanted, "h1", "left_semi")), "darts")
-        more = scratch.write(across(rest.join(darts, "member"), threshold - SCREEN, block).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+        more = _across(rest.join(bodies.withColumnRenamed("h1", "member"), "member"), threshold, block)
+        links = links.unionByName(scratch.write(more, "links-2"))
         scratch.drop("open")
-        scratch.drop("darts")
         scratch.release()
-        if more.limit(1).count():
-            links = scratch.write(links.unionByName(_verified(more, bodies, threshold)), "links-2")
-            comps = connected_components(links)
-        scratch.drop("pairs-2")
+        comps = connected_components(links)
     scratch.drop("sets")
     scratch.drop("pairs")
     scratch.release()

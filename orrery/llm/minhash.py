@@ -159,7 +159,7 @@ def _star(rows: DataFrame, seed: int) -> DataFrame:
     return apart.select(F.least("member", "center.m").alias("a"), F.greatest("member", "center.m").alias("b")).distinct()
 
 
-def across(rows: DataFrame, least: float, block: int) -> DataFrame:
+def _across(rows: DataFrame, least: float, block: int) -> DataFrame:
     """Pairs (a, b) of one bucket, of different components, whose signatures agree on `least` of k.
 
     A bucket of more than `block` members is dealt into parts, and each pair of parts is one group, so no
@@ -224,7 +224,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
         comps = scratch.write(connected_components(links), f"star-components-{k}")
         rest = open_rows(rest.select("key", "member"), comps, scratch, f"open-{k}")
     rest = rest.join(lead.select("member", "coarse"), "member")
-    more = scratch.write(across(rest, threshold - 0.12, block).join(tried, ["a", "b"], "left_anti"), "pairs-2")
+    more = scratch.write(_across(rest, threshold - 0.12, block).join(tried, ["a", "b"], "left_anti"), "pairs-2")
     if more.limit(1).count():
         links = scratch.write(links.unionByName(_jaccard(more, sets, threshold)), "links-2")
         comps = scratch.write(connected_components(links), "components-2")
