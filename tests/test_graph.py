@@ -50,6 +50,16 @@ def test_connected_components_of_a_long_path(spark):
     assert components.connected_components(path.limit(0)).count() == 0
 
 
+def test_connected_components_of_stars_cliques_and_odd_rows(spark):
+    star, clique = [(500, i) for i in range(40)], [(600 + i, 600 + j) for i in range(8) for j in range(i)]
+    odd = [(None, 1), (700, 700), (3, None), (800, 801), (801, 800), (800, 801)]
+    got = components.connected_components(spark.createDataFrame(star + clique + odd, "a long, b long"))
+    want = [(i, 0) for i in range(40)] + [(500, 0)] + [(600 + i, 600) for i in range(8)] + [(800, 800), (801, 800)]
+    assert rows(got, "id", "component") == want
+    named = spark.createDataFrame([("b", "c"), ("c", "d"), ("x", "y")], "a string, b string")
+    assert rows(components.connected_components(named), "id", "component") == [("b", "b"), ("c", "b"), ("d", "b"), ("x", "x"), ("y", "x")]
+
+
 def test_shortest_path(spark):
     e = edges(spark, [("a", "b", "calls", False, False), ("c", "b", "calls", False, False), ("c", "d", "calls", False, False)])
     assert rows(traverse.shortest_path(e, "a", "d"), "hop", "id") == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
