@@ -318,6 +318,7 @@ def _grouped(batches):
         h, seg = batch.column("h").to_numpy(), batch.column("seg").to_numpy()
         edge = np.ones(len(h), bool)
         edge[1:] = h[1:] != h[:-1]
+        edge[:1] = last_h is None or h[:1] != last_h  # the group of the batch before may go on
         alone = edge & np.append(edge[1:], False)
         take, kind, lead = [], [], []
         for i in np.flatnonzero(~alone):

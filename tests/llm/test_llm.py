@@ -142,6 +142,23 @@ def test_groups_larger_than_an_index_stream_over_earlier_ones(monkeypatch):
         assert got.get(row, set()) == want
 
 
+def anchor_batches(rows, size):
+    import pyarrow as pa
+
+    types = [pa.int64()] * 4 + [pa.int32()] * 3
+    whole = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "seg", "doc", "row", "pos", "left", "right"])
+    return [whole.slice(i, size) for i in range(0, len(rows), size)]
+
+
+def test_groups_go_on_past_batch_borders():
+    rnd = random.Random(7)
+    rows = sorted((h, rnd.randrange(3), d, d, 5, 5, 95) for h in range(40) for d in range(rnd.choice([1, 2, 2, 3, 5])))
+    rows.sort(key=lambda r: (r[0], *r[2:]))
+    given = lambda size: sorted(tuple(r.values()) for b in suffix._grouped(anchor_batches(rows, size)) for r in b.to_pylist())
+    want = given(len(rows))
+    assert want and all(given(size) == want for size in (1, 2, 3))
+
+
 def test_lines_match_brute_force(spark):
     ts = corpus(30)
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, ts)).collect()}
