@@ -311,10 +311,19 @@ def _grouped(batches):
     """Anchors sorted by (h, doc, row, pos), streamed: what the group says of each without bytes.
 
     kind 0: a later copy of an equal segment of its group; 1: a first segment among different ones.
+    Rows equal in id and text have equal anchors, of which one counts.
     A group's first segment is given out when a second kind of segment shows up.
     """
-    last_h, kinds, pending = None, set(), None
+    last_h, kinds, pending, place = None, set(), None, None
     for batch in batches:
+        # Anchors of a repeated row stand next to each other; they are one place.
+        own = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "doc", "row", "pos")])
+        fresh = np.ones(batch.num_rows, bool)
+        fresh[1:] = (own[:, 1:] != own[:, :-1]).any(0)
+        if batch.num_rows:
+            fresh[0] = place is None or (own[:, 0] != place).any()
+            place = own[:, -1]
+        batch = batch.filter(pa.array(fresh))
         h, seg = batch.column("h").to_numpy(), batch.column("seg").to_numpy()
         edge = np.ones(len(h), bool)
         edge[1:] = h[1:] != h[:-1]

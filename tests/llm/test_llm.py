@@ -159,6 +159,17 @@ def test_groups_go_on_past_batch_borders():
     assert want and all(given(size) == want for size in (1, 2, 3))
 
 
+def test_repeated_rows_keep_what_one_row_keeps(spark):
+    rnd = random.Random(8)
+    body = ["".join(rnd.choice("abcdefgh ") for _ in range(300)) for _ in range(3)]
+    ts = [(1, body[0]), (2, body[1] + body[0][:150]), (3, body[2]), (None, body[2] + body[1])]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    out = lambda d: sorted((repr(r["doc_id"]), r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(d).collect())
+    want = out(make(ts))
+    assert [r[1] for r in want] == [0, 150, 0, 600]
+    assert out(make([t for t in ts for _ in range(2)])) == sorted(want * 2)
+
+
 def test_lines_match_brute_force(spark):
     ts = corpus(30)
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, ts)).collect()}
