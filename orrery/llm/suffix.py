@@ -272,13 +272,16 @@ def _runs(gone: np.ndarray) -> np.ndarray:
 def _resolve(batches):
     """Segments sorted by (h, doc, row, start) to removed byte runs: row, start, end."""
     hold: list[tuple] = []
-    size, earlier = 0, []
+    # Indexes of the parts of group `hot` that are done, and the text that the last one ended in, with the furthest end there.
+    size, earlier, hot, reach = 0, [], None, (None, 0)
 
     def flush(rows: list[tuple], before: list[RunLengthIndex]):
         gone, index = _index_groups(np.array([r[0] for r in rows]), [(r[1], r[2], r[3]) for r in rows], [r[4] for r in rows])
         for old in before:
             for k, ms in enumerate(old.matching_statistics([r[4] for r in rows], LENGTH)):
-                gone[k] |= ms[: len(gone[k])] >= LENGTH
+                # A window that an earlier part holds at this very place was judged there.
+                judged = reach[1] - LENGTH - rows[k][3] + 1 if rows[k][1:3] == reach[0] else 0
+                gone[k][max(0, judged) :] |= ms[max(0, judged) : len(gone[k])] >= LENGTH
         starts, ends, own = [], [], []
         for r, g in zip(rows, gone, strict=True):
             for a, b in _runs(g):
@@ -289,11 +292,20 @@ def _resolve(batches):
 
     for batch in batches:
         for r in zip(*(batch.column(k).to_pylist() for k in ("h", "doc", "row", "start", "bytes")), strict=True):
+            if earlier and r[0] != hot:  # the groups that follow have nothing to do with these parts
+                if hold:
+                    yield flush(hold, earlier)[0]
+                hold, size, earlier = [], 0, []
             new = not hold or hold[-1][0] != r[0]
             if size >= INDEX and (new or len({x[0] for x in hold}) == 1):
                 done, index = flush(hold, earlier)
                 yield done
-                earlier = [] if new else [*earlier, index]  # a group larger than one index goes on
+                if not new:  # a group larger than one index goes on
+                    text = hold[-1][1:3]
+                    ends = [x[3] + len(x[4]) for x in hold if x[1:3] == text]
+                    reach = (text, max(*ends, reach[1] if earlier and reach[0] == text else 0, 0))
+                    hot = r[0]
+                earlier = [] if new else [*earlier, index]
                 hold, size = [], 0
             elif size >= INDEX:  # close all but the last group, which may be large
                 last = [x for x in hold if x[0] == r[0]]

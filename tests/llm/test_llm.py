@@ -170,6 +170,52 @@ def test_repeated_rows_keep_what_one_row_keeps(spark):
     assert out(make([t for t in ts for _ in range(2)])) == sorted(want * 2)
 
 
+def resolved(segs):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*segs, strict=True)], names=["h", "doc", "row", "start", "bytes"])
+    got = {}
+    for b in suffix._resolve([batch]):
+        for r in b.to_pylist():
+            got.setdefault(r["row"], set()).update(range(r["start"], r["end"]))
+    return got
+
+
+@pytest.mark.parametrize("n", range(20, 31))
+def test_groups_after_a_streamed_one_are_judged_alone(monkeypatch, n):
+    monkeypatch.setattr(suffix, "INDEX", 900)
+    rnd = random.Random(4)
+    base = bytes(rnd.choice(b"abcdef") for _ in range(176))
+    hot = []
+    for i in range(n):
+        s = bytearray(base)
+        s[rnd.choice([5, 60, 170])] = rnd.choice(b"uvwxyz")
+        hot.append((7, i, 100 + i, 10, bytes(s)))
+    # The first occurrence of group 8 has bytes that group 7 has too; its copies go.
+    later = [(8, 0, 500, 0, base[:120]), (8, 1, 501, 3, base[:121]), (9, 0, 502, 0, base[130::-1])]
+    got = resolved(hot + later)
+    assert not {500, 502} & set(got) and got[501] == set(range(3, 123))
+    assert {r: x for r, x in got.items() if r < 500} == resolved(hot)
+
+
+@pytest.mark.parametrize("index", [350, 500, 700, 900, 1 << 20])
+def test_a_place_of_two_parts_does_not_remove_itself(monkeypatch, index):
+    """Periodic texts: one hash at many places, whose segments overlap."""
+    monkeypatch.setattr(suffix, "INDEX", index)
+    rnd = random.Random(5)
+    unit = bytes(rnd.choice(b"abcdef") for _ in range(30))
+    texts = [unit * 9, b"x" + unit * 8 + b"yz", b"q" * 40 + unit * 7]
+    segs = [(7, d, 70 + d, max(0, p - 76), t[max(0, p - 76) : p + 100]) for d, t in enumerate(texts) for p in range(len(t) - 23) if t[p : p + 24] == unit[:24]]
+    first, got = {}, resolved(segs)
+    for d, t in enumerate(texts):
+        want = set()
+        spots = {s + k for _, e, _, s, b in segs if e == d for k in range(len(b) - 99)}
+        for i in sorted(spots):
+            if first.setdefault(t[i : i + 100], (d, i)) != (d, i):
+                want |= set(range(i, i + 100))
+        assert got.get(70 + d, set()) == want
+
+
 def test_lines_match_brute_force(spark):
     ts = corpus(30)
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, ts)).collect()}
