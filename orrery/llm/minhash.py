@@ -10,9 +10,8 @@ costs its elements plus k log k darts. Equal coordinates have the probability of
 Candidates: 32 bands of 4 coordinates miss a pair of similarity 0.8 with probability 5e-8. In every
 band bucket the members are compared with the bucket's least member only, a linear number of pairs;
 exact Jaccard decides, and components form. Buckets that still hold several components are compared
-with further centers in the same way, and what is apart then, member by member on their signatures, in blocks of bounded size, and what may reach the threshold
-across components is verified exactly too. So a link between different texts is lost only if the
-bands or the signatures' estimate (3.4 standard deviations off, probability 3e-4 for a pair right at 0.8) miss it.
+with further centers in the same way; where several are left then, all members meet one another in blocks of bounded
+size, by exact Jaccard again. So a link between different texts is lost only if the bands miss it.
 
 Words: `[0-9a-z]` and everything past ASCII, A-Z folded. Weight: 1 for each distinct shingle, or its
 count. Texts equal byte for byte (128-bit digest) are one member. Null and wordless texts are
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +82,11 @@ def shingles(c: Chunk, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h, text[at]
 
 
-_SKETCH = "doc_id long, row long, digest binary, bands array<long>, coarse binary"
+_SKETCH = "doc_id long, row long, digest binary, bands array<long>"
 
 
 def sketch(documents: DataFrame, width: int = 5, counted: bool = False) -> DataFrame:
-    """Content digest, band keys and one byte for each coordinate, of every row, in one pass."""
+    """Content digest and band keys of every row, in one pass."""
     small_batches(documents.sparkSession)
 
     def run(batches):
@@ -109,11 +109,9 @@ def sketch(documents: DataFrame, width: int = 5, counted: bool = False) -> DataF
                     band = mix(band * U(31) + bits[:, r::ROWS])
                 band = mix(band + np.arange(K // ROWS, dtype=U))
                 bands = list_array(band[some].ravel().view(np.int64), np.where(some, K // ROWS, 0), pa.int64())
-                coarse = (bits >> U(56)).astype(np.uint8)
                 yield pa.record_batch([
                     batch.column("doc_id").slice(i, j - i), batch.column("row").slice(i, j - i), batch.column("digest").slice(i, j - i), bands,
-                    pa.array([x.tobytes() if s else None for x, s in zip(coarse, some, strict=True)], pa.binary()),
-                ], names=["doc_id", "row", "digest", "bands", "coarse"])
+                ], names=["doc_id", "row", "digest", "bands"])
 
     digest = F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.col("text").cast("binary"))))
     return documents.select("doc_id", "row", "text", digest.alias("digest")).mapInArrow(run, _SKETCH)
@@ -159,30 +157,48 @@ def _star(rows: DataFrame, seed: int) -> DataFrame:
     return apart.select(F.least("member", "center.m").alias("a"), F.greatest("member", "center.m").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, least: float, block: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components, whose signatures agree on `least` of k.
+def _across(rows: DataFrame, sets: DataFrame, threshold: float, block: int, most: int = 1 << 19) -> DataFrame:
+    """Links (a, b) of members of one bucket (key, member, component) that join its components, by exact Jaccard of their sets.
 
-    A bucket of more than `block` members is dealt into parts, and each pair of parts is one group, so no
-    group grows with the bucket. Members meet as bytes of signatures inside a task; only likely pairs come out.
+    A bucket of more than `block` members or `most` shingles is dealt into parts, and each pair of parts is one group, so no
+    group grows with the bucket. A group compares each member with the later ones that are not joined to it yet and
+    gives a spanning forest: fewer links than members.
     """
-    sized = rows.groupBy("key").agg(F.count("*").alias("n"))
-    parts = rows.join(sized, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    rows = rows.join(sets.select("member", F.size("shingles").alias("size")), "member")
+    sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    parts = rows.join(sized, "key").withColumn("parts", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / most)).cast("int"))
     parts = parts.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "member", "component", "coarse")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        member, comp = table.column("member").to_numpy(), table.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("coarse").to_pylist()), np.uint8).reshape(len(member), -1)
+    # Two members of one part meet in its groups with the other parts.
+    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or part <> other")
+    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "member", "component").join(sets, "member")
+
+    def forest(table: pa.Table) -> pa.Table:
+        _, label, n = np.unique(table.column("component").to_numpy(), return_inverse=True, return_counts=True)
+        # Least components first: the members of the greatest, mostly at the end, need not meet one another.
+        order = np.lexsort((label, n[label]))
+        label, table = label[order], table.take(pa.array(order))
+        member = table.column("member").to_numpy()
+        size = pc.list_value_length(table.column("shingles")).to_numpy().astype(np.int64)
+        _, ids = np.unique(pc.list_flatten(table.column("shingles")).to_numpy(), return_inverse=True)
+        begin = np.cumsum(size) - size
+        held = np.zeros(len(ids) + 1, np.int32)
         a, b = [], []
-        for i in range(len(member)):
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((sig[i + 1 :] == sig[i]).sum(1) >= least * sig.shape[1])) + i + 1
-            a += [np.full(len(j), member[i])]
-            b += [member[j]]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        for i in range(len(member) - 1):
+            if (label[i:] == label[i]).all():
+                break
+            own = ids[begin[i] : begin[i] + size[i]]
+            held[own] = 1
+            common = np.add.reduceat(held[ids[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1])
+            held[own] = 0
+            for j in np.flatnonzero(common >= threshold * (size[i] + size[i + 1 :] - common)) + i + 1:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    a.append(member[i])
+                    b.append(member[j])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("key", "p", "q").applyInArrow(pairs, "a long, b long").distinct()
+    return dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5, counted: bool = False, block: int = 2048) -> DataFrame:
@@ -201,7 +217,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     first = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     members = scratch.write(sketched.select("digest", "row", F.struct("doc_id", "row").alias("own")).join(first, "digest").select("digest", "row", F.col("first.row").alias("member"), (F.col("own") == F.col("first")).alias("is_first")), "members")
     unique = members.where("is_first and row = member").select("row", F.col("member")).dropDuplicates(["member"])
-    lead = scratch.write(sketched.where("size(bands) > 0").select("row", "bands", "coarse").join(unique, "row").select("member", "bands", "coarse").dropDuplicates(["member"]), "lead")
+    lead = scratch.write(sketched.where("size(bands) > 0").select("row", "bands").join(unique, "row").select("member", "bands").dropDuplicates(["member"]), "lead")
     banded = lead.select("member", F.explode("bands").alias("key"))
     least = banded.groupBy("key").agg(F.min("member").alias("center"), F.max("member").alias("far")).where("center <> far").select("key", "center")
     buckets = scratch.write(banded.join(least, "key"), "buckets")
@@ -213,7 +229,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     scratch.release()
     comps = scratch.write(connected_components(links), "components-1")
     # Buckets whose members are not yet one component: other centers first, each a linear number of pairs that joins
-    # most of what belongs together; then all members meet all others, by signature.
+    # most of what belongs together; then all members meet all others.
     rest, tried = open_rows(buckets.select("key", "member"), comps, scratch, "open-0"), pairs
     for k in range(1, STARS + 1):
         if not rest.limit(1).count():
@@ -223,10 +239,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
         links = links.unionByName(scratch.write(_jaccard(star, sets, threshold), f"star-links-{k}"))
         comps = scratch.write(connected_components(links), f"star-components-{k}")
         rest = open_rows(rest.select("key", "member"), comps, scratch, f"open-{k}")
-    rest = rest.join(lead.select("member", "coarse"), "member")
-    more = scratch.write(_across(rest, threshold - 0.12, block).join(tried, ["a", "b"], "left_anti"), "pairs-2")
-    if more.limit(1).count():
-        links = scratch.write(links.unionByName(_jaccard(more, sets, threshold)), "links-2")
+    if rest.limit(1).count():
+        links = scratch.write(links.unionByName(_across(rest, sets, threshold, block)), "links-2")
         comps = scratch.write(connected_components(links), "components-2")
     labelled = members.join(comps.withColumnRenamed("id", "member"), "member", "left").select("row", F.coalesce("component", "member").alias("component")).dropDuplicates(["row"])
     own = sketched.select("doc_id", "row").join(labelled, "row", "left").withColumn("component", F.coalesce("component", "row"))

@@ -266,6 +266,21 @@ def test_near_duplicates_of_mixed_buckets_lose_no_link(spark):
         assert got == want
 
 
+def test_members_of_a_bucket_need_no_like_signatures(spark):
+    """Sets right at the threshold link whatever their signatures look like, in blocks of any size."""
+    rnd = random.Random(13)
+    base = [rnd.randrange(2**62) for _ in range(200)]
+    sets = [base[: 180 - 20 * (i % 2)] + [rnd.randrange(2**62) for _ in range(20 * (i % 2))] for i in range(2)]  # 160 of 200: 0.8
+    sets += [base[:159] + [rnd.randrange(2**62) for _ in range(21)], [rnd.randrange(2**62) for _ in range(180)]]
+    want = {(i, j) for j in range(4) for i in range(j) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    assert want == {(0, 1)}
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "member long, shingles array<long>")
+    rows = table.selectExpr("7L as key", "member", "member as component")
+    for block, most in ((2048, 1 << 19), (1, 1 << 19), (2048, 200)):
+        got = minhash._across(rows, table, 0.8, block, most).collect()
+        assert {(r["a"], r["b"]) for r in got} == want
+
+
 def test_decontamination_matches_brute_force(spark):
     ts = corpus(30)
     bench = [(1, " ".join(folded(ts[9])[:30]).upper()), (2, "one two"), (3, None), (4, "!!"), (5, " ".join(folded(ts[12])[10:40]))]
