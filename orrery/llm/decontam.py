@@ -12,7 +12,7 @@ Terms are 64-bit hashes of folded words. Nulls have no words. Repeated rows are
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ def build_index(documents: DataFrame) -> DataFrame:
                 ids = batch.column("doc_id").slice(i, j - i)
                 docs = pa.StructArray.from_arrays([ids, pa.array(n, pa.int32())], ["doc_id", "n_words"])
                 docs = pa.ListArray.from_arrays(pa.array([0, c.n], pa.int32()), docs)
-                name = hashlib.sha256(c.data.tobytes() + np.asarray(ids.fill_null(-1)).tobytes()).hexdigest()[:24]
+                name = uuid.uuid4().hex  # one for each shard, also where texts and ids are equal; the written index keeps it
                 yield pa.record_batch([pa.array([name]), docs, list_array(terms, np.array([len(terms)]), pa.int64()), list_array(counts, np.array([len(counts)]), pa.int32()), pa.array([delta.astype(np.int32).tobytes()], pa.binary())], names=["shard", "docs", "terms", "counts", "postings"])
 
     return documents.select("doc_id", "text").mapInArrow(run, _INDEX)
@@ -118,10 +118,10 @@ _HITS = "shard string, place int, doc_id long, n_words int, runs array<struct<st
 def search(index: DataFrame, items: list[tuple], width: int, slop: int = 0) -> DataFrame:
     """For every document of the index: runs of hit words and ids of items with a window in it.
 
-    items: one block of (id as string, text), bounded by the caller, sent to every task.
+    items: one block of (id as string or null, text), bounded by the caller, sent to every task.
     """
     grid, sizes, pairs = phrase_windows([t for _, t in items], width)
-    names = np.array([str(i) for i, _ in items], object)
+    names = np.array([None if i is None else str(i) for i, _ in items], object)
     shared = index.sparkSession.sparkContext.broadcast((grid, sizes, pairs, names))
 
     def run(batches):
@@ -147,7 +147,7 @@ def search(index: DataFrame, items: list[tuple], width: int, slop: int = 0) -> D
                     own = np.flatnonzero(np.diff(np.concatenate(([0], hit[begin[d] : end[d]].view(np.int8), [0]))))
                     found_runs[d] = [{"start": int(a), "end": int(b)} for a, b in own.reshape(-1, 2)]
                     w = np.unique(p[doc == d])
-                    found_items[d] = sorted({names[x] for k in w for x in pairs[start_of[k] : start_of[k + 1], 1]})
+                    found_items[d] = sorted({names[x] for k in w for x in pairs[start_of[k] : start_of[k + 1], 1]} - {None})
                 yield pa.record_batch([
                     pa.array([batch.column("shard")[r].as_py()] * len(n), pa.string()), pa.array(np.arange(len(n)), pa.int32()), ids, pa.array(n, pa.int32()),
                     pa.array(found_runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(found_items, pa.list_(pa.string())),
@@ -178,11 +178,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
 
     contaminated: n_hit > 0 and share * n_hit >= n_words. The benchmark is searched in blocks of
     about block_chars characters (a fixed memory bound); with several blocks the runs of a document
-    are merged by one small shuffle. Null item ids have no name and are left out of the items.
+    are merged by one small shuffle. Items of a null id are searched, but have no name and are left out of the items.
     """
     scratch = Scratch(documents.sparkSession, "decontam")
     index = scratch.write(build_index(documents), "index")
-    parts = [search(index, block, width, slop) for block in item_blocks(benchmark.where("item_id is not null"), block_chars)]
+    parts = [search(index, block, width, slop) for block in item_blocks(benchmark, block_chars)]
     out = parts[0]
     if len(parts) > 1:
         union = parts[0]

@@ -302,6 +302,15 @@ def test_decontamination_matches_brute_force(spark):
             assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
+def test_decontamination_of_equal_shards_and_items_without_id(spark):
+    big = "one two three " * 160_000  # fills a chunk, so its two rows are shards of equal bytes
+    d = spark.createDataFrame([(1, big), (1, big), (2, "red green blue and more")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(5, "two three one"), (None, "red green"), (None, "blue")], "item_id long, text string")
+    for blocks in (8_000_000, 8):
+        got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.decontaminate(d, items, block_chars=blocks).collect())
+        assert got == [(1, 480_000, 479_997, 1, True)] * 2 + [(2, 5, 3, 0, True)]
+
+
 def test_proximity():
     s = decontam.Shard(np.array([1, 2, 3]), np.array([1, 1, 1]), np.array([0, 2, 3], np.int32).tobytes())
     phrase, size = np.array([[1, 2, 3]]), np.array([3])
