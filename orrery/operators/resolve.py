@@ -97,17 +97,21 @@ def call_arguments(calls: DataFrame, most: int = 12) -> DataFrame:
     return out.select("call", "position", F.col("p").getField("argument").alias("argument"), F.col("p").getField("parameter").alias("parameter"))
 
 
-def reexports(own: DataFrame, star: DataFrame, depth: int = 10) -> DataFrame:
-    """module, name, origin, state (J4, G14): names that star exports pass on, within `depth` steps.
+def reexports(own: DataFrame, star: DataFrame, depth: int | None = None, bound: int = 10_000) -> DataFrame:
+    """module, name, origin, state (J4, G14): names that star exports pass on, until nothing changes, or within `depth` steps if given.
 
     own: module, name; star: module, from. An own name shadows a star's; `default` is never passed on;
-    cycles end since a known (module, name, origin) is not new; several origins are ambiguous.
+    cycles end since a known (module, name, origin) is not new; several origins are ambiguous. Past `bound` steps it raises.
     """
     scratch = Scratch(own.sparkSession, "reexports")
     mine, star = own.select("module", "name").distinct(), star.select("module", "from").distinct()
     front = scratch.write(mine.withColumn("origin", F.col("module")), "step-0")
     seen = front
-    for k in range(1, depth + 1):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
+        if k > bound:
+            raise RuntimeError(f"star exports still pass names on after {bound} steps")
         more = front.where("name <> 'default'").withColumnRenamed("module", "from").join(star, "from").select("module", "name", "origin").distinct()
         more = more.join(mine, ["module", "name"], "left_anti").join(seen, ["module", "name", "origin"], "left_anti")
         front = scratch.write(more, f"step-{k}")

@@ -1,5 +1,6 @@
 """Small literals: enclosing ranges, re-exports, mounts, overlays, liveness, cycles."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import liveness, ranges, resolve
@@ -21,6 +22,15 @@ def test_uncovered_symbol_takes_the_file_share(spark):
     assert rows(ranges.range_coverage(symbols, lines).fillna(-1), "id", "total", "pct") == [("a", 2, 50), ("b", 0, 66), ("c", 0, -1)]
 
 
+def test_reexports_go_on_until_nothing_changes(spark):
+    own = spark.createDataFrame([("m0", "x"), ("m13", "y")], "module string, name string")
+    star = spark.createDataFrame([(f"m{k}", f"m{k - 1}") for k in range(1, 13)], "`module` string, `from` string")
+    got = {r["module"]: r["origin"] for r in resolve.reexports(own, star).collect() if r["name"] == "x"}
+    assert got == {f"m{k}": "m0" for k in range(13)}
+    with pytest.raises(RuntimeError):
+        resolve.reexports(own, star, bound=5)
+
+
 def test_reexports_shadow_default_cycle_and_ambiguity(spark):
     own = spark.createDataFrame([("a", "x"), ("a", "default"), ("b", "x"), ("b", "y"), ("d", "y")], "module string, name string")
     star = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "d"), ("a", "c")], "module string, from string")
