@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.text import FOLDED, Hashes, chunks, list_array, small_batches, spans
+from orrery.llm.text import FOLDED, Hashes, chunks, list_array, spans
 from orrery.store import Scratch
 
 _INDEX = "shard string, docs array<struct<doc_id:long,n_words:int>>, terms array<long>, counts array<int>, postings binary"
@@ -27,7 +27,6 @@ _INDEX = "shard string, docs array<struct<doc_id:long,n_words:int>>, terms array
 
 def build_index(documents: DataFrame) -> DataFrame:
     """One row for each shard (about 2 MB of text): documents in order, terms, and their postings."""
-    small_batches(documents.sparkSession)
 
     def run(batches):
         for batch in batches:

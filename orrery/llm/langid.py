@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.learning import fold
-from orrery.llm.text import U, small_batches
+from orrery.llm.text import U
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST = 32
@@ -153,7 +153,6 @@ def language(documents: DataFrame, vocabulary: str = VOCABULARY, per_language: i
     nothing to learn from. Repeated rows are each predicted; extra columns are ignored.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     held = fold(F.col("doc_id"), 3) == 1
     base = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     ids = base.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id").distinct()

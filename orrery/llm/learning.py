@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import linear
-from orrery.llm.text import Chunk, chunks, list_array, small_batches
+from orrery.llm.text import Chunk, chunks, list_array
 from orrery.llm.weaklabel import LabelModel
 
 
@@ -46,7 +46,6 @@ def train(rows: DataFrame, features: Features, votes: Votes, mined: int = 0, l1:
                 v = votes(c, texts.slice(i, j - i).to_pylist()).astype(np.int8)
                 yield pa.record_batch([ids.slice(i, j - i), labels.slice(i, j - i), list_array(v.ravel().astype(np.int32), np.full(c.n, v.shape[1]), pa.int32()), list_array(np.concatenate(own) if own else [], np.array([len(x) for x in own]), pa.int32())], names=["doc_id", "label", "votes", "features"])
 
-    small_batches(rows.sparkSession)
     got = rows.mapInArrow(extract, "doc_id long, label int, votes array<int>, features array<int>").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     got = got.take(pa.array(order))
@@ -93,7 +92,6 @@ def scored(documents: DataFrame, features: Features, weights: np.ndarray, bias:
     carry: give the whole row too, as a struct `own`, so that a filter on the score needs no join.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((weights, bias))  # DIM floats, whatever the corpus
     names = ["doc_id", "held_out", *["own"] * carry]
     extra = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")] * carry

@@ -18,230 +18,369 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.minhash import open_rows
-from orrery.llm.text import PLAIN, SPACED, Chunk, Hashes, U, chunks, list_array, mix, small_batches, spans
+from orrery.llm.minhash import open_rows, spanning_forest
+from orrery.llm.text import SPACED, Chunk, U, chunks, keep_memory, list_array, mix
 from orrery.operators.components import connected_components
 from orrery.store import Scratch
 
+BLOCK = 1 << 20
+#: Lines of a bucket that all others of it are compared with at first.
+STARS = 3
 Q, BINS, ROWS = 8, 48, 4
-#: Another value for each byte, for a second, independent hash of a line.
-_SCATTER = mix(np.arange(257, dtype=U) + U(77))
-_SCATTER[0] = 0
-
-
-def line_spans(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Hashes]:
-    """(start, end, text, number in its text) of the lines that have a word, and the hashes of bytes."""
-    code = np.where((c.data == 10) | ~c.inside, 0, PLAIN[c.data])
-    s, e = spans(code)
-    word = np.concatenate(([0], np.cumsum(c.codes(SPACED) != 0)))
-    breaks = np.concatenate(([0], np.cumsum((c.data == 10) & c.inside)))
-    has = word[e] > word[s]
-    s, e = s[has], e[has]
-    text = c.text_of(s)
-    return s, e, text, breaks[s] - breaks[c.start[text]], Hashes(code)
-
-
-def shingle_table(s: np.ndarray, e: np.ndarray, h: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of all byte shingles of the spans."""
-    n = np.maximum(e - s - Q + 1, 1)
-    line = np.repeat(np.arange(len(s)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s[line]
-    return h.of(at, np.minimum(at + Q, e[line])), line
+BANDS = BINS // ROWS
+_TOP = np.iinfo(np.uint64).max
+_WORD = (SPACED != 0).astype(np.uint8)
+
+
+class Lines:
+    """The lines of a chunk that have a word: bytes [s, e) of `data`, their text, and their number in it."""
+
+    def __init__(self, c: Chunk):
+        self.data = np.concatenate([c.data, np.zeros(Q, np.uint8)])
+        size = len(c.data)
+        end = np.flatnonzero((c.data == 10) | ~c.inside)  # every text ends in a mark, so every line has an end
+        begin = np.concatenate(([0], end[:-1] + 1)) if len(end) else end
+        word = _WORD[c.data]
+        word[~c.inside] = 0
+        has = np.maximum.reduceat(word, begin).astype(bool) if len(end) else np.zeros(0, bool)
+        text = c.text_of(begin)
+        number = np.arange(len(begin)) - np.searchsorted(begin, c.start)[text]
+        self.s, self.e, self.text, self.number, self.size = begin[has], end[has], text[has], number[has], size
+
+    def digests(self) -> np.ndarray:
+        """128 bits of hash of each line, as two columns."""
+        raw = self.data.tobytes()
+        out = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(self.s.tolist(), self.e.tolist(), strict=True)])
+        return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, index into which) of the byte shingles of some lines; a short line is one shingle, filled up with zeros.
+
+        Bytes that begin no such shingle have the index len(which).
+        """
+        two = self.data[:-1].astype(np.uint16)
+        two |= self.data[1:].astype(np.uint16) << np.uint16(8)
+        four = two[:-2].astype(np.uint32)
+        four |= two[2:].astype(np.uint32) << np.uint32(16)
+        h = four[:-4].astype(U)
+        h |= four[4:].astype(U) << U(32)
+        s, e = self.s[which], self.e[which]
+        n = np.maximum(e - s - Q + 1, 1)
+        bound = np.zeros(2 * len(s) + 2, np.int64)
+        bound[1:-1:2], bound[2:-1:2], bound[-1] = s, s + n, len(h)
+        slot = np.full(2 * len(s) + 1, len(s), np.int32)
+        slot[1::2] = np.arange(len(s))
+        line = np.repeat(slot, np.diff(bound))
+        short = np.flatnonzero(e - s < Q)
+        if len(short):
+            size = (e - s)[short].astype(U)
+            kept = U(8) * (U(Q) - size)
+            # The line's bytes are the low ones; its length tells it from lines with zero bytes.
+            h[s[short]] = ((h[s[short]] << kept) >> kept) ^ (size << U(60))
+        h *= U(0x9E3779B97F4A7C15)
+        h ^= h >> U(32)
+        h *= U(0xD6E8FEB86659FD93)
+        return h, line
 
 
 def signatures(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """One-permutation MinHash (n x BINS), empty bins filled from the next full one."""
-    sig = np.full(n * BINS, np.iinfo(np.uint64).max, U)
-    np.minimum.at(sig, line * BINS + ((hashes >> U(40)) % U(BINS)).astype(np.int64), mix(hashes))
-    sig = sig.reshape(n, BINS)
-    empty = sig == np.iinfo(np.uint64).max
-    for _ in range(BINS):
-        if not empty.any():
-            break
-        near, full = np.roll(sig, -1, 1), ~np.roll(empty, -1, 1)
-        take = empty & full
-        sig[take] = mix(near[take] + U(0x9E37))
-        empty &= ~take
+    """One-permutation MinHash (n x BINS): the least hash of each of BINS ranges; an empty one takes its right neighbour's, mixed with the distance."""
+    sig = np.full((n + 1) * BINS, _TOP, U)
+    at = (hashes >> U(40)).astype(np.int32)
+    at *= np.int32(BINS)
+    at >>= np.int32(24)
+    at += line * np.int32(BINS)
+    np.minimum.at(sig, at, hashes)
+    sig = sig.reshape(-1, BINS)[:n]
+    thin = np.flatnonzero((sig == _TOP).any(1))
+    if len(thin):
+        part = sig[thin]
+        where = np.where(part == _TOP, 2 * BINS, np.arange(BINS))
+        where = np.concatenate([where, where + BINS], 1)
+        full = np.minimum.accumulate(where[:, ::-1], 1)[:, ::-1][:, :BINS]  # the next full bin, going round
+        away = (full - np.arange(BINS)).astype(U)
+        part = np.take_along_axis(part, full % BINS, 1)
+        sig[thin] = np.where(away > 0, mix(part + away * U(0x9E3779B97F4A7C15)), part)
     return sig
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    key = np.zeros((len(sig), BINS // ROWS), U)
+    key = np.zeros((len(sig), BANDS), U)
     for r in range(ROWS):
         key = mix(key * U(31) + sig[:, r::ROWS])
-    return mix(key + np.arange(BINS // ROWS, dtype=U)).view(np.int64)
+    return mix(key + np.arange(BANDS, dtype=U)).view(np.int64)
 
 
-_LINES = "doc_id long, row long, line int, h1 long, h2 long, keys array<long>"
+_LINES = "d long, row long, line int, h1 long, h2 long, body binary, keys array<long>"
 
 
-def line_table(documents: DataFrame) -> DataFrame:
-    """Every line with a word: its place, its hash, and the band keys where a task meets it first."""
-    small_batches(documents.sparkSession)
+def line_table(rows: DataFrame) -> DataFrame:
+    """Every line with a word: its place and hashes, and where a task meets it first its bytes and band keys."""
 
     def run(batches):
+        keep_memory()
         met: set = set()
         for batch in batches:
-            for i, j, c in chunks(batch.column("text")):
-                s, e, text, number, h = line_spans(c)
-                h1 = h.of(s, e)
-                h2 = Hashes(_SCATTER[h.codes]).of(s, e)
-                _, first = np.unique(h1, return_index=True)
-                fresh = np.array([k for k in np.sort(first) if int(h1[k]) not in met], np.int64)
+            for i, j, c in chunks(batch.column("text"), BLOCK):
+                own = Lines(c)
+                ids = own.digests()
+                fresh = []
+                for k, x in enumerate(ids[:, 0].tolist()):
+                    if x not in met:
+                        met.add(x)
+                        fresh.append(k)
                 if len(met) > 500_000:
                     met.clear()
-                met.update(int(x) for x in h1[fresh])
-                keys = band_keys(signatures(*shingle_table(s[fresh], e[fresh], h), len(fresh)))
-                counts = np.zeros(len(s), np.int64)
-                counts[fresh] = BINS // ROWS
-                ids, rows = batch.column("doc_id").slice(i, j - i), batch.column("row").slice(i, j - i)
-                take = pa.array(text)
-                yield pa.record_batch([ids.take(take), rows.take(take), pa.array(number, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), list_array(keys.ravel(), counts, pa.int64())], names=["doc_id", "row", "line", "h1", "h2", "keys"])
+                fresh = np.array(fresh, np.int64)
+                keys = band_keys(signatures(*own.shingles(fresh), len(fresh)))
+                has = np.zeros(len(ids), np.int64)
+                has[fresh] = 1
+                raw = own.data.tobytes()
+                bodies = [raw[a:b] if f else None for a, b, f in zip(own.s.tolist(), own.e.tolist(), has.tolist(), strict=True)]
+                take = pa.array(own.text)
+                places = [batch.column(x).slice(i, j - i).take(take) for x in ("d", "row")]
+                yield pa.record_batch([*places, pa.array(own.number, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(bodies, pa.binary()), list_array(keys.ravel(), has * BANDS, pa.int64())], names=["d", "row", "line", "h1", "h2", "body", "keys"])
+
+    return rows.select("d", "row", "text").mapInArrow(run, _LINES)
+
 
-    return documents.select("doc_id", "row", "text").mapInArrow(run, _LINES)
+def hot_keys(banded: DataFrame, most: int) -> DataFrame:
+    """(key, salts) of the buckets of more than `most` rows, by a mergeable sketch of all rows; 1,000 keys at most.
 
+    Only the dealing of rows to tasks hangs on it: a key left out is dealt to one task, which streams it.
+    """
+    top = F.expr("approx_top_k(key, 1000, 20000)").alias("top")
+    return banded.agg(top).select(F.explode("top").alias("t")).where(F.col("t.count") > most).select(F.col("t.item").alias("key"), F.ceil(F.col("t.count") / most).cast("int").alias("salts"))
+
+
+def _meet(batches):
+    """Rows (key, h1) sorted by both: those of keys of two lines or more, with their rank in the key and its centers.
 
-def _bodies(rows: DataFrame, lines: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h1, body): the text of every line that is in a pair, written as "sets"."""
-    involved = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b"))).distinct()
-    one = lines.where("size(keys) > 0").join(involved, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"))
-    wanted = one.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h1")).alias("wanted"))
+    Centers are the first STARS lines of a key; a line has those that come before it. Only these are held.
+    """
+    group, count, last, centers, held = None, 0, None, [], None
+    for batch in batches:
+        key, h = (batch.column(x).to_numpy() for x in ("key", "h1"))
+        if held is not None:
+            key, h = np.append(held[0], key), np.append(held[1], h)
+        n = len(h)
+        if not n:
+            continue
+        goes_on = count > 0 and key[0] == group
+        # Lines alone with their key go at once; the last key may go on.
+        change = np.ones(n + 1, bool)
+        change[1:-1] = key[1:] != key[:-1]
+        change[0], change[-1] = not goes_on, False
+        on = np.flatnonzero(~(change[:-1] & change[1:]))
+        key, h = key[on], h[on]
+        # A line that several tasks met first comes several times.
+        same = np.zeros(len(h), bool)
+        same[1:] = (key[1:] == key[:-1]) & (h[1:] == h[:-1])
+        same[:1] = goes_on and h[:1] == last
+        key, h = key[~same], h[~same]
+        n = len(h)
+        if not n:
+            continue
+        goes_on = goes_on and key[0] == group
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        g = np.cumsum(new) - 1
+        before = np.zeros(len(first), np.int64)
+        before[0] = count if goes_on else 0
+        rank = np.arange(n) - first[g] + before[g]
+        total = np.diff(np.append(first, n)) + before
+        known = np.zeros((n, STARS), np.int64)
+        for k in range(STARS):
+            known[:, k] = h[np.clip(first[g] + k - before[g], 0, n - 1)]
+            if goes_on and k < len(centers):
+                known[g == 0, k] = centers[k]
+        on = total[g] > 1
+        size = np.minimum(rank[on], STARS)
+        yield pa.record_batch([pa.array(key[on]), pa.array(h[on]), pa.array(rank[on]), list_array(known[on][np.arange(STARS) < size[:, None]], size, pa.int64())], names=["key", "h1", "rank", "centers"])
+        if total[-1] == 1:  # it may be alone: it waits for the next batch
+            held, count, group = (key[-1:], h[-1:]), 0, None
+        else:
+            own = h[first[-1] :][:STARS].tolist()
+            centers = (centers + own)[:STARS] if goes_on and len(first) == 1 else own
+            held, count, group, last = None, int(total[-1]), key[-1], h[-1]
+
+
+def _grams(column: pa.Array, row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the shingles of a binary column of single lines, repeats included."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    _, offs, data = column.buffers()
+    offsets = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
+    own = Lines.__new__(Lines)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if len(column) and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    own.data, own.s, own.e = np.concatenate([raw, np.zeros(Q, np.uint8)]), offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    h, line = own.shingles(np.arange(len(column)))
+    on = line < len(column)
+    return line[on].astype(np.int64), h[on]
+
+
+def _distinct(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (row, hash), sorted."""
+    span = np.searchsorted(row, np.arange(n + 1)).tolist()
+    for a, b in zip(span, span[1:], strict=False):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return row[new], h[new]
+
+
+def _with_size(batches):
+    """Adds n, the number of distinct shingles."""
+    keep_memory()
+    for batch in batches:
+        row, _ = _distinct(*_grams(batch.column("body")), batch.num_rows)
+        yield pa.record_batch([*batch.columns, pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int32))], names=[*batch.schema.names, "n"])
+
+
+def _similar(threshold: float):
+    """Streams (a, salt, b, n, body) sorted so that each center (b is null) comes before its members: links (a, b) at the threshold."""
 
     def run(batches):
+        keep_memory()
+        own = np.zeros(0, U)  # the center's set
         for batch in batches:
-            for i, j, c in chunks(batch.column("text")):
-                s, e, text, number, h = line_spans(c)
-                place = {(int(t), int(k)): x for x, (t, k) in enumerate(zip(text, number, strict=True))}
-                want = batch.column("wanted").slice(i, j - i).to_pylist()
-                chosen = [(place[t, w["line"]], w["h1"]) for t, ws in enumerate(want) for w in ws if (t, w["line"]) in place]
-                at = np.array([x for x, _ in chosen], np.int64)
-                raw = c.data.tobytes()
-                yield pa.record_batch([pa.array([x for _, x in chosen], pa.int64()), pa.array([raw[s[k] : e[k]].decode() for k in at], pa.string())], names=["h1", "body"])
-
-    bodies = rows.select("row", "text").join(wanted, "row").mapInArrow(run, "h1 long, body string").dropDuplicates(["h1"])
-    bodies = scratch.write(bodies, "sets")
-    scratch.release()
-    return bodies
-
-
-def _verified(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of line hashes whose exact shingle sets reach the threshold."""
-    both = pairs.join(bodies.select(F.col("h1").alias("a"), F.col("body").alias("ta")), "a").join(bodies.select(F.col("h1").alias("b"), F.col("body").alias("tb")), "b")
-
-    def similar(batches):
+            size, b = batch.column("n").to_numpy(), batch.column("b")
+            row, h = _grams(batch.column("body"))
+            edges = np.flatnonzero(np.append(np.asarray(b.is_null()), True)).tolist()
+            span = np.searchsorted(row, np.arange(len(size) + 1))
+            ok = np.zeros(len(size), bool)
+            for first, last in zip([-1, *edges[:-1]], edges, strict=True):  # a center and the rows up to the next one
+                if first >= 0:
+                    own = np.unique(h[span[first] : span[first + 1]])
+                for low in range(first + 1, last, 256):
+                    high = min(low + 256, last)
+                    theirs, member = h[span[low] : span[high]], row[span[low] : span[high]] - low
+                    at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                    hit = np.zeros((high - low) * len(own), bool)
+                    hit[(member * len(own) + at)[own[at] == theirs]] = True
+                    common = hit.reshape(high - low, -1).sum(1)
+                    ok[low:high] = common >= threshold * (len(own) + size[low:high] - common)
+            yield pa.record_batch([batch.column("a"), b], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, threshold: float, parts: int, most: int = 4096) -> DataFrame:
+    """The pairs (a, b) of line hashes whose exact shingle sets reach the threshold.
+
+    Members whose set's size allows it come to their center, whose text is shipped once for `most` of them.
+    """
+    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("salts"))
+    sized = sized.join(bodies.select(F.col("h1").alias("a"), F.col("n").alias("na")), "a")
+    members = pairs.join(sized, "a").join(bodies.select(F.col("h1").alias("b"), "n", "body"), "b").where(F.least("n", "na") >= threshold * F.greatest("n", "na"))
+    members = members.select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "n", "body")
+    heads = sized.join(bodies.select(F.col("h1").alias("a"), "body"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("na").alias("n"), "body")
+    rows = members.unionByName(heads).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_similar(threshold), "a long, b long")
+
+
+def _forests(threshold: float):
+    """Streams (key, p, q, band, member, component, keys, body) sorted by key, p and q: links of each group's spanning forest.
+
+    A pair is compared in the first band that it shares, so once in all.
+    """
+
+    def one(rows: pa.Table) -> pa.Table:
+        row, h = _distinct(*_grams(rows.column("body")), rows.num_rows)
+        keys = pc.list_flatten(rows.column("keys")).to_numpy().reshape(-1, BANDS)
+        band = int(np.flatnonzero(keys[0] == rows.column("key")[0].as_py())[0])
+        met = keys[:, :band]
+        return spanning_forest(rows.column("member").to_numpy(), rows.column("component").to_numpy(), row, h, threshold, lambda i, later: ~(met[later] == met[i]).any(1))
+
+    def run(batches):
+        keep_memory()
+        held: list = []
         for batch in batches:
-            parts = [_distinct_shingles(batch.column(x)) for x in ("ta", "tb")]
-            sizes = [np.bincount(p, minlength=batch.num_rows) for p, _ in parts]
-            pair, sh = np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts])
-            order = np.lexsort((sh, pair))
-            pair, sh = pair[order], sh[order]
-            common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (sh[1:] == sh[:-1])], minlength=batch.num_rows)
-            ok = common >= threshold * (sizes[0] + sizes[1] - common)
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
-
-    return both.mapInArrow(similar, "a long, b long").distinct()
-
-
-def _distinct_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of a column of single lines."""
-    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U)]
-    for i, _, c in chunks(column):
-        s, e, text, _, h = line_spans(c)
-        sh, line = shingle_table(s, e, h)
-        order = np.lexsort((sh, line))
-        sh, line = sh[order], line[order]
-        new = np.ones(len(sh), bool)
-        new[1:] = (sh[1:] != sh[:-1]) | (line[1:] != line[:-1])
-        rows.append(i + text[line[new]])
-        hashes.append(sh[new])
-    return np.concatenate(rows), np.concatenate(hashes)
-
-
-def _across(rows: DataFrame, threshold: float, block: int, most: int = 1 << 20) -> DataFrame:
-    """Links (a, b) of lines of one bucket (key, member, component, body) that join its components, by exact Jaccard.
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            group = np.stack([table.column(x).to_numpy().astype(np.int64) for x in ("key", "p", "q")])
+            edge = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
+            last = int(edge[-1]) if len(edge) else 0
+            for a, b in zip([0, *edge[:-1].tolist()], edge.tolist(), strict=False):
+                yield from one(table.slice(a, b - a)).to_batches()
+            held = table.slice(last).to_batches()  # the last group may go on
+        if held and sum(b.num_rows for b in held):
+            yield from one(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def _across(rows: DataFrame, threshold: float, parts: int, block: int, most: int = 1 << 20) -> DataFrame:
+    """Links (a, b) of lines of one bucket (key, member, component, keys, body) that join its components, by exact Jaccard.
 
     A bucket of more than `block` members or `most` bytes is dealt into parts, and each pair of parts is one group, so no
     group grows with the bucket. A group compares each member with the later ones that are not joined to it yet and
     gives a spanning forest: fewer links than members.
     """
     sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes"))
-    parts = rows.join(sized, "key").withColumn("parts", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / most)).cast("int"))
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "member", "component", "body")
-
-    def forest(table: pa.Table) -> pa.Table:
-        member = table.column("member").to_numpy()
-        _, label = np.unique(table.column("component").to_numpy(), return_inverse=True)
-        row, sh = _distinct_shingles(table.column("body"))
-        _, ids = np.unique(sh, return_inverse=True)
-        size = np.bincount(row, minlength=len(member))
-        begin = np.cumsum(size) - size
-        held = np.zeros(len(ids) + 1, np.int32)
-        a, b = [], []
-        for i in range(len(member) - 1):
-            if (label == label[0]).all():
-                break
-            own = ids[begin[i] : begin[i] + size[i]]
-            held[own] = 1
-            common = np.add.reduceat(held[ids[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1])
-            held[own] = 0
-            for j in np.flatnonzero(common >= threshold * (size[i] + size[i + 1 :] - common)) + i + 1:
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-                    a.append(member[i])
-                    b.append(member[j])
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long").distinct()
-
-
-def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """(rows, drops): documents with a row hash, and for each row with removals the sorted line numbers."""
+    cut = rows.join(sized, "key").withColumn("parts", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / most)).cast("int"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    # Two members of one part meet in its groups with the other parts.
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or part <> other")
+    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "member", "component", "keys", "body")
+    return dealt.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_forests(threshold), "a long, b long").distinct()
+
+
+def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 2048, hot: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(rows, drops): documents with (d, row), a row's id (the greatest long where null) and hash, and for each with removals the sorted line numbers."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "lines")
-    rows = documents.withColumn("row", F.xxhash64("doc_id", "text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = scratch.write(line_table(rows), "lines")
-    banded = lines.where("size(keys) > 0").select("h1", F.explode("keys").alias("key"))
-    least = banded.groupBy("key").agg(F.min("h1").alias("center"), F.max("h1").alias("far")).where("center <> far").select("key", "center")
-    buckets = scratch.write(banded.join(least, "key").select("key", "center", "h1"), "buckets")
-    pairs = scratch.write(buckets.where("h1 <> center").select(F.col("center").alias("a"), F.col("h1").alias("b")).distinct(), "pairs")
-    scratch.release()
-    bodies = _bodies(rows, lines, pairs, scratch)
-    links = scratch.write(_verified(pairs, bodies, threshold), "links")
-    scratch.release()
+    fresh = lines.where("body is not null")
+    banded = fresh.select("h1", F.explode("keys").alias("key"))
+    # A hot bucket is dealt into parts, with keys of their own.
+    few = scratch.write(hot_keys(banded, hot).where("salts > 1"), "hot")
+    dealt = banded.join(F.broadcast(few), "key", "left")  # 1,000 rows at most
+    part = F.when(F.col("salts") > 1, F.xxhash64("key", F.pmod(F.xxhash64("h1"), F.col("salts")))).otherwise(F.col("key"))
+    met = dealt.select(part.alias("key"), "h1").repartition(parts, "key").sortWithinPartitions("key", "h1").mapInArrow(_meet, "key long, h1 long, rank long, centers array<long>")
+    buckets = scratch.write(met, "buckets")
+    pairs = buckets.where("rank > 0").select("h1", F.explode("centers").alias("c")).select(F.least("c", "h1").alias("a"), F.greatest("c", "h1").alias("b"))
+    # Lines that no center of their bucket is.
+    others = buckets.where(F.col("rank") >= STARS).select("key", F.col("h1").alias("member"))
+    if few.limit(1).count():  # the least lines of a hot bucket's parts meet, and its parts are one bucket again
+        own = dealt.where("salts > 1")
+        tops = own.groupBy("key", part.alias("part")).agg(F.min("h1").alias("h1"))
+        split = tops.groupBy("key").agg(F.min("h1").alias("a"))
+        pairs = pairs.unionByName(tops.join(split, "key").where("h1 <> a").select("a", F.col("h1").alias("b")))
+        others = others.join(tops.select(F.col("part").alias("key")).distinct(), "key", "left_anti").unionByName(own.select("key", F.col("h1").alias("member")).distinct())
+    pairs = scratch.write(pairs.distinct(), "pairs")
+    involved = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+    bodies = fresh.select("h1", "body", "keys").join(involved, "h1", "left_semi").dropDuplicates(["h1"])
+    bodies = scratch.write(bodies.mapInArrow(_with_size, "h1 long, body binary, keys array<long>, n int"), "bodies")
+    links = scratch.write(_verified(pairs, bodies, threshold, parts), "links")
     comps = connected_components(links)
-    # Buckets that hold several components: their members meet one another, in blocks.
-    rest = open_rows(buckets.select("key", F.col("h1").alias("member")), comps, scratch, "open")
-    scratch.drop("buckets")
+    # Where those of a bucket are of several components, they all meet one another, in blocks.
+    rest = open_rows(others, comps, scratch, "open")
     if rest.limit(1).count():
-        more = _across(rest.join(bodies.withColumnRenamed("h1", "member"), "member"), threshold, block)
+        more = _across(rest.join(bodies.select(F.col("h1").alias("member"), "keys", "body"), "member"), threshold, parts, block)
         links = links.unionByName(scratch.write(more, "links-2"))
-        scratch.drop("open")
-        scratch.release()
         comps = connected_components(links)
-    scratch.drop("sets")
-    scratch.drop("pairs")
-    scratch.release()
-    comps = comps.withColumnRenamed("id", "h1")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row", "line")
-    # Equal lines are told apart by both hashes, fuzzy ones by component; first of each stays.
-    exact = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    named = exact.join(comps, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    fuzzy = comps.select("component").distinct().withColumn("joined", F.lit(True))
-    named = named.join(fuzzy, "component", "left").withColumn("h", F.when(F.col("joined"), F.lit(0).cast("long")).otherwise(F.col("h2")))
-    best = named.groupBy("component", "h").agg(F.min("first").alias("keep"))
-    keep = scratch.write(named.join(best, ["component", "h"]).select("h1", "h2", "keep"), "keep")
-    gone = lines.withColumn("place", place).join(keep, ["h1", "h2"]).where(F.col("place") > F.col("keep"))
-    scratch.release()
-    drops = scratch.write(gone.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
+    for table in ("buckets", "pairs", "bodies", "open"):
+        scratch.drop(table)
+    # Equal lines are told apart by both hashes, fuzzy ones by component; only lines with a partner go on.
+    exact = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).join(comps.withColumnRenamed("id", "h1"), "h1", "left").where("n > 1 or component is not null")
+    named = exact.select("h1", "h2", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).alias("g2"))
+    met = scratch.write(lines.select("d", "row", "line", "h1", "h2").join(named, ["h1", "h2"]).select("g1", F.coalesce("g2", F.lit(0)).alias("g2"), "d", "row", "line"), "met")
+    # The first of each group stays.
+    place = F.struct("d", "row", "line")
+    keep = met.groupBy("g1", "g2").agg(F.min(place).alias("keep"))
+    gone = met.join(keep, ["g1", "g2"]).where(place > F.col("keep"))
+    drops = scratch.write(gone.groupBy("d", "row").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
     scratch.drop("lines")
-    scratch.drop("keep")
-    scratch.release()
+    scratch.drop("met")
     return rows, drops
 
 
@@ -252,7 +391,7 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     slim = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("own"))
     rows, drops = removed_lines(slim, threshold)
-    cut = rows.join(drops, "row", "left")
+    cut = rows.join(drops, ["d", "row"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     text = F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text"))

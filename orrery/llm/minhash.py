@@ -20,13 +20,15 @@ grouped by equal text only; a null text equals no other. Repeated rows are equal
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.text import FOLDED, Chunk, Hashes, U, chunks, list_array, mix, small_batches, spans, windows
+from orrery.llm.text import FOLDED, Chunk, Hashes, U, chunks, list_array, mix, spans, windows
 from orrery.operators.components import connected_components
 from orrery.store import Scratch
 
@@ -87,7 +89,6 @@ _SKETCH = "doc_id long, row long, digest binary, bands array<long>"
 
 def sketch(documents: DataFrame, width: int = 5, counted: bool = False) -> DataFrame:
     """Content digest and band keys of every row, in one pass."""
-    small_batches(documents.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -144,9 +145,9 @@ def _jaccard(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def open_rows(rows: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(key, member, component) of the buckets (key, member) that hold more than two members and more than one component."""
+    """(key, member, component) of the buckets (key, member) that hold more than one component."""
     named = rows.join(comps.withColumnRenamed("id", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
-    keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
+    keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return scratch.write(named.join(keys, "key").select("key", "member", "component"), name)
 
 
@@ -157,6 +158,48 @@ def _star(rows: DataFrame, seed: int) -> DataFrame:
     return apart.select(F.least("member", "center.m").alias("a"), F.greatest("member", "center.m").alias("b")).distinct()
 
 
+def spanning_forest(member: np.ndarray, component: np.ndarray, row: np.ndarray, shingle: np.ndarray, threshold: float, new: Callable | None = None) -> pa.Table:
+    """Links (a, b) that join the components of some members where sets reach the threshold; (row, shingle): the distinct elements of each member's set, by row.
+
+    Each member is compared with the later ones; once all later ones are joined to it, nothing is left to do.
+    new(i, later): which of some later rows have not been compared with row i elsewhere.
+    """
+    _, label, n = np.unique(component, return_inverse=True, return_counts=True)
+    # Least components first: the members of the greatest, mostly at the end, need not meet one another.
+    order = np.lexsort((label, n[label]))
+    label, member = label[order], member[order]
+    turn = np.empty(len(order), np.int64)
+    turn[order] = np.arange(len(order))
+    row = turn[row]
+    by = np.argsort(row, kind="stable")
+    _, ids = np.unique(shingle, return_inverse=True)
+    row, ids = row[by], ids[by]
+    size = np.bincount(row, minlength=len(member))
+    begin = np.cumsum(size) - size
+    held = np.zeros(len(ids) + 1, bool)
+    a, b = [], []
+    for i in range(len(member) - 1):
+        later = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i])))
+        if new is not None and len(later):
+            later = later[new(order[i], order[later])]
+        if not len(later):
+            if (label[i:] == label[i]).all():
+                break
+            continue
+        held[ids[begin[i] : begin[i] + size[i]]] = True
+        n = size[later]
+        at = np.repeat(begin[later] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(np.repeat(np.arange(len(later)), n)[held[ids[at]]], minlength=len(later))
+        held[ids[begin[i] : begin[i] + size[i]]] = False
+        for j in later[common >= threshold * (size[i] + n - common)]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(member[i])
+                b.append(member[j])
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def _across(rows: DataFrame, sets: DataFrame, threshold: float, block: int, most: int = 1 << 19) -> DataFrame:
     """Links (a, b) of members of one bucket (key, member, component) that join its components, by exact Jaccard of their sets.
 
@@ -173,30 +216,8 @@ def _across(rows: DataFrame, sets: DataFrame, threshold: float, block: int, most
     dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "member", "component").join(sets, "member")
 
     def forest(table: pa.Table) -> pa.Table:
-        _, label, n = np.unique(table.column("component").to_numpy(), return_inverse=True, return_counts=True)
-        # Least components first: the members of the greatest, mostly at the end, need not meet one another.
-        order = np.lexsort((label, n[label]))
-        label, table = label[order], table.take(pa.array(order))
-        member = table.column("member").to_numpy()
         size = pc.list_value_length(table.column("shingles")).to_numpy().astype(np.int64)
-        _, ids = np.unique(pc.list_flatten(table.column("shingles")).to_numpy(), return_inverse=True)
-        begin = np.cumsum(size) - size
-        held = np.zeros(len(ids) + 1, np.int32)
-        a, b = [], []
-        for i in range(len(member) - 1):
-            if (label[i:] == label[i]).all():
-                break
-            own = ids[begin[i] : begin[i] + size[i]]
-            held[own] = 1
-            common = np.add.reduceat(held[ids[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1])
-            held[own] = 0
-            for j in np.flatnonzero(common >= threshold * (size[i] + size[i + 1 :] - common)) + i + 1:
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-                    a.append(member[i])
-                    b.append(member[j])
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return spanning_forest(table.column("member").to_numpy(), table.column("component").to_numpy(), np.repeat(np.arange(len(size)), size), pc.list_flatten(table.column("shingles")).to_numpy(), threshold)
 
     return dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long").distinct()
 

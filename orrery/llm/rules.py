@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.text import PLAIN, SPACED, Chunk, Hashes, chunks, small_batches, spans, windows
+from orrery.llm.text import PLAIN, SPACED, Chunk, Hashes, chunks, spans, windows
 from orrery.store import Scratch
 
 _SYMBOL = np.zeros(256, bool)
@@ -88,7 +88,6 @@ def _repeated(text: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 def measured(documents: DataFrame) -> DataFrame:
     """doc_id, lang and the measures of every row; a null text has no words."""
-    small_batches(documents.sparkSession)
     names = [m.split()[0] for m in MEASURES.split(", ")]
 
     def run(batches):

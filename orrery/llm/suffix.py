@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.text import PLAIN, Hashes, U, chunks, mix, small_batches
+from orrery.llm.text import PLAIN, Hashes, U, chunks, mix
 from orrery.store import Scratch
 
 LENGTH, K = 100, 24
@@ -405,7 +405,6 @@ def _cut(batches):
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for every document."""
     spark = documents.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "suffix")
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("row", F.xxhash64("doc_id", "text"))

@@ -3,11 +3,13 @@
 A batch is cut into chunks of whole texts; one chunk is one byte array with a zero after each
 text, so that no word, line or window crosses from one text into the next. Words are hashed from
 prefix sums of a polynomial modulo 2^64: any substring's hash costs three operations.
-Memory: about 60 bytes for each byte of a chunk, so the longest text decides.
+Memory: about 60 bytes for each byte of a chunk, so the longest text decides. Spark cuts Arrow batches at
+64 MB of its own accord (spark.sql.execution.arrow.maxBytesPerBatch).
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,8 +165,11 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def small_batches(spark) -> None:
-    """Batches of few rows, as a row can be a long text; a smaller setting stays as it is."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > 1000:
-        spark.conf.set(key, "1000")
+def keep_memory() -> None:
+    """Let this worker keep freed memory for its next arrays (up to 128 MB) instead of giving it back, which costs more than the work on them."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -243,8 +243,8 @@ def test_lines_of_mixed_buckets_lose_no_link(spark):
     grams = [frozenset(t[i : i + 8] for i in range(len(t) - 7)) for t in ts]
     links = [(i, j) for j in range(len(ts)) for i in range(j) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
     want = classes(links, range(len(ts)))
-    for block in (2048, 16):
-        _, drops = lines.removed_lines(docs(spark, ts).select("doc_id", "text"), block=block)
+    for block, hot in ((2048, 50_000), (16, 50_000), (16, 10)):
+        _, drops = lines.removed_lines(docs(spark, ts).select("doc_id", "text"), block=block, hot=hot)
         assert drops.count() == sum(i != c for i, c in want.items())
     assert 1 < len(set(want.values())) < 100
 
