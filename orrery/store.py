@@ -7,14 +7,13 @@ recomputation.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,17 +41,22 @@ class Scratch:
         fs.deleteOnExit(at)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
-        """Write df as Parquet and read it back: the plan above this starts at the files."""
+        """Write df as Parquet and read it back: the plan above this starts at the files.
+
+        Spark is asked to delete the shuffle files of this write when it is done; the session's own setting holds again after it.
+        """
         path = f"{self.base}/{table}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEAN)
+            else:
+                self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: str) -> None:
         fs, at = _fs(self.spark, f"{self.base}/{table}")
         fs.delete(at, True)
-
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans that are done with."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works beside
