@@ -247,7 +247,6 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     texts = rows.join(unique.join(involved, "member", "left_semi").withColumnRenamed("member", "m"), "row").select(F.col("m").alias("member"), "text").dropDuplicates(["member"])
     sets = scratch.write(shingle_sets(texts, width), "sets")
     links = scratch.write(_jaccard(pairs, sets, threshold), "links-1")
-    scratch.release()
     comps = scratch.write(connected_components(links), "components-1")
     # Buckets whose members are not yet one component: other centers first, each a linear number of pairs that joins
     # most of what belongs together; then all members meet all others.

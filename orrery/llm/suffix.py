@@ -417,13 +417,11 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = anchors.repartition(parts, "h").sortWithinPartitions("h", "doc", "row", "pos").mapInArrow(_grouped, _ANCHOR + ", kind int")
     grouped = scratch.write(grouped, "grouped")
-    scratch.release()
     equal = grouped.where("kind = 0 and left + right >= 100").select("row", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
     different = grouped.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("h", "pos", "left", "right")).alias("wanted"))
     segments = texts.select("doc", "row", "text").dropDuplicates(["row"]).join(different, "row").select("doc", "row", "text", "wanted").mapInArrow(_segments, "h long, doc long, row long, start int, bytes binary")
     resolved = segments.repartition(parts, "h").sortWithinPartitions("h", "doc", "row", "start").mapInArrow(_resolve, "row long, start int, end int")
     resolved = scratch.write(resolved, "resolved")
-    scratch.release()
     runs = equal.unionByName(resolved).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     runs = runs.join(copies, "row", "full").withColumn("runs", F.when(F.col("whole"), F.lit(None)).otherwise(F.col("runs")))
     out = rows.join(runs, "row", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
