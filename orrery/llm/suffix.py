@@ -6,16 +6,17 @@ A byte goes if a `LENGTH`-byte string covering it also starts earlier in the cor
 2. Every LENGTH-byte window has an anchor: its least-hashed K-byte string. Equal windows have equal
    anchors, so all copies of a window meet in the group of one anchor hash. An anchor's segment is
    what its windows can reach: LENGTH - K bytes to either side, cut at the text's ends. Anchors whose hash occurs once are done with.
-3. Of equal segments of a group the first occurrence stays and the others are removed whole.
-   Groups of several different segments get them as bytes, one for each.
-4. Groups are packed into indexes of about a MB: suffixes are sorted, the Burrows-Wheeler transform is
-   run-compressed, and suffix positions are sampled at the run ends. Rows that share LENGTH bytes
-   form one class, and a window is removed unless it is the earliest of its class. A group larger than one index
-   is cut into several; each later part streams its matching statistics over the earlier parts' run-length
-   indexes, whose runs stay few because the parts repeat each other.
-
-Only (hash, place) pairs and differing segments are shuffled, never windows. Groups are streamed in
-order of hash and place, so a hot anchor needs no memory in step 3, and bounded indexes in step 4.
+3. Of equal segments of a group the first stays and the others are removed whole. Equal segments of one Arrow batch
+   are told apart before the shuffle, so a passage of every document is one row a batch in its group.
+4. Groups of several different segments get them as bytes, one for each. The first segment of each group is its base. The bases of many
+   groups (about half a MB) become one index: their suffixes are sorted, the Burrows-Wheeler transform is run-compressed, and suffix positions are
+   sampled at the run ends. The other segments stream their matching statistics over it, and a window whose longest match
+   reaches LENGTH at an earlier place is marked.
+5. What is not marked, new text beside a repeated passage, is compared exactly among the segments of its group, by the hashes of its windows.
+
+Every mark has an earlier equal string, and the earliest of equal windows is never marked, so step 5 finds what step 4 leaves.
+Only (hash, place) pairs and differing segments are shuffled. The segments of a hot group are dealt to several tasks, each with the base;
+the windows left there meet in one more shuffle. Memory: one batch of rows, one pack of segments.
 
 Null text: empty. Rows equal in id and text get equal results. Texts under LENGTH bytes stay whole.
 """
@@ -26,14 +27,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.text import PLAIN, Hashes, U, chunks, mix
+from orrery.llm.text import PLAIN, Chunk, Hashes, U, chunks, keep_memory, mix
 from orrery.store import Scratch
 
 LENGTH, K = 100, 24
-INDEX = 1 << 20
+PACK = 1 << 19
 
 
 class RunLengthIndex:
@@ -50,76 +52,71 @@ class RunLengthIndex:
         inside[self.start + lens] = False
         text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
         self.text, n = text, len(text)
-        left = np.repeat(self.start + lens, lens + 1) - np.arange(n)  # symbols before the end mark
+        self.left = np.repeat(self.start + lens, lens + 1) - np.arange(n)  # symbols before the end mark
+        self.depths, self.ranks = [4], []
         pack = np.zeros(n, U)
-        for k in range(7):
+        for k in range(4):
             sym = np.zeros(n, U)
             sym[: n - k] = text[k:]
-            sym[left < k] = 0
+            sym[self.left < k] = 0
             pack = (pack << U(9)) | sym
-        self.depths, self.ranks = [7], []
-        order = np.argsort(pack, kind="stable")
-        rank = self._rank(order, pack)
+        rank, open_ = self._ranked(pack, np.arange(n), 4, None)
         self.ranks.append(rank)
-        while self.depths[-1] <= int(lens.max(initial=0)):
+        while len(open_):
             d = self.depths[-1]
-            second = np.zeros(n, np.int64)
-            second[: n - d] = rank[d:].astype(np.int64) + 1
-            second[left < d] = 0
-            pair = (rank.astype(np.int64) << 32) | second
-            order = np.argsort(pair, kind="stable")
-            rank = self._rank(order, pair)
+            second = rank[np.minimum(open_ + d, n - 1)].astype(U)
+            rank, open_ = self._ranked((rank[open_].astype(U) << U(n.bit_length())) | second, open_, 2 * d, rank)
             self.depths.append(2 * d)
             self.ranks.append(rank)
-        self.order = order  # suffix positions in order
-        bwt = np.where(order > 0, text[order - 1], 0)
+        self.order = np.empty(n, np.int64)  # suffix positions in order
+        self.order[rank] = np.arange(n)
+        bwt = np.where(self.order > 0, text[self.order - 1], 0)
         self.run_start = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1]))) if n else np.zeros(0, np.int64)
         self.run_symbol = bwt[self.run_start]
         self.run_end = np.append(self.run_start[1:], n) - 1 if n else self.run_start
-        self.sample_first, self.sample_last = order[self.run_start], order[self.run_end]
+        self.sample_first, self.sample_last = self.order[self.run_start], self.order[self.run_end]
+
+    def _ranked(self, key: np.ndarray, at: np.ndarray, depth: int, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of all suffixes by `depth` symbols, the least place of their group; and the suffixes that share theirs.
 
-    @staticmethod
-    def _rank(order: np.ndarray, key: np.ndarray) -> np.ndarray:
-        new = np.ones(len(order), np.int32)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.cumsum(new) - 1
-        return rank
+        key: what orders the suffixes `at`, whose groups are the only ones left open; a suffix that ends within depth stands alone, by position.
+        """
+        bits = int(len(self.text)).bit_length()
+        if int(key.max(initial=0)).bit_length() + bits <= 64:  # the place goes along in the number
+            key = np.sort((key << U(bits)) | at.astype(U))
+            at, key = (key & U((1 << bits) - 1)).astype(np.int64), key >> U(bits)
+        else:
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (key[1:] != key[:-1]) | (self.left[at[1:]] < depth)
+        # Places of a group: for the first sort from 0, later from the rank that its members had in common.
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        if rank is None:
+            own, out = first, np.empty(len(at), np.int32)
+        else:
+            out = rank.copy()
+            old = rank[at]
+            edge = np.ones(len(at), bool)
+            edge[1:] = old[1:] != old[:-1]
+            base = np.flatnonzero(edge)
+            own = old[first] + first - np.repeat(base, np.diff(np.append(base, len(at))))[first]
+        out[at] = np.repeat(own, size)
+        return out, at[np.repeat(size > 1, size)]
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of suffixes a and b, from the sorted ranks."""
+        """Length of the longest common prefix of suffixes a and b, from the ranks."""
         out = np.zeros(len(a), np.int64)
         n = len(self.text)
         for d, rank in zip(reversed(self.depths), reversed(self.ranks), strict=True):
-            i, j = a + out, b + out
-            ok = (i < n) & (j < n)
-            i, j = np.minimum(i, n - 1), np.minimum(j, n - 1)
-            ok &= (rank[i] == rank[j]) & (self.text[np.minimum(i + d - 1, n - 1)] != 0) & self._whole(i, d)
-            out += np.where(ok, d, 0)
-        for _ in range(6):
+            i, j = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
+            out += np.where((rank[i] == rank[j]) & (i != j), d, 0)
+        for _ in range(3):
             i, j = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
             out += (self.text[i] == self.text[j]) & (self.text[i] != 0)
         return out
 
-    def _whole(self, i: np.ndarray, d: int) -> np.ndarray:
-        if not hasattr(self, "_ends"):
-            self._ends = np.flatnonzero(self.text == 0)
-        at = np.searchsorted(self._ends, i)
-        return self._ends[np.minimum(at, len(self._ends) - 1)] >= i + d
-
-    def classes(self, length: int) -> np.ndarray:
-        """For every text position a class: equal exactly for suffixes that share `length` symbols; -1 where shorter."""
-        n = len(self.text)
-        long = self._whole(np.arange(n), length)
-        rows = self.order[long[self.order]]
-        d = next(k for k, x in enumerate(self.depths) if 2 * x >= length) if length > self.depths[0] else 0
-        head, tail = self.ranks[d][rows], self.ranks[d][np.minimum(rows + max(0, length - self.depths[d]), n - 1)]
-        new = np.ones(len(rows), np.int64)
-        new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
-        out = np.full(n, -1, np.int64)
-        out[rows] = np.cumsum(new) - 1
-        return out
-
     def _prepare(self) -> None:
         """LF by runs, and the threshold of each run: above it a mismatch goes to the run before."""
         n = len(self.text)
@@ -138,246 +135,312 @@ class RunLengthIndex:
             key = np.append(lcp * (n + 1) + np.arange(n), np.iinfo(np.int64).max)
             self.threshold[same] = np.minimum.reduceat(key, np.stack([low, high], 1).ravel())[::2] % (n + 1)
 
-    def matching_statistics(self, patterns: list[bytes], cap: int = 1 << 30) -> list[np.ndarray]:
-        """For each place of each pattern the length, up to cap, of the longest match that starts there.
+    def pointers(self, patterns: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """For each place of each pattern (rows of bytes + 1, filled up with 0) a text position where its longest match begins, or -1.
 
         All patterns go one symbol to the left at a time. On a mismatch the row moves to the nearest end of a
         run of the symbol, up or down by the threshold, where the suffix sample is known.
         """
         if not hasattr(self, "to"):
             self._prepare()
-        m = len(patterns)
-        lens = np.array([len(p) for p in patterns], np.int64)
-        width = int(lens.max(initial=0))
-        grid = np.zeros((m, width), np.int64)
-        for i, p in enumerate(patterns):
-            grid[i, : len(p)] = np.frombuffer(p, np.uint8).astype(np.int64) + 1
-        pointer = np.full((m, width), -1, np.int64)
-        row = np.zeros(m, np.int64)
-        place = np.full(m, int(self.order[0]) if len(self.order) else 0)
+        m, width = patterns.shape
+        by_length = np.argsort(-lens, kind="stable")
+        grid, longest = np.ascontiguousarray(patterns[by_length].T.astype(np.int64)), lens[by_length]
+        pointer = np.full((width, m), -1, np.int32)
+        row, place = np.zeros(m, np.int64), np.full(m, int(self.order[0]) if len(self.order) else 0)
+        n, last = len(self.text), max(0, len(self.by) - 1)
+        key = self.by_symbol.astype(np.int64) * (n + 1) + self.by_start
+        # For each pattern only its own length counts: the first `active` ones are at work.
         for t in range(width - 1, -1, -1):
-            who = np.flatnonzero(lens > t)
-            sym = grid[who, t]
-            r, at = row[who], place[who]
+            active = int(np.searchsorted(-longest, -t, "left"))
+            sym, r, at = grid[t, :active], row[:active], place[:active]
             lo, hi = self.symbol_from[sym], self.symbol_from[sym + 1]
-            # Last run of the symbol that begins at or before the row.
-            key = self.by_symbol.astype(np.int64) * (len(self.text) + 1) + self.by_start
-            k = np.searchsorted(key, sym * (len(self.text) + 1) + r, "right") - 1
+            k = np.searchsorted(key, sym * (n + 1) + r, "right") - 1  # last run of the symbol that begins at or before the row
             before = k >= lo
-            inside = before & (self.run_end[self.by[np.maximum(k, 0)]] >= r)
+            run_up, next_ = self.by[np.maximum(k, 0)], np.minimum(k + 1, last)
+            inside = before & (self.run_end[run_up] >= r)
             after = k + 1 < hi
-            down = ~inside & after & (~before | (r >= self.threshold[np.minimum(k + 1, len(self.by) - 1)]))
+            down = ~inside & after & (~before | (r >= self.threshold[next_]))
             up = ~inside & before & ~down
+            run = np.where(down, self.by[next_], run_up)
+            at = np.where(inside, at, np.where(down, self.sample_first[run], self.sample_last[run]))
+            r = np.where(inside, r, np.where(down, self.run_start[run], self.run_end[run]))
             none = ~(inside | up | down)
-            run_up, run_down = self.by[np.maximum(k, 0)], self.by[np.minimum(k + 1, len(self.by) - 1)]
-            at = np.where(up, self.sample_last[run_up], np.where(down, self.sample_first[run_down], at))
-            r = np.where(up, self.run_end[run_up], np.where(down, self.run_start[run_down], r))
-            run = np.where(down, run_down, run_up)
-            new = self.to[run] + (r - self.run_start[run])
-            row[who] = np.where(none, 0, new)
-            place[who] = np.where(none, self.order[0], at - 1)
-            pointer[who, t] = np.where(none, -1, at - 1)
-        out = []
-        n = len(self.text)
-        length = np.zeros(m, np.int64)
-        found = np.zeros((m, width), np.int64)
-        for t in range(width):
-            who = np.flatnonzero((lens > t) & (pointer[:, t] >= 0))
-            length = np.maximum(length - 1, 0)
-            length[(lens <= t) | (pointer[:, t] < 0)] = 0
-            while len(who):
-                i, j = t + length[who], pointer[who, t] + length[who]
-                ok = (length[who] < cap) & (i < lens[who]) & (j < n)
-                ok &= grid[who, np.minimum(i, width - 1)] == self.text[np.minimum(j, n - 1)]
-                who = who[ok]
-                length[who] += 1
-            found[:, t] = length
-        for i in range(m):
-            out.append(found[i, : lens[i]])
+            row[:active] = np.where(none, 0, self.to[run] + (r - self.run_start[run]))
+            place[:active] = np.where(none, self.order[0], at - 1)
+            pointer[t, :active] = np.where(none, -1, at - 1)
+        out = np.empty((m, width), np.int32)
+        out[by_length] = pointer.T
         return out
 
+    def matching_statistics(self, strings: list[bytes]) -> list[np.ndarray]:
+        """For each place of each string the length of the longest match that starts there."""
+        grid, lens = _grid(strings)
+        out, text = [], self.text.tolist()
+        for p, s in zip(self.pointers(grid, lens), strings, strict=True):
+            ms, k = np.zeros(len(s), np.int64), 0
+            for t in range(len(s)):
+                k = max(0, k - 1) if p[t] >= 0 else 0
+                while p[t] >= 0 and t + k < len(s) and p[t] + k < len(text) and text[p[t] + k] == s[t + k] + 1:
+                    k += 1
+                ms[t] = k
+            out.append(ms)
+        return out
+
+
+def _grid(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings as rows of bytes + 1, filled up with 0, and their lengths."""
+    lens = np.array([len(s) for s in strings], np.int64)
+    grid = np.zeros((len(strings), int(lens.max(initial=0))), np.uint16)
+    grid[np.arange(grid.shape[1]) < lens[:, None]] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    return grid, lens
+
+
+def _anchors(h: np.ndarray, c: Chunk) -> np.ndarray:
+    """Places of the leftmost least K-byte string of every LENGTH-byte window of the texts of a chunk; h: hash of the string at each place.
 
-def _anchors(h: np.ndarray, span: int) -> np.ndarray:
-    """Places of the leftmost least value of every window of `span` values of h."""
-    at = np.arange(len(h), dtype=np.int64)
-    width = 1
+    Order is by the upper bits of the hash, then by place, both in one number.
+    """
+    bits = U(int(len(h)).bit_length())
+    least = (h >> bits << bits) | np.arange(len(h), dtype=U)
+    width, span = 1, LENGTH - K + 1
     while width < span:
         step = min(width, span - width)
-        a, b = at[: len(at) - step], at[step:]
-        at = np.where(h[b] < h[a], b, a)
+        least = np.minimum(least[:-step], least[step:])
         width += step
-    keep = np.ones(len(at), bool)
-    keep[1:] = at[1:] != at[:-1]
-    return at[keep]
+    long = np.flatnonzero(c.size >= LENGTH)
+    edge = np.zeros(len(least) + 1, np.int8)
+    edge[c.start[long]] = 1
+    edge[c.start[long] + c.size[long] - LENGTH + 1] = -1
+    at = (least[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)] & U((1 << int(bits)) - 1)).astype(np.int64)
+    return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+
 
+_ANCHOR = "h long, seg long, doc long, row long, at long"
 
-_ANCHOR = "h long, seg long, doc long, row long, pos int, left int, right int"
+
+def _packed(pos: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """An anchor's place and reach in one number, in order of place."""
+    return (pos << 16) | (left << 8) | right
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
+    """Anchors of all texts. Of equal segments of one batch the first stands for all; the later ones are known to go: their `at` is inverted and their group random."""
+
     def run(batches):
+        keep_memory()
         for batch in batches:
             doc, row = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
+            found = []
             for i, _, c in chunks(batch.column("text")):
                 code = c.codes(PLAIN)
-                if len(code) < K:
+                if len(code) < LENGTH:
                     continue
                 whole = Hashes(code)
                 at = np.arange(len(code) - K + 1)
                 h = whole.of(at, at + K)
-                parts = []
-                for t in np.flatnonzero(c.size >= LENGTH):
-                    s, e = c.start[t], c.start[t] + c.size[t]
-                    parts.append((t, s + _anchors(h[s : e - K + 1], LENGTH - K + 1)))
-                if not parts:
-                    continue
-                p = np.concatenate([x for _, x in parts])
-                t = np.repeat([t for t, _ in parts], [len(x) for _, x in parts])
+                p = _anchors(h, c)
+                t = c.text_of(p)
                 s, e = c.start[t], c.start[t] + c.size[t]
                 low, high = np.maximum(s, p - (LENGTH - K)), np.minimum(e, p + LENGTH)
                 seg = mix(whole.of(low, high) + (p - low).astype(U))
-                yield pa.record_batch([pa.array(h[p].view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc[i + t]), pa.array(row[i + t]), pa.array((p - s).astype(np.int32)), pa.array((p - low).astype(np.int32)), pa.array((high - p).astype(np.int32))], names=["h", "seg", "doc", "row", "pos", "left", "right"])
+                found.append((h[p].view(np.int64), seg.view(np.int64), doc[i + t], row[i + t], _packed(p - s, p - low, high - p)))
+            if not found:
+                continue
+            h, seg, d, r, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            one = (mix(h.view(U)) ^ seg.view(U)).view(np.int64)
+            order = np.argsort(one, kind="stable")
+            same = np.concatenate(([False], one[order][1:] == one[order][:-1]))
+            sub = order[same | np.append(same[1:], False)]  # anchors whose segment comes again in the batch
+            sub = sub[np.lexsort((at[sub], r[sub], d[sub], one[sub]))]
+            again = np.concatenate(([False], one[sub][1:] == one[sub][:-1]))[: len(sub)]
+            head = sub[np.maximum.accumulate(np.where(again, 0, np.arange(len(sub))))] if len(sub) else sub
+            # A repeated row's anchor is the same place as its twin's.
+            later = again & ((d[sub] != d[head]) | (r[sub] != r[head]) | (at[sub] != at[head]))
+            known, keep = np.zeros(len(h), bool), np.ones(len(h), bool)
+            known[sub[later]] = True
+            keep[sub[again & ~later]] = False
+            h, at = np.where(known, mix((r ^ at).view(U)).view(np.int64), h), np.where(known, ~at, at)
+            yield pa.record_batch([pa.array(x[keep]) for x in (h, seg, d, r, at)], names=["h", "seg", "doc", "row", "at"])
 
     return texts.mapInArrow(run, _ANCHOR)
 
 
-def _index_groups(group: np.ndarray, order: list, data: list[bytes]) -> list[np.ndarray]:
-    """Which windows of each segment are not the earliest: one boolean array for each.
-
-    Segments come sorted by (group, order); no group is cut between calls unless `earlier` says so.
-    """
-    index = RunLengthIndex(data)
-    cls = index.classes(LENGTH)
-    spot = np.flatnonzero(cls >= 0)
-    seg = np.searchsorted(index.start, spot, "right") - 1
-    # Order of a window: its text's place in order of (doc, row), then its position there.
-    own = np.array(order, np.int64).reshape(-1, 3)
-    text = np.unique(own[:, :2], axis=0, return_inverse=True)[1].ravel() if len(own) else np.zeros(0, np.int64)
-    place = (text[seg] << 32) + (spot - index.start[seg] + own[seg, 2])
-    first = np.full(int(cls.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, cls[spot], place)
-    flat = np.zeros(len(cls) + 1, bool)
-    flat[spot] = place > first[cls[spot]]
-    out = [flat[s : s + max(0, len(d) - LENGTH + 1)].copy() for s, d in zip(index.start.tolist(), data, strict=True)]
-    return out, index
-
-
-def _runs(gone: np.ndarray) -> np.ndarray:
-    """[start, end) of the bytes covered by the removed windows."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2)
-    edge[:, 1] += LENGTH - 1
-    return edge
-
-
-def _resolve(batches):
-    """Segments sorted by (h, doc, row, start) to removed byte runs: row, start, end."""
-    hold: list[tuple] = []
-    # Indexes of the parts of group `hot` that are done, and the text that the last one ended in, with the furthest end there.
-    size, earlier, hot, reach = 0, [], None, (None, 0)
-
-    def flush(rows: list[tuple], before: list[RunLengthIndex]):
-        gone, index = _index_groups(np.array([r[0] for r in rows]), [(r[1], r[2], r[3]) for r in rows], [r[4] for r in rows])
-        for old in before:
-            for k, ms in enumerate(old.matching_statistics([r[4] for r in rows], LENGTH)):
-                # A window that an earlier part holds at this very place was judged there.
-                judged = reach[1] - LENGTH - rows[k][3] + 1 if rows[k][1:3] == reach[0] else 0
-                gone[k][max(0, judged) :] |= ms[max(0, judged) : len(gone[k])] >= LENGTH
-        starts, ends, own = [], [], []
-        for r, g in zip(rows, gone, strict=True):
-            for a, b in _runs(g):
-                own.append(r[2])
-                starts.append(r[3] + a)
-                ends.append(r[3] + b)
-        return pa.record_batch([pa.array(own, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["row", "start", "end"]), index
-
-    for batch in batches:
-        for r in zip(*(batch.column(k).to_pylist() for k in ("h", "doc", "row", "start", "bytes")), strict=True):
-            if earlier and r[0] != hot:  # the groups that follow have nothing to do with these parts
-                if hold:
-                    yield flush(hold, earlier)[0]
-                hold, size, earlier = [], 0, []
-            new = not hold or hold[-1][0] != r[0]
-            if size >= INDEX and (new or len({x[0] for x in hold}) == 1):
-                done, index = flush(hold, earlier)
-                yield done
-                if not new:  # a group larger than one index goes on
-                    text = hold[-1][1:3]
-                    ends = [x[3] + len(x[4]) for x in hold if x[1:3] == text]
-                    reach = (text, max(*ends, reach[1] if earlier and reach[0] == text else 0, 0))
-                    hot = r[0]
-                earlier = [] if new else [*earlier, index]
-                hold, size = [], 0
-            elif size >= INDEX:  # close all but the last group, which may be large
-                last = [x for x in hold if x[0] == r[0]]
-                done, _ = flush([x for x in hold if x[0] != r[0]], earlier)
-                yield done
-                hold, earlier = last, []
-                size = sum(len(x[4]) for x in hold)
-            hold.append(r)
-            size += len(r[4])
-    if hold:
-        yield flush(hold, earlier)[0]
-
-
 def _grouped(batches):
-    """Anchors sorted by (h, doc, row, pos), streamed: what the group says of each without bytes.
+    """Anchors sorted by (h, seg, doc, row, at), streamed: what the group says of each without bytes.
 
-    kind 0: a later copy of an equal segment of its group; 1: a first segment among different ones.
-    Rows equal in id and text have equal anchors, of which one counts.
-    A group's first segment is given out when a second kind of segment shows up.
+    kind 0: a later copy of an equal segment of its group; 1: a first segment of a group of different ones.
+    Rows equal in id and text have equal anchors, of which one counts. Only the last first segment of a group of
+    one kind is held.
     """
-    last_h, kinds, pending, place = None, set(), None, None
+    group, seg0, place0, several, held = None, None, None, False, None
     for batch in batches:
-        # Anchors of a repeated row stand next to each other; they are one place.
-        own = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "doc", "row", "pos")])
-        fresh = np.ones(batch.num_rows, bool)
-        fresh[1:] = (own[:, 1:] != own[:, :-1]).any(0)
-        if batch.num_rows:
-            fresh[0] = place is None or (own[:, 0] != place).any()
-            place = own[:, -1]
-        batch = batch.filter(pa.array(fresh))
-        h, seg = batch.column("h").to_numpy(), batch.column("seg").to_numpy()
-        edge = np.ones(len(h), bool)
-        edge[1:] = h[1:] != h[:-1]
-        edge[:1] = last_h is None or h[:1] != last_h  # the group of the batch before may go on
-        alone = edge & np.append(edge[1:], False)
-        take, kind, lead = [], [], []
-        for i in np.flatnonzero(~alone):
-            if h[i] != last_h:
-                last_h, kinds, pending = h[i], {int(seg[i])}, (batch.slice(i, 1))
-                continue
-            if int(seg[i]) in kinds:
-                take.append(i)
-                kind.append(0)
-                continue
-            if pending is not None:
-                lead.append(pending)
-                pending = None
-            kinds.add(int(seg[i]))
-            take.append(i)
-            kind.append(1)
-        if len(h) and alone[-1:].any():
-            last_h, kinds, pending = h[-1], {int(seg[-1])}, batch.slice(len(h) - 1, 1)
-        parts = [(batch.take(pa.array(take, pa.int64())), kind)] if take else []
-        parts += [(p, [1]) for p in lead]
-        for b, k in parts:
-            yield pa.record_batch([*b.columns, pa.array(k, pa.int32())], names=[*b.schema.names, "kind"])
+        sure = batch.column("at").to_numpy() < 0
+        if sure.any():
+            yield _kinds(batch.filter(pa.array(sure)), 0)
+            batch = batch.filter(pa.array(~sure))
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "seg", "doc", "row", "at")])
+        step = np.ones(cols.shape, bool)
+        step[:, 1:] = cols[:, 1:] != cols[:, :-1]
+        if group is not None:
+            step[:, 0] = cols[:, 0] != np.array([group, seg0, *place0])
+        fresh = step.any(0)  # anchors of a repeated row stand next to each other; they are one place
+        new_h, new_seg = step[0], step[0] | step[1]
+        g = np.cumsum(new_h)  # 0: the group of the batch before goes on
+        kinds = np.bincount(g, weights=new_seg, minlength=g[-1] + 1)
+        carried = group is not None and not new_h[0]
+        kinds[0] += (2 if several else 1) if carried else 0
+        yield _kinds(batch.filter(pa.array(fresh & ~new_seg)), 0)
+        if held is not None and carried and kinds[0] > 1:
+            yield _kinds(held, 1)
+            held = None
+        elif held is not None and not carried:
+            held = None
+        lead = new_seg & (kinds[g] > 1)
+        yield _kinds(batch.filter(pa.array(lead)), 1)
+        last = int(g[-1])
+        several = bool(kinds[last] > 1)
+        if not several and not (carried and last == 0):
+            at = int(np.flatnonzero(new_seg)[-1])
+            held = batch.slice(at, 1)
+        elif several:
+            held = None
+        group, seg0, place0 = int(cols[0, -1]), int(cols[1, -1]), tuple(int(x) for x in cols[2:, -1])
+
+
+def _kinds(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    at = batch.column("at").to_numpy()
+    at = np.where(at < 0, ~at, at)
+    reach = [(at >> 16).astype(np.int32), ((at >> 8) & 255).astype(np.int32), (at & 255).astype(np.int32)]
+    return pa.record_batch([*(batch.column(k) for k in ("h", "doc", "row")), *map(pa.array, reach), pa.array(np.full(len(at), kind, np.int32))], names=["h", "doc", "row", "pos", "left", "right", "kind"])
+
+
+_SEGMENT = "h long, salt int, doc long, row long, start int, base boolean, bytes binary"
 
 
 def _segments(batches):
+    """The bytes of the wanted anchors of each text; a base of a hot group once for each salt."""
+    for batch in batches:
+        wanted = batch.column("wanted")
+        count = pc.list_value_length(wanted).to_numpy()
+        w = pc.list_flatten(wanted)
+        h, salt, base, pos, left, right = (w.field(k).to_numpy(zero_copy_only=False) for k in ("h", "salt", "base", "pos", "left", "right"))
+        text = np.repeat(np.arange(batch.num_rows), count)
+        raw = [t.encode() for t in batch.column("text").to_pylist()]
+        low, high = pos - left, pos + right
+        body = [raw[t][a:b] for t, a, b in zip(text.tolist(), low.tolist(), high.tolist(), strict=True)]
+        yield pa.record_batch([pa.array(h), pa.array(salt), batch.column("doc").take(pa.array(text)), batch.column("row").take(pa.array(text)), pa.array(low.astype(np.int32)), pa.array(base), pa.array(body, pa.binary())], names=["h", "salt", "doc", "row", "start", "base", "bytes"])
+
+
+_RUN = "doc long, row long, start int, end int, w long"
+
+
+def _judge(table: pa.Table):
+    """Whole groups (h, salt), each with its base first: removed runs, and the windows of split groups that are left, as (w, doc, row, start)."""
+    cols = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("h", "salt", "doc", "row", "start", "base")}
+    body = table.column("bytes").to_pylist()
+    n = len(body)
+    head = np.ones(n, bool)
+    head[1:] = (cols["h"][1:] != cols["h"][:-1]) | (cols["salt"][1:] != cols["salt"][:-1])
+    g = np.cumsum(head) - 1
+    _, text = np.unique(np.stack([cols["doc"], cols["row"]]), axis=1, return_inverse=True)
+    text = text.ravel().astype(np.int64)
+    lens = np.array([len(b) for b in body], np.int64)
+    index = RunLengthIndex([body[i] for i in np.flatnonzero(head)])
+    base_of = np.flatnonzero(head)
+    # All segments as one array of codes, with a gap after each; hashes of windows come from its prefix sums.
+    codes = np.zeros(int((lens + 1).sum()), np.uint16)
+    begin = np.cumsum(lens + 1) - lens - 1
+    inside = np.ones(len(codes), bool)
+    inside[begin + lens] = False
+    codes[inside] = np.frombuffer(b"".join(body), np.uint8).astype(np.uint16) + 1
+    hashes, own = Hashes(codes), Hashes(index.text)
+    count = np.maximum(lens - LENGTH + 1, 0)
+    seg = np.repeat(np.arange(n), count)
+    t = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    value = hashes.of(begin[seg] + t, begin[seg] + t + LENGTH)
+    place = (text[seg] << 32) + cols["start"][seg] + t
+    gone = np.zeros(len(seg), bool)
+    stream = np.flatnonzero(~head)
+    if len(stream):
+        grid, own_lens = _grid([body[i] for i in stream])
+        pointer = index.pointers(grid, own_lens)
+        line = np.full(n, -1)
+        line[stream] = np.arange(len(stream))
+        on = np.flatnonzero(line[seg] >= 0)
+        p = pointer[line[seg[on]], t[on]].astype(np.int64)
+        ok = (p >= 0) & (index.left[np.maximum(p, 0)] >= LENGTH)
+        on, p = on[ok], p[ok]
+        at = np.searchsorted(index.start, p, "right") - 1
+        found = base_of[at]
+        earlier = (text[found] << 32) + cols["start"][found] + (p - index.start[at]) < place[on]
+        # Matching statistic of LENGTH or more: the longest match begins with the whole window.
+        gone[on] = earlier & (own.of(p, p + LENGTH) == value[on])
+    # Windows without a mark, against one another and the base's.
+    left = np.flatnonzero(~gone)
+    order = left[np.lexsort((place[left], mix(value[left] ^ mix(g[seg[left]].astype(U)))))]
+    first = np.ones(len(order), bool)
+    first[1:] = (value[order][1:] != value[order][:-1]) | (g[seg[order]][1:] != g[seg[order]][:-1])
+    lead = place[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+    gone[order[place[order] > lead]] = True
+    # Runs of marked windows.
+    edge = np.flatnonzero(gone & np.concatenate(([True], ~gone[:-1] | (seg[1:] != seg[:-1])))) if len(gone) else np.zeros(0, np.int64)
+    stop = np.flatnonzero(gone & np.concatenate((~gone[1:] | (seg[1:] != seg[:-1]), [True]))) if len(gone) else edge
+    start = cols["start"][seg[edge]] + t[edge]
+    end = cols["start"][seg[stop]] + t[stop] + LENGTH
+    i = seg[edge]
+    yield pa.record_batch([pa.array(cols["doc"][i]), pa.array(cols["row"][i]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.nulls(len(i), pa.int64())], names=["doc", "row", "start", "end", "w"])
+    split = order[first & (cols["salt"][seg[order]] >= 0)] if len(order) else order
+    if len(split):
+        i = seg[split]
+        w = mix(value[split] ^ mix(cols["h"][i].view(U))).view(np.int64)
+        s = (cols["start"][i] + t[split]).astype(np.int32)
+        yield pa.record_batch([pa.array(cols["doc"][i]), pa.array(cols["row"][i]), pa.array(s), pa.array(s + np.int32(LENGTH)), pa.array(w)], names=["doc", "row", "start", "end", "w"])
+
+
+def _resolve(size: int):
+    """Streams segments sorted by (h, salt, base first, doc, row, start) to _judge, in packs of whole groups whose bases are about `size` bytes."""
+
+    def run(batches):
+        keep_memory()
+        held: list = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.column("bytes").nbytes for b in held) < 2 * size:
+                continue
+            table = pa.Table.from_batches(held)
+            group = np.stack([table.column(x).to_numpy().astype(np.int64) for x in ("h", "salt")])
+            edge = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
+            if len(edge):
+                yield from _judge(table.slice(0, int(edge[-1])))
+                table = table.slice(int(edge[-1]))
+            held = table.to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield from _judge(pa.Table.from_batches(held))
+
+    return run
+
+
+def _later(batches):
+    """Windows sorted by (w, doc, row, start): all but the first place of each go."""
+    w0, first = None, None
     for batch in batches:
-        texts, docs, rows, wants = batch.column("text").to_pylist(), batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("wanted").to_pylist()
-        h, d, o, s, b = [], [], [], [], []
-        for text, doc, row, want in zip(texts, docs, rows, wants, strict=True):
-            raw = text.encode()
-            for w in want:
-                low = w["pos"] - w["left"]
-                h.append(w["h"])
-                d.append(doc)
-                o.append(row)
-                s.append(low)
-                b.append(raw[low : w["pos"] + w["right"]])
-        yield pa.record_batch([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(o, pa.int64()), pa.array(s, pa.int32()), pa.array(b, pa.binary())], names=["h", "doc", "row", "start", "bytes"])
+        w = batch.column("w").to_numpy()
+        if not len(w):
+            continue
+        place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("doc", "row", "start")])
+        new = np.ones(len(w), bool)
+        new[1:] = w[1:] != w[:-1]
+        new[0] = w0 is None or w[0] != w0
+        at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+        lead = place[:, np.maximum(at, 0)]
+        if first is not None:
+            lead[:, at < 0] = first[:, None]
+        gone = (place != lead).any(0)
+        w0, first = w[-1], lead[:, -1]
+        yield batch.select(["doc", "row", "start", "end"]).filter(pa.array(gone))
 
 
 def _cut(batches):
@@ -402,27 +465,41 @@ def _cut(batches):
         yield pa.record_batch([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())], names=list(out))
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for every document."""
+def remove_repeats(documents: DataFrame, pack: int = PACK, hot: int = 20_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for every document.
+
+    pack: bytes of segments that are judged at once; hot: a group of more different segments is dealt to several tasks.
+    """
     spark = documents.sparkSession
     scratch = Scratch(spark, "suffix")
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("row", F.xxhash64("doc_id", "text"))
     digests = rows.select("doc", "row", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.octet_length("text").alias("n"))
     firsts = digests.where(f"n >= {LENGTH}").groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("first"))
-    copies = digests.where(f"n >= {LENGTH}").join(firsts, "digest").where("struct(doc, row) <> first").select("row", F.lit(True).alias("whole")).distinct()
+    copies = digests.where(f"n >= {LENGTH}").join(firsts, "digest").where("struct(doc, row) <> first").select("doc", "row", F.lit(True).alias("whole")).distinct()
     copies = scratch.write(copies, "copies")
     texts = rows.where(F.octet_length("text") >= LENGTH)
     anchors = _anchor_rows(texts.select("doc", "row", "text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = anchors.repartition(parts, "h").sortWithinPartitions("h", "doc", "row", "pos").mapInArrow(_grouped, _ANCHOR + ", kind int")
+    grouped = anchors.repartition(parts, "h").sortWithinPartitions("h", "seg", "doc", "row", "at").mapInArrow(_grouped, "h long, doc long, row long, pos int, left int, right int, kind int")
     grouped = scratch.write(grouped, "grouped")
-    equal = grouped.where("kind = 0 and left + right >= 100").select("row", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
-    different = grouped.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("h", "pos", "left", "right")).alias("wanted"))
-    segments = texts.select("doc", "row", "text").dropDuplicates(["row"]).join(different, "row").select("doc", "row", "text", "wanted").mapInArrow(_segments, "h long, doc long, row long, start int, bytes binary")
-    resolved = segments.repartition(parts, "h").sortWithinPartitions("h", "doc", "row", "start").mapInArrow(_resolve, "row long, start int, end int")
-    resolved = scratch.write(resolved, "resolved")
-    runs = equal.unionByName(resolved).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    runs = runs.join(copies, "row", "full").withColumn("runs", F.when(F.col("whole"), F.lit(None)).otherwise(F.col("runs")))
-    out = rows.join(runs, "row", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
+    equal = grouped.where("kind = 0 and left + right >= 100").select("doc", "row", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
+    # Groups of many different segments: their number and their base.
+    different = grouped.where("kind = 1")
+    large = different.groupBy("h").count().where(F.col("count") > hot)
+    split = scratch.write(different.join(large, "h").groupBy("h").agg(F.ceil(F.count("*") / hot).cast("int").alias("salts"), F.min(F.struct("doc", "row", "pos")).alias("base")), "split")
+    dealt = different.join(split, "h", "left")
+    is_base = F.coalesce(F.struct("doc", "row", "pos") == F.col("base"), F.lit(False))
+    salts = F.when(F.col("salts").isNull(), F.array(F.lit(-1))).when(is_base, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", "pos"), F.col("salts")).cast("int")))
+    dealt = dealt.select("doc", "row", "h", F.explode(salts).alias("salt"), is_base.alias("base"), "pos", "left", "right")
+    wanted = dealt.groupBy("doc", "row").agg(F.collect_list(F.struct("h", "salt", "base", "pos", "left", "right")).alias("wanted"))
+    segments = texts.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(_segments, _SEGMENT)
+    judged = segments.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", F.desc("base"), "doc", "row", "start").mapInArrow(_resolve(pack), _RUN)
+    resolved = scratch.write(judged, "resolved")
+    runs = equal.unionByName(resolved.where("w is null").drop("w"))
+    if split.limit(1).count():
+        met = resolved.where("w is not null").repartition(parts, "w").sortWithinPartitions("w", "doc", "row", "start").mapInArrow(_later, "doc long, row long, start int, end int")
+        runs = runs.unionByName(scratch.write(met, "later"))
+    runs = runs.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    out = rows.join(runs, ["doc", "row"], "left").join(copies, ["doc", "row"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole"), F.lit(None)).otherwise(F.col("runs")).alias("runs"))
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

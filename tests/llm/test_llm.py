@@ -104,11 +104,7 @@ def removed(ts):
     return out
 
 
-@pytest.mark.parametrize("index", [1 << 20, 600])
-def test_repeats_match_brute_force(spark, monkeypatch, index):
-    monkeypatch.setattr(suffix, "INDEX", index)
-    ts = corpus(40) + ["ab" * 150, "x" + "ab" * 150]
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs(spark, ts)).collect()}
+def bytes_gone(got, ts):
     for d, (t, gone) in enumerate(zip(ts, removed(ts), strict=True)):
         b = (t or "").encode()
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
@@ -116,47 +112,38 @@ def test_repeats_match_brute_force(spark, monkeypatch, index):
         assert got[d]["n_spans"] == len(re.findall(b"\x01+", bytes(gone)))
 
 
-def test_groups_larger_than_an_index_stream_over_earlier_ones(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(suffix, "INDEX", 900)
-    rnd = random.Random(4)
-    base = bytes(rnd.choice(b"abcdef") for _ in range(176))
-    segs = []
-    for i in range(30):
-        s = bytearray(base)
-        s[rnd.choice([5, 60, 170])] = rnd.choice(b"uvwxyz")
-        segs.append((7, i, 100 + i, 10, bytes(s)))
-    segs.append((8, 0, 500, 0, base[:120]))
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*segs, strict=True)], names=["h", "doc", "row", "start", "bytes"])
-    got = {}
-    for b in suffix._resolve([batch]):
-        for r in b.to_pylist():
-            got.setdefault(r["row"], set()).update(range(r["start"], r["end"]))
-    first = {}
-    for h, _, row, start, s in segs[:30]:
-        want = set()
-        for k in range(77):
-            if first.setdefault(s[k : k + 100], row) != row:
-                want |= set(range(start + k, start + k + 100))
-        assert got.get(row, set()) == want
+@pytest.mark.parametrize("pack,hot", [(1 << 19, 20_000), (600, 5)])
+def test_repeats_match_brute_force(spark, pack, hot):
+    """With small packs, and with groups of more than five segments dealt to several tasks."""
+    ts = corpus(40) + ["ab" * 150, "x" + "ab" * 150]
+    bytes_gone({r["doc_id"]: r for r in suffix.remove_repeats(docs(spark, ts), pack, hot).collect()}, ts)
 
 
 def anchor_batches(rows, size):
     import pyarrow as pa
 
-    types = [pa.int64()] * 4 + [pa.int32()] * 3
-    whole = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "seg", "doc", "row", "pos", "left", "right"])
+    at = suffix._packed(*(np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6)))
+    at = np.where([r[7] for r in rows], ~at, at)  # known to go
+    cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+    whole = pa.RecordBatch.from_arrays([*cols, pa.array(at)], names=["h", "seg", "doc", "row", "at"])
     return [whole.slice(i, size) for i in range(0, len(rows), size)]
 
 
 def test_groups_go_on_past_batch_borders():
     rnd = random.Random(7)
-    rows = sorted((h, rnd.randrange(3), d, d, 5, 5, 95) for h in range(40) for d in range(rnd.choice([1, 2, 2, 3, 5])))
-    rows.sort(key=lambda r: (r[0], *r[2:]))
+    rows = {(h, rnd.randrange(3), d, d, 5, 5, 95, False) for h in range(60) for d in range(rnd.choice([1, 2, 2, 3, 5]))}
+    rows = sorted([*rows, *rnd.sample(sorted(rows), 20), (99, 0, 1, 1, 1, 1, 99, True)])  # some rows twice, one that is known to go
     given = lambda size: sorted(tuple(r.values()) for b in suffix._grouped(anchor_batches(rows, size)) for r in b.to_pylist())
-    want = given(len(rows))
-    assert want and all(given(size) == want for size in (1, 2, 3))
+    want = [(99, 1, 1, 1, 1, 99, 0)]
+    for h in range(60):
+        own = sorted({r for r in rows if r[0] == h})
+        firsts = {seg: min(r for r in own if r[1] == seg) for seg in {r[1] for r in own}}
+        for r in own:
+            if r != firsts[r[1]]:
+                want.append((h, *r[2:7], 0))
+            elif len(firsts) > 1:
+                want.append((h, *r[2:7], 1))
+    assert all(given(size) == sorted(want) for size in (1, 2, 3, 7, len(rows)))
 
 
 def test_repeated_rows_keep_what_one_row_keeps(spark):
@@ -170,50 +157,69 @@ def test_repeated_rows_keep_what_one_row_keeps(spark):
     assert out(make([t for t in ts for _ in range(2)])) == sorted(want * 2)
 
 
-def resolved(segs):
+def resolved(segs, pack, salts=1):
+    """Removed bytes by row of segments (h, doc, row, start, bytes); groups dealt to several tasks where salts > 1."""
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*segs, strict=True)], names=["h", "doc", "row", "start", "bytes"])
+    base = {h: min(s[1:4] for s in segs if s[0] == h) for h, *_ in segs}
+    dealt = [(h, salt, d, r, a, (d, r, a) == base[h] and salts > 1, b) for h, d, r, a, b in segs for salt in (range(salts) if salts > 1 and (d, r, a) == base[h] else [(d + a) % salts if salts > 1 else -1])]
+    dealt.sort(key=lambda x: (x[0], x[1], not x[5], *x[2:5]))
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    names = ["h", "salt", "doc", "row", "start", "base", "bytes"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*dealt, strict=True), types, strict=True)], names=names)
+    out = [r for b in suffix._resolve(pack)([batch.slice(i, 3) for i in range(0, len(dealt), 3)]) for r in b.to_pylist()]
+    left = sorted((r for r in out if r["w"] is not None), key=lambda r: (r["w"], r["doc"], r["row"], r["start"]))
+    assert bool(left) == (salts > 1)
+    runs = [r for r in out if r["w"] is None]
+    if left:
+        runs += [r for b in suffix._later([pa.RecordBatch.from_pylist(left[i : i + 5]) for i in range(0, len(left), 5)]) for r in b.to_pylist()]
     got = {}
-    for b in suffix._resolve([batch]):
-        for r in b.to_pylist():
-            got.setdefault(r["row"], set()).update(range(r["start"], r["end"]))
+    for r in runs:
+        got.setdefault(r["row"], set()).update(range(r["start"], r["end"]))
     return got
 
 
-@pytest.mark.parametrize("n", range(20, 31))
-def test_groups_after_a_streamed_one_are_judged_alone(monkeypatch, n):
-    monkeypatch.setattr(suffix, "INDEX", 900)
+def windows_gone(segs):
+    """Bytes that go by row, each window judged against all earlier ones of its group."""
+    want, first = {}, {}
+    for h, d, row, start, b in sorted(segs, key=lambda x: x[:4]):
+        for k in range(len(b) - 99):
+            first.setdefault((h, b[k : k + 100]), []).append((d, row, start + k))
+    for h, d, row, start, b in segs:
+        for k in range(len(b) - 99):
+            if min(first[h, b[k : k + 100]]) < (d, row, start + k):
+                want.setdefault(row, set()).update(range(start + k, start + k + 100))
+    return want
+
+
+@pytest.mark.parametrize("pack", [100, 900, 1 << 19])
+@pytest.mark.parametrize("salts", [1, 3])
+def test_segments_of_variants_match_brute_force(pack, salts):
     rnd = random.Random(4)
     base = bytes(rnd.choice(b"abcdef") for _ in range(176))
-    hot = []
-    for i in range(n):
+    segs = []
+    for i in range(60):
         s = bytearray(base)
         s[rnd.choice([5, 60, 170])] = rnd.choice(b"uvwxyz")
-        hot.append((7, i, 100 + i, 10, bytes(s)))
-    # The first occurrence of group 8 has bytes that group 7 has too; its copies go.
-    later = [(8, 0, 500, 0, base[:120]), (8, 1, 501, 3, base[:121]), (9, 0, 502, 0, base[130::-1])]
-    got = resolved(hot + later)
-    assert not {500, 502} & set(got) and got[501] == set(range(3, 123))
-    assert {r: x for r, x in got.items() if r < 500} == resolved(hot)
-
-
-@pytest.mark.parametrize("index", [350, 500, 700, 900, 1 << 20])
-def test_a_place_of_two_parts_does_not_remove_itself(monkeypatch, index):
+        segs.append((7 + i % 2, i, 100 + i, 10, bytes(s)))
+    # The first occurrence of group 9 has bytes that other groups have at later places: it stays, and its copy goes.
+    segs += [(9, -5, 500, 0, base[20:130]), (9, 70, 501, 3, base[20:131]), (11, 71, 502, 0, base[130::-1]), (11, 72, 503, 0, base[120::-1])]
+    got, want = resolved(segs, pack, salts), windows_gone(segs)
+    assert not {500, 502} & set(got) and set(range(3, 113)) <= got[501] and want[501] <= got[501]
+    # A pack may show an earlier equal window of another group too.
+    most = windows_gone([(0, *x[1:]) for x in segs])
+    assert all(want.get(r, set()) <= got.get(r, set()) <= most.get(r, set()) for r in {x[2] for x in segs})
+
+
+@pytest.mark.parametrize("pack", [350, 900, 1 << 19])
+@pytest.mark.parametrize("salts", [1, 2])
+def test_a_place_of_two_segments_does_not_remove_itself(pack, salts):
     """Periodic texts: one hash at many places, whose segments overlap."""
-    monkeypatch.setattr(suffix, "INDEX", index)
     rnd = random.Random(5)
     unit = bytes(rnd.choice(b"abcdef") for _ in range(30))
     texts = [unit * 9, b"x" + unit * 8 + b"yz", b"q" * 40 + unit * 7]
     segs = [(7, d, 70 + d, max(0, p - 76), t[max(0, p - 76) : p + 100]) for d, t in enumerate(texts) for p in range(len(t) - 23) if t[p : p + 24] == unit[:24]]
-    first, got = {}, resolved(segs)
-    for d, t in enumerate(texts):
-        want = set()
-        spots = {s + k for _, e, _, s, b in segs if e == d for k in range(len(b) - 99)}
-        for i in sorted(spots):
-            if first.setdefault(t[i : i + 100], (d, i)) != (d, i):
-                want |= set(range(i, i + 100))
-        assert got.get(70 + d, set()) == want
+    assert resolved(segs, pack, salts) == windows_gone(segs)
 
 
 def test_lines_match_brute_force(spark):
