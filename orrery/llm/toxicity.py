@@ -28,12 +28,24 @@ LEXICON = {
     "ridicule": ["clown", "clowns", "joke", "buffoon", "jerk", "creep"],
     "hate": ["hate", "despise", "loathe", "kill", "die"],
     "curse": ["damn", "crap", "hell", "bastard", "bloody"],
+    "threat": ["hurt", "destroy", "strangle", "stab", "shoot", "punch", "crush", "regret"],
+    "looks": ["ugly", "hideous", "fat", "freak", "monster", "pig", "swine", "cow"],
+    "deceit": ["liar", "liars", "cheat", "fraud", "snake", "traitor", "coward", "hypocrite"],
+    "scorn": ["ridiculous", "laughable", "shameful", "embarrassing", "contemptible", "despicable", "repulsive", "revolting", "sickening"],
+    "madness": ["crazy", "insane", "lunatic", "psycho", "maniac", "deranged"],
+    "german": ["idioten", "dummkopf", "trottel", "versager", "abschaum", "blöd", "dumm", "hass", "widerlich", "wertlos"],
+    "french": ["idiote", "imbécile", "crétin", "débile", "minable", "ordure", "nul", "haine", "stupide", "dégoûtant"],
+    "spanish": ["idiotas", "imbécil", "tonto", "estúpido", "basura", "inútil", "asqueroso", "odio", "patético", "escoria"],
 }
 #: Patterns of address and of masked spelling.
 PATTERNS = [
     r"\byou(?:'re| are)? (?:an? |such an? )?(?:\w+ )?(?:idiot|moron|loser|fool|clown|scum|trash|pathetic|stupid|worthless)",
     r"\b(?:1d[i1]ot|m[o0]r0n|l0ser|st[u\*]p[i1\*]d|tr[a@]sh|sc[u\*]m)\b",
     r"\b(?:shut up|go away|get lost|drop dead)\b",
+    r"\b(?:i|we|they) (?:all |really |just )?(?:hate|despise|loathe|can't stand) (?:you|them|these|those|people)\b",
+    r"\b(?:no one|nobody) (?:likes|loves|wants|needs|cares about) (?:you|him|her|them)\b",
+    r"\b(?:piece|bunch|pile|waste) of (?:\w+ )?(?:trash|garbage|crap|filth|scum|space|oxygen|idiots|losers)\b",
+    r"\b[a-z]+[\*@#\$%]{2,}[a-z]*\b",
 ]
 _words = {k: re.compile(r"\b(?:" + "|".join(v) + r")\b") for k, v in LEXICON.items()}
 _patterns = [re.compile(p) for p in PATTERNS]

@@ -3,7 +3,7 @@
 Votes are 0, 1 or 2 (abstain). P(votes, y) factors over a forest: every voter depends on y, and
 may depend on one other voter. The forest is the maximum spanning forest by conditional mutual
 information given y (Chow-Liu), so duplicated or overlapping voters are not counted twice.
-Parameters come from expectation-maximisation; rows with a known label pull the classes apart.
+Parameters come from expectation-maximisation, calibrated by the rows with a known label.
 It runs on a bounded sample on the driver.
 """
 
@@ -15,16 +15,16 @@ OUTCOMES = 3
 
 
 class LabelModel:
-    def __init__(self, trust: float = 0.999, smooth: float = 0.5, least_information: float = 0.01, rounds: int = 25):
+    def __init__(self, trust: float = 0.98, smooth: float = 0.5, least_information: float = 0.01, rounds: int = 25):
         self.trust, self.smooth, self.least, self.rounds = trust, smooth, least_information, rounds
 
-    def _known(self, labels: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio that a known label adds; -1 is unknown."""
-        r = np.log(self.trust / (1 - self.trust))
-        return np.where(labels == 1, r, np.where(labels == 0, -r, 0.0))
-
     def fit(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """Posterior P(y = 1) of every row of votes (n x m); labels: 0, 1 or -1 for each row."""
+        """Posterior P(y = 1) of every row of votes (n x m), from its votes alone.
+
+        labels: 0, 1 or -1 for each row. The expectation step takes them where they are known, so they calibrate the voters'
+        accuracies and the prior; without them it drifts to another latent class. What is returned is the voters' verdict
+        alone: no row's own label is part of its posterior.
+        """
         n, m = votes.shape
         self.parent = np.full(m, -1)
         known = labels >= 0
@@ -33,16 +33,16 @@ class LabelModel:
         post = np.where(known, np.where(labels == 1, self.trust, 1 - self.trust), np.clip(prior + 0.4 * agree, 0.02, 0.98))
         if not n or not m:
             self.prior, self.tables = prior, np.zeros((m, 2, OUTCOMES, OUTCOMES))
-            return post
+            return np.full(n, prior)
         # The forest comes first: started without it, EM takes a block of copied voters for the class itself.
         self.parent = self._forest(votes, post)
         for _ in range(self.rounds):
             self._maximise(votes, post)
-            new = self.posterior(votes, labels)
+            new = np.where(known, post, self.posterior(votes))
             moved, post = np.abs(new - post).max(), new
             if moved < 1e-4:
                 break
-        return post
+        return self.posterior(votes)
 
     def _maximise(self, votes: np.ndarray, post: np.ndarray) -> None:
         n, m = votes.shape
@@ -57,14 +57,12 @@ class LabelModel:
                 t = t + 2 * self.smooth * single
                 self.tables[j, y] = np.log(t / t.sum(1, keepdims=True))
 
-    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
         z = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
         for j in range(votes.shape[1]):
             above = votes[:, self.parent[j]] if self.parent[j] >= 0 else np.zeros(len(votes), votes.dtype)
             said = self.tables[j, 1, above, votes[:, j]] - self.tables[j, 0, above, votes[:, j]]
             z += np.where(votes[:, j] == 2, 0.0, said)  # silence of many rare voters is no evidence
-        if labels is not None:
-            z += self._known(labels)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def _forest(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
