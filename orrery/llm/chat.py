@@ -11,8 +11,9 @@ Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Control strings
 get a backslash after their first character, and one more where they have some already; the reader
 takes one away. So the formatted text has control strings only where the template put them.
 
-Null role or text: empty. Equal messages stay. Several rows of one (conv_id, turn) are ordered by
-role and text. An empty table gives no row.
+Null role or text: empty. Equal turns stay; several rows of one (conv_id, turn) are ordered by
+role and text. Of messages with one (conv_id, msg_id) the least by (parent_id, role, text, score) counts, nulls first. Rows without a
+conv_id or msg_id belong to no conversation and are left out. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -46,6 +47,12 @@ def reply_tree(turns: DataFrame) -> DataFrame:
     return ids.select("conv_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
 
 
+def unique_messages(messages: DataFrame) -> DataFrame:
+    """One row of each (conv_id, msg_id); see the module for which."""
+    order = W.partitionBy("conv_id", "msg_id").orderBy("parent_id", "role", "text", "score")
+    return messages.where("conv_id is not null and msg_id is not null").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+
+
 def chosen_paths(messages: DataFrame, branches: int = 1, max_rounds: int = 40) -> DataFrame:
     """(conv_id, path, place, msg_id): the messages of the best root-to-leaf paths, place from 1.
 
@@ -54,10 +61,10 @@ def chosen_paths(messages: DataFrame, branches: int = 1, max_rounds: int = 40) -
     """
     spark = messages.sparkSession
     scratch = Scratch(spark, "chat")
-    slim = messages.select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")).where("conv_id is not null and msg_id is not null")
+    slim = unique_messages(messages).select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     ids = slim.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("there"))
     first = slim.join(ids.distinct(), ["conv_id", "parent_id"], "left").select("conv_id", "msg_id", F.when(F.col("there"), F.col("parent_id")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))
-    state = scratch.write(first.dropDuplicates(["conv_id", "msg_id"]), "jump-0")
+    state = scratch.write(first, "jump-0")
     done, active = state.where("up is null"), state.where("up is not null")
     jumps = [active]
     for k in range(1, max_rounds + 1):
@@ -89,7 +96,7 @@ def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     loss: start (1-based) and length, in characters of `formatted`, of the assistant texts.
     """
-    body = messages.select("conv_id", "msg_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["conv_id", "msg_id"])
+    body = unique_messages(messages).select("conv_id", "msg_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     name = F.replace(F.replace(F.col("role"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     head = F.concat(F.lit(OPEN), escape(name), F.lit("\n"))
     said = escape(F.col("text"))

@@ -19,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.text import FOLDED, Hashes, chunks, list_array, spans
+from orrery.llm.text import FOLDED, Hashes, U, chunks, keep_memory, list_array, spans, windows
 from orrery.store import Scratch
 
-_INDEX = "shard string, docs array<struct<doc_id:long,n_words:int>>, terms array<long>, counts array<int>, postings binary"
+_INDEX = "shard string, docs array<struct<doc_id:{},n_words:int>>, terms array<long>, counts array<int>, postings binary"
 
 
 def build_index(documents: DataFrame) -> DataFrame:
-    """One row for each shard (about 2 MB of text): documents in order, terms, and their postings."""
+    """One row for each shard (about 2 MB of text): documents in order, terms, and their postings. doc_id may be of any type."""
 
     def run(batches):
+        keep_memory()
         for batch in batches:
             for i, j, c in chunks(batch.column("text")):
                 codes = c.codes(FOLDED)
@@ -45,12 +46,12 @@ def build_index(documents: DataFrame) -> DataFrame:
                 name = uuid.uuid4().hex  # one for each shard, also where texts and ids are equal; the written index keeps it
                 yield pa.record_batch([pa.array([name]), docs, list_array(terms, np.array([len(terms)]), pa.int64()), list_array(counts, np.array([len(counts)]), pa.int32()), pa.array([delta.astype(np.int32).tobytes()], pa.binary())], names=["shard", "docs", "terms", "counts", "postings"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, _INDEX)
+    return documents.select("doc_id", "text").mapInArrow(run, _INDEX.format(documents.schema["doc_id"].dataType.simpleString()))
 
 
 class Shard:
-    def __init__(self, terms: np.ndarray, counts: np.ndarray, postings: bytes):
-        self.terms, self.counts = terms, counts.astype(np.int64)
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, postings: bytes, vocabulary: tuple | None = None):
+        self.terms, self.counts, self.vocabulary = terms, counts.astype(np.int64), vocabulary
         self.end = np.cumsum(self.counts)
         self.delta = np.frombuffer(postings, np.int32)
         self.known: dict[int, np.ndarray] = {}
@@ -62,11 +63,15 @@ class Shard:
 
     def find(self, phrases: np.ndarray, sizes: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, place of its first word) of every match in the token stream."""
-        at = np.searchsorted(self.terms, phrases)
-        at = np.minimum(at, max(0, len(self.terms) - 1))
         inside = np.arange(phrases.shape[1]) < sizes[:, None]
-        have = (self.terms[at] == phrases) | ~inside if len(self.terms) else ~inside
-        live = np.flatnonzero(have.all(1) & (sizes > 0))
+        # Each term is looked up once, however many windows have it.
+        terms, which = self.vocabulary if self.vocabulary is not None else np.unique(phrases, return_inverse=True)
+        slot = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        there = self.terms[slot] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        which = which.reshape(phrases.shape)
+        live = np.flatnonzero((there[which] | ~inside).all(1) & (sizes > 0))
+        at = np.zeros(phrases.shape, np.int64)
+        at[live] = slot[which[live]]
         freq = np.where(inside, self.counts[at], np.iinfo(np.int64).max) if len(self.terms) else inside
         out_p, out_at = [], []
         for p in live:
@@ -90,28 +95,26 @@ class Shard:
 
 
 def phrase_windows(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows of texts: hashes (windows x width), sizes, and (window, text) pairs."""
-    rows, sizes, pairs = {}, [], set()
-    column = pa.array(texts, pa.string())
-    for i, _, c in chunks(column):
+    """Distinct windows of texts: hashes (windows x width), sizes, and (window, text) pairs; equal windows by a 64-bit hash."""
+    value, item, grids, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros((0, width), np.int64)], [np.zeros(0, np.int64)]
+    for i, _, c in chunks(pa.array(texts, pa.string())):
         codes = c.codes(FOLDED)
         s, e = spans(codes)
-        word, text = Hashes(codes).of(s, e).view(np.int64), c.text_of(s)
-        for t in range(c.n):
-            w = word[text == t]
-            for a in range(max(1, len(w) - width + 1) if len(w) else 0):
-                key = tuple(w[a : a + width])
-                k = rows.setdefault(key, len(rows))
-                if k == len(sizes):
-                    sizes.append(len(key))
-                pairs.add((k, i + t))
-    grid = np.zeros((len(rows), width), np.int64)
-    for key, k in rows.items():
-        grid[k, : len(key)] = key
-    return grid, np.array(sizes, np.int64), np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        word, text = Hashes(codes).of(s, e), c.text_of(s)
+        h, at = windows(word, text, width)
+        size = np.minimum(np.bincount(text, minlength=c.n)[text[at]], width) if len(at) else at
+        spot = at[:, None] + np.arange(width)
+        inside = np.arange(width) < size[:, None]
+        grids.append(np.where(inside, word.view(np.int64)[np.minimum(spot, max(0, len(word) - 1))], 0) if len(at) else np.zeros((0, width), np.int64))
+        value.append(h)
+        item.append(i + text[at])
+        sizes.append(size)
+    _, first, which = np.unique(np.concatenate(value), return_index=True, return_inverse=True)
+    pairs = np.unique(np.stack([which.ravel(), np.concatenate(item)], 1), axis=0)
+    return np.concatenate(grids)[first], np.concatenate(sizes)[first].astype(np.int64), pairs.reshape(-1, 2)
 
 
-_HITS = "shard string, place int, doc_id long, n_words int, runs array<struct<start:int,end:int>>, items array<string>"
+_HITS = "shard string, place int, doc_id {}, n_words int, runs array<struct<start:int,end:int>>, items array<string>"
 
 
 def search(index: DataFrame, items: list[tuple], width: int, slop: int = 0) -> DataFrame:
@@ -126,11 +129,12 @@ def search(index: DataFrame, items: list[tuple], width: int, slop: int = 0) -> D
     def run(batches):
         grid, sizes, pairs, names = shared.value
         start_of = np.searchsorted(pairs[:, 0], np.arange(len(sizes) + 1)) if len(pairs) else np.zeros(len(sizes) + 1, np.int64)
+        vocabulary = np.unique(grid, return_inverse=True)
         for batch in batches:
             for r in range(batch.num_rows):
                 docs = batch.column("docs")[r].values
                 ids, n = docs.field("doc_id"), docs.field("n_words").to_numpy().astype(np.int64)
-                shard = Shard(batch.column("terms")[r].values.to_numpy(), batch.column("counts")[r].values.to_numpy(), batch.column("postings")[r].as_py())
+                shard = Shard(batch.column("terms")[r].values.to_numpy(), batch.column("counts")[r].values.to_numpy(), batch.column("postings")[r].as_py(), vocabulary)
                 p, at = shard.find(grid, sizes, slop)
                 end = np.cumsum(n)
                 begin = end - n
@@ -152,7 +156,7 @@ def search(index: DataFrame, items: list[tuple], width: int, slop: int = 0) -> D
                     pa.array(found_runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(found_items, pa.list_(pa.string())),
                 ], names=["shard", "place", "doc_id", "n_words", "runs", "items"])
 
-    return index.mapInArrow(run, _HITS)
+    return index.mapInArrow(run, _HITS.format(index.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()))
 
 
 def _covered(runs: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Every language has a probability for each piece of a fixed public vocabulary. The probability of a
 word sums over all its segmentations into pieces (the forward algorithm), so no tokenizer has to
-guess one. Words are runs of letters, lower-cased, with the vocabulary's word mark in front; words
-of more than `LONGEST` letters are cut there. A text's log-probability adds up over its words.
+guess one. Words are runs of letters and their marks, lower-cased, of any length, with the vocabulary's word mark in
+front. A text's log-probability adds up over its words. Words past `PLAIN_LENGTH` letters are summed in logarithms.
 Piece probabilities come from expectation-maximisation (forward-backward) on a bounded sample.
 
 The forward pass runs over many words at once, and each task keeps the scores of words it has met.
@@ -16,40 +16,44 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm.learning import fold
 from orrery.llm.text import U
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST = 32
-_LETTERS = re.compile(r"[^\W\d_]+")
+PLAIN_LENGTH = 48
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_ASCII = re.compile("[a-z]+")
 _MARK = "▁"
 _CACHE = 200_000
 
 
-def read_pieces(path: str, longest: int = 12) -> list[str]:
+def read_pieces(path: str) -> list[str]:
     """The pieces of a public sentencepiece vocabulary, lower-cased, of letters and the word mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in found if 0 < len(p) <= longest and p.replace(_MARK, "").isalpha() | (p == _MARK))
+    return sorted(p for p in found if p and (p == _MARK or _LETTERS.fullmatch(p.replace(_MARK, ""))))
 
 
 def words_of(text: str | None) -> list[str]:
-    out = []
-    for w in _LETTERS.findall((text or "").lower()):
-        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+    """Words with a letter; marks alone are none."""
+    text = (text or "").lower()
+    if text.isascii():
+        return _ASCII.findall(text)
+    return [w for w in _LETTERS.findall(text) if w.isalpha() or any(ch.isalpha() for ch in w)]
 
 
 class Segmenter:
     """Forward and backward sums over all segmentations of words, for all languages at once."""
 
-    def __init__(self, pieces: list[str], longest: int = 12):
-        self.longest, self.n = longest, len(pieces)
+    def __init__(self, pieces: list[str]):
+        self.longest, self.n = max(map(len, pieces), default=1), len(pieces)
         hashes = np.array([self._hash(p) for p in pieces], U)
         order = np.argsort(hashes)
         self.sorted, self.ids = hashes[order], order
@@ -74,54 +78,94 @@ class Segmenter:
         h = np.zeros_like(code)
         for k in range(min(self.longest, width)):
             h = h[:, : width - k] * U(0x100000001B3) + code[:, k:] + U(1)
-            at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
-            hit = (self.sorted[at] == h) & (code[:, k:] != 0)
-            out[:, : width - k, k][hit] = self.ids[at[hit]]
+            on = np.flatnonzero((code[:, k:] != 0).ravel())  # a piece does not reach past its word
+            part = h.ravel()[on]
+            at = np.minimum(np.searchsorted(self.sorted, part), self.n - 1)
+            hit = self.sorted[at] == part
+            spot = on[hit]
+            out[spot // (width - k), spot % (width - k), k] = self.ids[at[hit]]
         single = out[:, :, 0]
         single[(single == self.n) & (code != 0)] = self.n + 1
         return out, size
 
+    def _steps(self, ids: np.ndarray) -> list[int]:
+        """The piece lengths, less 1, that occur at all."""
+        return [k for k in range(min(self.longest, ids.shape[1])) if (ids[:, :, k] != self.n).any()]
+
     def forward(self, ids: np.ndarray, table: np.ndarray) -> np.ndarray:
         """alpha (words x places + 1 x languages): sums over segmentations of each beginning."""
         n, width, _ = ids.shape
         alpha = np.zeros((n, width + 1, table.shape[1]))
         alpha[:, 0] = 1
+        steps = self._steps(ids)
+        for t in range(1, width + 1):
+            for k in steps:
+                if k < t:
+                    alpha[:, t] += alpha[:, t - k - 1] * table[ids[:, t - k - 1, k]]
+        return alpha
+
+    def _forward_log(self, ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Logarithms of the same, for words so long that the sums themselves vanish."""
+        n, width, _ = ids.shape
+        with np.errstate(divide="ignore"):
+            log = np.log(table)
+        alpha = np.full((n, width + 1, table.shape[1]), -np.inf)
+        alpha[:, 0] = 0
+        steps = self._steps(ids)
         for t in range(1, width + 1):
-            for k in range(min(self.longest, t)):
-                alpha[:, t] += alpha[:, t - k - 1] * table[ids[:, t - k - 1, k]]
+            terms = [alpha[:, t - k - 1] + log[ids[:, t - k - 1, k]] for k in steps if k < t]
+            alpha[:, t] = np.logaddexp.reduce(terms, 0)
         return alpha
 
+    def _parts(self, words: list[str]):
+        """(indexes, long) of words of like length, so many that their places number about 64,000."""
+        size = np.array([len(w) for w in words])
+        order = np.argsort(size, kind="stable")
+        i = 0
+        while i < len(order):
+            long = size[order[i]] > PLAIN_LENGTH
+            most = 1 if long else 2048
+            stop = len(order) if long else int(np.searchsorted(size[order], PLAIN_LENGTH, "right"))
+            yield order[i : min(i + most, stop)], long
+            i = min(i + most, stop)
+
     def scores(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """log P(word) for each language; table: probability of each piece (and none, unknown)."""
         out = np.zeros((len(words), table.shape[1]))
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for i in range(0, len(words), 2048):  # words of like length together
-            part = order[i : i + 2048]
+        for part, long in self._parts(words):
             ids, size = self.spell([words[j] for j in part])
-            alpha = self.forward(ids, table)
-            out[part] = np.log(alpha[np.arange(len(part)), size] + 1e-300)
+            if long:
+                out[part] = self._forward_log(ids, table)[np.arange(len(part)), size]
+            else:
+                out[part] = np.log(self.forward(ids, table)[np.arange(len(part)), size] + 1e-300)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in words that occur so many times (one language)."""
         total = np.zeros(self.n + 2)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for i in range(0, len(words), 2048):
-            part = order[i : i + 2048]
+        p = table[:, 0]
+        with np.errstate(divide="ignore"):
+            log = np.log(p)
+        for part, long in self._parts(words):
             ids, size = self.spell([words[j] for j in part])
             n, width, _ = ids.shape
-            p = table[:, 0]
-            alpha = self.forward(ids, table)[:, :, 0]
-            beta = np.zeros((n, width + 1))
-            beta[np.arange(n), size] = 1
+            steps = self._steps(ids)
+            add, one, zero = (np.add, 0.0, -np.inf) if long else (np.multiply, 1.0, 0.0)
+            alpha = (self._forward_log if long else self.forward)(ids, table)[:, :, 0]
+            own = log if long else p
+            beta = np.full((n, width + 1), zero)
+            beta[np.arange(n), size] = one
             for t in range(width - 1, -1, -1):
-                for k in range(min(self.longest, width - t)):
-                    beta[:, t] += p[ids[:, t, k]] * beta[:, t + k + 1]
-            z = counts[part] / np.maximum(beta[:, 0], 1e-300)
+                for k in steps:
+                    if k < width - t:
+                        term = add(own[ids[:, t, k]], beta[:, t + k + 1])
+                        beta[:, t] = np.logaddexp(beta[:, t], term) if long else beta[:, t] + term
             for t in range(width):
-                for k in range(min(self.longest, width - t)):
-                    use = alpha[:, t] * p[ids[:, t, k]] * beta[:, t + k + 1] * z
-                    total += np.bincount(ids[:, t, k], weights=use, minlength=self.n + 2)
+                for k in steps:
+                    if k < width - t:
+                        use = add(add(alpha[:, t], own[ids[:, t, k]]), beta[:, t + k + 1])
+                        use = np.exp(use - beta[:, 0]) if long else use / np.maximum(beta[:, 0], 1e-300)
+                        total += np.bincount(ids[:, t, k], weights=use * counts[part], minlength=self.n + 2)
         total[self.n] = 0
         return total
 
@@ -143,36 +187,36 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth
     return langs, table
 
 
-def language(documents: DataFrame, vocabulary: str = VOCABULARY, per_language: int = 600, max_languages: int = 200, types: int = 30000) -> DataFrame:
+def language(documents: DataFrame, vocabulary: str = VOCABULARY, per_language: int = 600, max_languages: int = 200) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document.
 
     Learns from text and lang of at most per_language rows of each language, lowest hash of the id
-    first, ids with crc32(doc_id) mod 3 = 1 and null ids excluded, and of those from the `types` most common
-    words; more than max_languages raises. score is the share of the likeliest language in the
-    posterior, tempered to one word's evidence on average. `und`, 0.0: null text, no letter, or
+    first, ids with crc32(doc_id) mod 3 = 1 and null ids excluded, with all their words; more than max_languages raises. score is the
+    share of the likeliest language in the posterior, tempered to one word's evidence on average. `und`, 0.0: null text, no letter, or
     nothing to learn from. Repeated rows are each predicted; extra columns are ignored.
     """
     spark = documents.sparkSession
     held = fold(F.col("doc_id"), 3) == 1
     base = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    ids = base.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id").distinct()
-    langs = [r["lang"] for r in ids.select("lang").distinct().limit(max_languages + 1).collect()]
+    taught = base.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    # The first rows of all languages at once; tasks pass on no more than per_language of each.
+    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = taught.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).select("lang", "doc_id")
+    langs = [r["lang"] for r in chosen.select("lang").distinct().limit(max_languages + 1).collect()]
     if len(langs) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+
+    def count(batches):
+        for batch in batches:
+            c: Counter = Counter()
+            for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                c.update((lang, w) for w in words_of(t))
+            yield pa.record_batch([pa.array([x for x, _ in c], pa.string()), pa.array([w for _, w in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+
     counts: dict[str, Counter] = {x: Counter() for x in langs}
-    for lang in sorted(langs):  # per_language rows of each, found by a top-n that merges in the tasks
-        chosen = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        sample = base.where(F.col("lang") == lang).select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-
-        def count(batches):
-            for batch in batches:
-                c: Counter = Counter()
-                for t in batch.column("text").to_pylist():
-                    c.update(words_of(t))
-                yield pa.record_batch([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-
-        top = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(types)
-        counts[lang].update({r["word"]: r["n"] for r in top.collect()})
+    sample = taught.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")  # max_languages x per_language rows
+    for r in sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["lang"]][r["word"]] = r["n"]
     pieces = read_pieces(vocabulary)
     names, table = learn(counts, pieces)
     shared = spark.sparkContext.broadcast((names, pieces, table.astype(np.float64)))  # vocabulary x languages

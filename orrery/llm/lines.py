@@ -384,8 +384,8 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
     return rows, drops
 
 
-def dedup_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents' columns, text without its removed lines, and n_lines, n_removed (lines with a word).
+def dedup_lines(documents: DataFrame, threshold: float = 0.8, counted: bool = True) -> DataFrame:
+    """The documents' columns, text without its removed lines, and where counted, n_lines and n_removed (lines with a word).
 
     Removed lines go with their newline. Every row stays, also where nothing of its text is left.
     """
@@ -396,4 +396,4 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     text = F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text"))
     counts = [F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed")]
-    return cut.select(*[text.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in documents.columns], *counts)
+    return cut.select(*[text.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in documents.columns], *counts * counted)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.text import FOLDED, Chunk, Hashes, U, chunks, list_array, mix, spans, windows
+from orrery.llm.text import FOLDED, Chunk, Hashes, U, chunks, keep_memory, list_array, mix, spans, windows
 from orrery.operators.components import connected_components
 from orrery.store import Scratch
 
@@ -91,6 +91,7 @@ def sketch(documents: DataFrame, width: int = 5, counted: bool = False) -> DataF
     """Content digest and band keys of every row, in one pass."""
 
     def run(batches):
+        keep_memory()
         for batch in batches:
             for i, j, c in chunks(batch.column("text")):
                 h, text = shingles(c, width)
@@ -122,6 +123,7 @@ def shingle_sets(documents: DataFrame, width: int) -> DataFrame:
     """(member, shingles): sorted distinct shingle hashes of each row's text."""
 
     def run(batches):
+        keep_memory()
         for batch in batches:
             for i, j, c in chunks(batch.column("text")):
                 h, text = shingles(c, width)

@@ -14,7 +14,8 @@ reruns agree, whatever the partitioning.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def targets(sizes: list[int], weights: list[float], total: float, limit: float)
     return out
 
 
-def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
+def split_quotas(quotas: list[int], shards: int, seed) -> np.ndarray:
     """Block quotas of each shard (shards x sources); every column adds up to its source's quota.
 
     Works down a binary tree of shard ranges: the left half gets its part of the blocks, drawn
@@ -59,24 +60,30 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
             continue
         mid = (low + high) // 2
         take = int(round(have.sum() * (mid - low) / (high - low)))
-        rng = np.random.Generator(np.random.PCG64([seed, low, high]))
+        rng = np.random.Generator(np.random.PCG64([*np.atleast_1d(seed), low, high]))
         left = rng.multivariate_hypergeometric(have, take, method="marginals")
         todo += [(low, mid, left), (mid, high, have - left)]
     return out
 
 
-def mix(documents: DataFrame, share: float = 1.5, limit: float = 2.0, block_words: int = 50_000, shard_words: int = 2_000_000, seed: int = 7, max_sources: int = 100_000, max_shards: int = 4096) -> tuple[DataFrame, DataFrame]:
+def row_key() -> Column:
+    """A hash of doc_id, source, text and lang that tells null from absent."""
+    return F.xxhash64("doc_id", *(x for c in ("source", "text", "lang") for x in (F.col(c).isNull(), F.col(c))))
+
+
+def mix(documents: DataFrame, share: float = 1.5, limit: float = 2.0, block_words: int = 50_000, shard_words: int = 250_000, seed: int = 7, max_sources: int = 100_000, max_edges: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(documents' plan, draws).
 
-    plan: key, doc_id, source, size, source_size, target, taken for every document; draws: key,
+    plan: key, doc_id, source, size, source_size, target, copies for every document; draws: key,
     doc_id, pass, shard, position for every copy taken. Null text has size 0; null source is a
     source of its own, last in order. Rows that repeat are separate documents. Only sums by source
-    (max_sources at most, checked) and the shard tree (max_shards leaves) are on the driver.
+    (max_sources at most, checked) and the upper part of the shard tree (max_edges numbers) are on the driver; where there are
+    more shards, the lower parts of the tree grow in tasks, one for each branch.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    own = documents.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "source", "text", "lang").alias("key"))
+    own = documents.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("key"))
     table = scratch.write(own, "sizes")
     rows = table.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
@@ -85,43 +92,68 @@ def mix(documents: DataFrame, share: float = 1.5, limit: float = 2.0, block_word
     sizes = [int(r["n"]) for r in rows]
     goal = targets(sizes, [WEIGHTS[i % 3] for i in range(len(rows))], share * sum(sizes), limit)
     plan = []
-    for r, n, t in zip(rows, sizes, goal, strict=True):
+    for i, (r, n, t) in enumerate(zip(rows, sizes, goal, strict=True)):
         whole = int(min(t // n, limit)) if n else 0
-        plan.append((r["source"], n, float(t), whole, float(t - whole * n), max(1, -(-n // block_words))))
-    small = F.broadcast(spark.createDataFrame(plan, "source string, source_size long, target double, whole long, rest double, blocks long"))  # max_sources rows
+        plan.append((i, r["source"], n, float(t), whole, float(t - whole * n), max(1, -(-n // block_words))))
+    small = F.broadcast(spark.createDataFrame(plan, "sid int, source string, source_size long, target double, whole long, rest double, blocks long"))  # max_sources rows
     joined = table.withColumnRenamed("source", "s").join(small, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     joined = joined.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("blocks")))
-    # Blocks are few and of bounded size: their permuted order is a window over one source's block sums.
-    by_order = W.partitionBy("source").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = joined.groupBy("source", "block").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-    blocks = blocks.withColumn("turn", F.xxhash64(F.lit(seed + 1), "source", "block")).withColumn("before", F.coalesce(F.sum("n").over(by_order), F.lit(0)))
-    blocks = blocks.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("turn", "block")) - 1)
-    cut = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "before", "rank", F.when(F.col("before") >= F.col("rest"), "none").when(F.col("before") + F.col("n") <= F.col("rest"), "all").otherwise("cut").alias("state"))
-    placed = joined.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    # The blocks' permuted order, by hash: sums over 4,096 stretches of it first, so no task sees all blocks of a source.
+    blocks = joined.groupBy("sid", "block").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
+    blocks = scratch.write(blocks.withColumn("turn", F.xxhash64(F.lit(seed + 1), "sid", "block")).withColumn("stretch", F.shiftright("turn", 52)), "blocks")
+    before = W.partitionBy("sid").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    long = blocks.groupBy("sid", "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    long = long.select("sid", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"))
+    inner = W.partitionBy("sid", "stretch").orderBy("turn", "block")
+    blocks = blocks.join(long, ["sid", "stretch"]).withColumn("before", F.col("n0") + F.coalesce(F.sum("n").over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumn("rank", F.col("m0") + F.row_number().over(inner) - 1)
+    state = F.when(F.col("before") >= F.col("rest"), "none").when(F.col("before") + F.col("n") <= F.col("rest"), "all").otherwise("cut")
+    cut = scratch.write(blocks.select("sid", "block", "before", "rank", state.alias("state")), "order")
+    placed = joined.join(cut, ["sid", "block"])
     # The one cut block of each source, ordered by hash: documents up to the target, to the nearer side.
-    inside = W.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "key"), "doc_id", "key").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed + 2), "key"), "doc_id", "key").rowsBetween(W.unboundedPreceding, 0)
     edge = placed.where("state = 'cut'").withColumn("upto", F.col("before") + F.sum("size").over(inside))
     edge = edge.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("long")).drop("upto")
     others = placed.where("state <> 'cut'").withColumn("extra", (F.col("state") == "all").cast("long"))
-    full = others.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")).withColumn("taken", F.col("copies") * F.col("size"))
-    done = scratch.write(full.select("key", "doc_id", "source", "size", "source_size", "target", "taken", "copies", "block", "rank", "blocks", "whole"), "plan")
+    full = others.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
+    done = scratch.write(full.select("key", "doc_id", "source", "size", "source_size", "target", "copies", "sid", "block", "rank", "blocks", "whole"), "plan")
 
     # Quotas in blocks: whole passes over all blocks and the started run; a shard takes runs of them.
-    started = {r["source"]: r["m"] for r in cut.where("state <> 'none'").groupBy(F.col("s").alias("source")).agg(F.count("*").alias("m")).collect()}  # a row for each source
-    quotas = [p[3] * p[5] + int(started.get(p[0], 0)) for p in plan]
-    shards = int(min(max_shards, max(1, -(-int(share * sum(sizes)) // shard_words))))
-    tree = split_quotas(quotas, shards, seed)
-    bounds = [(p[0], [int(x) for x in np.cumsum(tree[:, i])]) for i, p in enumerate(plan)]
-    edges = F.broadcast(spark.createDataFrame(bounds, "s string, upto array<long>"))  # max_sources x max_shards numbers
+    started = {r["sid"]: r["m"] for r in cut.where("state <> 'none'").groupBy("sid").agg(F.count("*").alias("m")).collect()}  # a row for each source
+    quotas = [p[4] * p[6] + int(started.get(p[0], 0)) for p in plan]
+    shards = max(1, -(-int(share * sum(sizes)) // shard_words))
+    branches = max(1, min(shards, max_edges // max(1, len(plan))))
+    twigs = -(-shards // branches)
+    tree = split_quotas(quotas, branches, seed)
+    upto = np.cumsum(tree, 0)
+    edges = F.broadcast(spark.createDataFrame([(i, [int(x) for x in upto[:, i]]) for i in range(len(plan))], "sid int, upto array<long>"))  # max_edges numbers
     copies = done.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
     # Each pass has its own permutation of the blocks, by rotation of the rank.
-    turn = F.pmod(F.col("rank") + F.when(F.col("pass") < F.col("whole"), F.pmod(F.xxhash64(F.lit(seed + 3), "source", "pass"), F.col("blocks"))).otherwise(0), F.col("blocks"))
-    draws = copies.withColumn("slot", F.col("pass") * F.col("blocks") + turn).join(edges, F.col("source").eqNullSafe(F.col("s")))
-    draws = draws.withColumn("shard", F.size(F.filter("upto", lambda x: x <= F.col("slot"))))
+    turn = F.pmod(F.col("rank") + F.when(F.col("pass") < F.col("whole"), F.pmod(F.xxhash64(F.lit(seed + 3), "sid", "pass"), F.col("blocks"))).otherwise(0), F.col("blocks"))
+    passed = F.size(F.filter("upto", lambda x: x <= F.col("slot")))
+    draws = copies.withColumn("slot", F.col("pass") * F.col("blocks") + turn).join(edges, "sid").withColumn("shard", passed)
+    if twigs > 1:
+        lower = spark.createDataFrame([(b, [int(x) for x in tree[b]], [int(x) for x in upto[b] - tree[b]]) for b in range(branches)], "branch int, quotas array<long>, first array<long>")
+
+        def grow(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    ends = np.cumsum(split_quotas(r["quotas"], twigs, [seed, r["branch"]]), 0) + np.array(r["first"])
+                    n = len(r["quotas"])
+                    yield pa.record_batch([pa.array([r["branch"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(ends.T.tolist(), pa.list_(pa.int64()))], names=["shard", "sid", "upto"])
+
+        lower = lower.repartition("branch").mapInArrow(grow, "shard int, sid int, upto array<long>")
+        draws = draws.drop("upto").join(lower, ["shard", "sid"]).withColumn("shard", F.col("shard") * twigs + passed)
     draws = draws.select("key", "doc_id", "pass", "shard", F.xxhash64(F.lit(seed + 4), "shard", "key", "pass").alias("position"))
     return done, draws
 
 
+def taken(plan: DataFrame, draws: DataFrame) -> DataFrame:
+    """The plan with `taken`, the words that the shards draw of each document; rows equal in id, source, text and lang are drawn alike."""
+    drawn = draws.groupBy("key").agg(F.count_distinct("pass").alias("drawn"))
+    return plan.join(drawn, "key", "left").withColumn("taken", F.col("size") * F.coalesce("drawn", F.lit(0)))
+
+
 def mixed_shards(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: (shard, position, doc_id, text) rows, each shard sorted by its own shuffle.
 
@@ -129,5 +161,6 @@ def mixed_shards(documents: DataFrame, **options) -> DataFrame:
     are taken equally often.
     """
     plan, draws = mix(documents, **options)
-    keyed = documents.select(F.xxhash64("doc_id", "source", "text", "lang").alias("key"), "text").dropDuplicates(["key"])
-    return draws.join(keyed, "key").select("shard", "position", "doc_id", "text").repartition("shard").sortWithinPartitions("shard", "position")
+    keyed = documents.select(row_key().alias("key"), F.col("doc_id").alias("id"), "text").dropDuplicates(["key", "id"])
+    met = draws.join(keyed, (draws["key"] == keyed["key"]) & draws["doc_id"].eqNullSafe(keyed["id"]))
+    return met.select("shard", "position", "doc_id", "text").repartition("shard").sortWithinPartitions("shard", "position")

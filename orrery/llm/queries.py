@@ -42,8 +42,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, _ = mixing.mix(_t(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    plan, draws = mixing.mix(_t(spark, sf_dir, "documents"))
+    return mixing.taken(plan, draws).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ with d as materialized (
 ), b as (
   select cast(item_id as varchar) as item,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-  from benchmark where item_id is not null
+  from benchmark
 ), bw as materialized (
   select distinct item, least(13, len(w)) as k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as win
   from (select item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as i from b where len(w) > 0)
@@ -101,7 +101,7 @@ with d as materialized (
   from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes where len(w) >= k)
 ), hit as materialized (select rid, dw.k, i, item from dw join bw on dw.k = bw.k and dw.win = bw.win
 ), cov as (select rid, count(*) as n_hit from (select distinct rid, unnest(range(i, i + k)) as p from hit) group by rid
-), items as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct rid, item from hit) group by rid)
+), items as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct rid, item from hit where item is not null) group by rid)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join cov using (rid) left join items using (rid)

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, decontam, langid, lines, linear, minhash, mixing, queries, rules, suffix, text, toxicity
+import corpus_pipeline
+from orrery.llm import chat, decontam, langid, lines, linear, minhash, mixing, quality, queries, rules, suffix, text, toxicity
 from orrery.llm.weaklabel import LabelModel
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row int"
@@ -353,6 +354,45 @@ def test_label_model_discounts_copies():
     assert ((post > 0.5) == y).mean() > 0.9 and (model.parent[3:] >= 0).sum() >= 2
 
 
+def test_label_model_matches_brute_force_em():
+    """Independent voters: posteriors against a plain sum over the two classes, parameters from weighted counts."""
+    rnd = np.random.default_rng(3)
+    y = rnd.random(500) < 0.3
+    votes = np.stack([np.where(rnd.random(500) < 0.3, 2, np.where(rnd.random(500) < p, ~y, y)).astype(np.int64) for p in (0.1, 0.2, 0.3)], 1)
+    labels = np.where(rnd.random(500) < 0.4, y, -1).astype(int)
+    model = LabelModel(least_information=9.0, rounds=200)
+    got = model.fit(votes, labels)
+    assert (model.parent == -1).all()
+    known = labels >= 0
+    prior = (np.sum(labels == 1) + 1) / (known.sum() + 2)
+    agree = ((votes == 1).sum(1) - (votes == 0).sum(1)) / 3
+    post = np.where(known, np.where(labels == 1, 0.98, 0.02), np.clip(prior + 0.4 * agree, 0.02, 0.98))
+
+    def said(w):
+        table = []
+        for j in range(3):
+            n = np.array([w[votes[:, j] == k].sum() for k in range(3)])
+            single = (n + 0.5) / (n + 0.5).sum()
+            table.append((n + single) / (n + single).sum())
+        return table
+
+    for _ in range(200):
+        p, one, zero = (post.sum() + 1) / 502, said(post), said(1 - post)
+        alone = []
+        for row in votes:
+            a, b = p, 1 - p
+            for j, v in enumerate(row):
+                if v != 2:
+                    a, b = a * one[j][v], b * zero[j][v]
+            alone.append(a / (a + b))
+        alone = np.array(alone)
+        new = np.where(known, post, alone)
+        done, post = np.abs(new - post).max() < 1e-4, new
+        if done:
+            break
+    assert np.abs(got - alone).max() < 0.01
+
+
 def test_linear_finds_the_feature():
     rnd = np.random.default_rng(0)
     y = rnd.random(800) < 0.2
@@ -380,6 +420,62 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([got[i]["predicted"] == int(i % 4 == 0) for i in got if got[i]["held_out"]]) > 0.95
 
 
+def test_quality_on_held_out_rows(spark):
+    rnd = random.Random(2)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [" ".join(rnd.choice(vocab) for _ in range(60)) if i % 3 else rnd.choice(["SPAM !!! $$$ BUY NOW !!! ", "aa bb aa bb\n"]) * 20 for i in range(300)]
+    d = docs(spark, rows).unionByName(docs(spark, [None, "", rows[0], rows[0]], 300))
+    lab = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(None, 1), (5, None), (7, 1), (7, 0)], "doc_id long, quality int").withColumn("text", F.lit("clash"))
+    got = quality.quality(d.withColumn("label", F.lit(3)), lab).collect()
+    assert len(got) == 304 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    by = {r["doc_id"]: r for r in got}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in by.items())
+    assert np.mean([by[i]["predicted"] == int(i % 3 > 0) for i in range(300) if by[i]["held_out"]]) > 0.95
+    assert by[302]["score"] == by[303]["score"] == by[0]["score"] and by[300]["score"] == by[301]["score"]
+    again = {r["doc_id"]: r["score"] for r in quality.quality(d.repartition(5), lab).collect()}
+    assert all(abs(again[i] - r["score"]) < 1e-9 for i, r in by.items())
+    assert quality.quality(d.limit(0), lab).count() == 0 and quality.quality(d, lab.limit(0)).count() == 304
+
+
+def test_pipeline_stages_on_odd_columns(spark, tmp_path):
+    """Clashing columns, null ids, repeated rows and an empty table; exact copies and a benchmark passage go, lines are cut."""
+    rnd = random.Random(6)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, a, b = say(40), say(90), say(90)
+    ts = [(1, a), (2, a), (None, b), (None, None), (5, passage + " end"), (5, passage + " end"), (6, ""), (7, say(30) + "\n" + b[:200]), (8, say(30) + "\n" + b[:200])]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, 3, 4) for i, t in ts], "doc_id long, text string, lang string, source string, n_chars long, n_lines int, row int, _row int, own int")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    for docs_ in (d, d.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs_, str(tmp_path)).columns == d.columns
+    near = corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in near) == sorted((i or -1, t or "") for i, t in {*ts} - {(2, a)})
+    clean = corpus_pipeline.drop_contaminated(spark, d, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in clean) == sorted((i or -1, t or "") for i, t in ts if i != 5)
+    cut = {r["doc_id"]: r for r in corpus_pipeline.drop_repeated_lines(spark, d.where("doc_id > 6"), str(tmp_path)).collect()}
+    assert cut[7]["text"] == ts[7][1] and cut[8]["text"] == ts[8][1].split("\n")[0] and cut[8]["n_chars"] == len(cut[8]["text"])
+
+
+def test_words_and_long_words_of_language_id():
+    assert langid.words_of("½ ² Ⅷ a\u0301b é_x 12 \u0301") == ["a\u0301b", "é", "x"]
+    seg = langid.Segmenter(["a", "b", "ab", "▁", "▁a"])
+    p = np.array([0.1, 0.2, 0.3, 0.15, 0.05, 0, 0.01])[:, None]
+
+    def brute(word):  # log of the sum over segmentations, by recursion from the end
+        prob = dict(zip(seg_pieces, p[:, 0], strict=False))
+        total = [0.0] * len(word) + [1.0]
+        for i in range(len(word) - 1, -1, -1):
+            total[i] = sum(prob[q] * total[i + len(q)] for q in seg_pieces if word.startswith(q, i))
+        return np.log(total[0])
+
+    seg_pieces = ["a", "b", "ab", "▁", "▁a"]
+    words = ["ab" * 10, "ab" * 40, "ba" * 30]
+    assert np.allclose(seg.scores(words, p)[:, 0], [brute("▁" + w) for w in words])
+    assert np.isfinite(seg.scores(["ab" * 3000], p)).all()
+
+
 def test_language(spark):
     rnd = random.Random(1)
     words = {"en": ["the", "and", "thing", "this", "that"], "fr": ["le", "eau", "que", "être", "pour"]}
@@ -404,13 +500,17 @@ def test_mixing_targets_quotas_and_draws(spark):
     rows = plan.collect()
     by = {}
     for r in rows:
-        assert 0 <= r["taken"] <= 2 * r["size"]
+        assert 0 <= r["copies"] <= 2
         a = by.setdefault(r["source"], [0, r["target"], r["source_size"]])
-        a[0] += r["taken"]
+        a[0] += r["copies"] * r["size"]
     assert all(abs(t - goal) <= 170 for t, goal, _ in by.values()) and abs(sum(x[1] for x in by.values()) - 1.5 * sum(x[2] for x in by.values())) < 1e-6
     assert draws.count() == sum(r["copies"] for r in rows) and draws.distinct().count() == draws.count()
+    drawn = sorted((r["doc_id"], r["taken"]) for r in mixing.taken(plan, draws).collect())
+    assert drawn == sorted((r["doc_id"], r["size"] * r["copies"]) for r in rows)
+    _, deep = mixing.mix(d, block_words=500, shard_words=2000, max_edges=9)  # three branches, the rest of the tree in tasks
+    assert deep.count() == draws.count() and deep.select("shard").distinct().count() > 3
     again, _ = mixing.mix(d.repartition(7), block_words=500, shard_words=2000)
-    assert sorted((r["doc_id"], r["taken"]) for r in again.collect()) == sorted((r["doc_id"], r["taken"]) for r in rows)
+    assert sorted((r["doc_id"], r["copies"]) for r in again.collect()) == sorted((r["doc_id"], r["copies"]) for r in rows)
     assert mixing.mixed_shards(d, block_words=500, shard_words=2000).count() == draws.count()
 
 
@@ -424,13 +524,15 @@ def test_chat_round_trip_and_branches(spark):
     got = sorted((r["path"], r["place"], r["msg_id"]) for r in chat.chosen_paths(tree, branches=2).collect())
     assert got == [(1, 1, 5), (2, 1, 1), (2, 2, 3), (2, 3, 4)]
     assert chat.format_paths(chat.reply_tree(turns.limit(0))).count() == 0
+    twice = spark.createDataFrame([(1, 1, None, "user", "b", 0.0), (1, 1, None, "user", "a", 5.0), (None, 1, None, "user", "lost", 0.0), (1, 2, 1, "assistant", "c", 0.0)], tree.schema)
+    assert [r["formatted"] for r in chat.format_paths(twice).collect()] == ["<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"]
 
 
 def test_empty_tables(spark):
     d = docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
-    for out in (minhash.near_duplicates(d), toxicity.toxicity(d, lab), rules.quality_rules(d, lab), decontam.decontaminate(d, items), langid.language(d), mixing.mix(d)[0], suffix.remove_repeats(d), lines.dedup_lines(d)):
+    for out in (minhash.near_duplicates(d), toxicity.toxicity(d, lab), quality.quality(d, lab), rules.quality_rules(d, lab), decontam.decontaminate(d, items), langid.language(d), mixing.mix(d)[0], suffix.remove_repeats(d), lines.dedup_lines(d)):
         assert out.count() == 0
 
 
@@ -438,7 +540,7 @@ def test_null_and_odd_rows(spark):
     d = spark.createDataFrame([(None, None, None, None, None), (None, "", None, "s", 0), (3, "z" * 5000, "en", "s", 1), (3, "z" * 5000, "en", "s", 1), (4, "\x00\n\x85 x", "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     lab = spark.createDataFrame([(3, 1, 1)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "z" * 5000), (None, "x")], "item_id long, text string")
-    for out in (minhash.near_duplicates(d), toxicity.toxicity(d, lab), rules.quality_rules(d, lab), decontam.decontaminate(d, items), langid.language(d), mixing.mix(d)[0], suffix.remove_repeats(d), lines.dedup_lines(d)):
+    for out in (minhash.near_duplicates(d), toxicity.toxicity(d, lab), quality.quality(d, lab), rules.quality_rules(d, lab), decontam.decontaminate(d, items), langid.language(d), mixing.mix(d)[0], suffix.remove_repeats(d), lines.dedup_lines(d)):
         assert out.count() == 5
 
 
