@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 #: Classes of paths and their patterns.
 CLASSES = {
-    "test": r"(^|/)(tests?|__tests__|specs?)(/|$)|[._-](test|spec)\.[a-z]+$",
-    "e2e": r"(^|/)(e2e|cypress|playwright)(/|$)",
-    "generated": r"(^|/)(generated|__generated__|gen)(/|$)|\.(generated|g|pb)\.[a-z]+$",
-    "vendored": r"(^|/)(vendor|vendors|third_party|node_modules)(/|$)",
-    "mock": r"(^|/)(mocks?|__mocks__|fixtures?)(/|$)",
-    "story": r"\.(story|stories)\.[a-z]+$",
-    "docs": r"(^|/)(docs?|documentation)(/|$)|\.(md|rst)$",
-    "benchmark": r"(^|/)(bench|benchmarks?)(/|$)",
-    "temp": r"(^|/)(tmp|temp|scratch)(/|$)",
+    "e2e": r"(^|/)(?:test-e2e|e2e|cypress|playwright|tests?[-_](?:e2e|integration|acceptance)|(?:e2e|integration|acceptance)[-_]tests?)(/|$)|\.(?:e2e|cy)\.[^./]+$",
+    "test": r"(^|/)(?:__tests?__|tests?|spec)(/|$)|\.(?:test|itest|spec)\.[^./]+$|_test\.go$|(^|/)test(?:_[^/]*)?\.py$",
+    "generated": r"(^|/)(?:generated|gen|openapi[-_]?generated|generated[-_]?client|api[-_]?client[-_]?generated)(/|$)|(^|/)(?:dist|build|out|coverage|\.next)(/|$)",
+    "vendored": r"(^|/)(?:vendor|vendored|third[-_]?party)(/|$)",
+    "mock": r"(^|/)(?:__mocks__|mocks?|fixtures?|__fixtures__)(/|$)|(^|/)(?:mock[-_.]?data|test[-_.]?data|fake[-_.]?data)\.[^./]+$",
+    "story": r"(^|/)\.storybook(/|$)|\.stories?\.[^./]+$",
+    "docs": r"(^|/)(?:docs?|documentation)(/|$)|\.(?:md|markdown|mdx|rst|adoc)$",
+    "benchmark": r"(^|/)benchmarks?(/|$)",
+    "temp": r"(^|/)(?:__temp|\.tmp(?:[-_][^/]*)?)(/|$)",
 }
 
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators.components import connected_components
+from orrery.store import Scratch
+
 GRAM, WINDOW, HOT = 8, 4, 120
 
 
@@ -21,6 +25,7 @@ def clone_pairs(prints: DataFrame, least_shared: int = 8, similarity: float = 0.
 
     The limit belongs to the operator's meaning and bounds each bucket of the inverted index.
     """
+    prints = Scratch(prints.sparkSession, "clones").write(prints, "prints")  # read three times
     rare = prints.groupBy("fp").agg(F.count("*").alias("n")).where((F.col("n") <= HOT))
     kept = prints.join(rare.select("fp"), "fp", "left_semi")
     size = kept.groupBy("id").agg(F.count("*").alias("n"))
@@ -29,3 +34,18 @@ def clone_pairs(prints: DataFrame, least_shared: int = 8, similarity: float = 0.
     j = pairs.where(F.col("shared") >= least_shared).join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     sim = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return j.where(sim >= similarity).select("a", "b", "shared", F.floor(sim * 100).cast("long").alias("similarity"))
+
+
+def group_evidence(pairs: DataFrame, fragments: DataFrame, shown: int = 12) -> DataFrame:
+    """component, members, tokens, strongest, weakest, first (A40): what is known of each group of linked clones.
+
+    pairs: a, b, similarity; fragments: id, location, tokens. Fragments of one location count once, the least id;
+    strongest and weakest are similarities of links, not of all pairs; first: the first `shown` locations, an array.
+    """
+    comps = connected_components(pairs)
+    members = fragments.join(comps, "id").groupBy("component", "location").agg(F.min_by("tokens", "id").alias("tokens"))
+    named = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("tokens").cast("long").alias("tokens"))
+    order = W.partitionBy("component").orderBy("location")
+    few = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= shown).groupBy("component").agg(F.array_sort(F.collect_list("location")).alias("first"))
+    linked = pairs.join(comps.select(F.col("id").alias("a"), "component"), "a").groupBy("component").agg(F.max("similarity").alias("strongest"), F.min("similarity").alias("weakest"))
+    return named.join(linked, "component").join(few, "component").select("component", "members", "tokens", "strongest", "weakest", "first")

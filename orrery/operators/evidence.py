@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.rules import longest_prefix
+
 from orrery.operators.liveness import top_per
 from orrery.operators.ranges import innermost
 
@@ -88,3 +90,21 @@ def content_search(files: DataFrame, literal: str) -> DataFrame:
     held = files.where(F.contains(F.lower("text"), F.lit(literal.lower())))
     lines = held.select("repo", "path", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     return lines.where(F.contains(F.lower("body"), F.lit(literal.lower()))).select("repo", "path", (F.col("line") + 1).cast("long").alias("line"))
+
+
+def fresh_evidence(evidence: DataFrame, now: Column, days: int) -> DataFrame:
+    """Run-time evidence (a column ts) of at most so many days before `now`; later or unknown times are no evidence."""
+    return evidence.where((F.col("ts") >= now - F.make_dt_interval(F.lit(days))) & (F.col("ts") <= now))
+
+
+def owned_dependencies(imports: DataFrame, manifests: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """file, name, manifest, state (J22): an import against the manifest that owns its file, the deepest folder on its path.
+
+    imports: file, name; manifests: manifest (a folder), package; dependencies: manifest, alias, package. An import matches
+    an alias or a package name, `declared`; the manifest's own package is `self` and never missing; the rest is `missing`. Files without a manifest are left out.
+    """
+    own = longest_prefix(imports.select("file").distinct(), manifests.select(F.col("manifest").alias("prefix"))).select("file", F.col("owner").alias("manifest"))
+    at = imports.select("file", "name").distinct().join(own, "file").join(manifests.select("manifest", F.col("package").alias("itself")), "manifest")
+    names = dependencies.select("manifest", F.col("alias").alias("name")).union(dependencies.select("manifest", "package")).where("name is not null").distinct().withColumn("declared", F.lit(True))
+    state = F.when(F.col("name") == F.col("itself"), "self").when(F.col("declared"), "declared").otherwise("missing")
+    return at.join(names, ["manifest", "name"], "left").select("file", "name", "manifest", state.alias("state"))

@@ -11,12 +11,23 @@ def churn(changes: DataFrame) -> DataFrame:
     return changes.groupBy("file").agg(F.countDistinct("commit").alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.sum(F.col("additions") + F.col("deletions")).alias("churn"))
 
 
-def cochange(changes: DataFrame, least: int = 2, max_files: int = 100) -> DataFrame:
+#: The most files of a commit that counts for co-change, by default and at all.
+COMMIT_FILES, COMMIT_FILES_MOST = 80, 200
+
+
+def omitted_commits(changes: DataFrame, max_files: int = COMMIT_FILES) -> DataFrame:
+    """commits, omitted: how many commits there are, and how many `cochange` leaves out for their size."""
+    size = changes.groupBy("commit").agg(F.countDistinct("file").alias("k"))
+    return size.agg(F.count("*").alias("commits"), F.coalesce(F.sum((F.col("k") > min(max_files, COMMIT_FILES_MOST)).cast("long")), F.lit(0)).alias("omitted"))
+
+
+def cochange(changes: DataFrame, least: int = 2, max_files: int = COMMIT_FILES) -> DataFrame:
     """a, b, n, jaccard, lift, confidence of file pairs that change together.
 
-    A commit of more than max_files files is left out whole: mass renames say nothing of coupling,
-    and the limit bounds what a commit can emit.
+    A commit of more than max_files files (COMMIT_FILES_MOST at most) is left out whole: mass renames say nothing of coupling,
+    and the limit bounds what a commit can emit. `omitted_commits` gives their number.
     """
+    max_files = min(max_files, COMMIT_FILES_MOST)
     size = W.partitionBy("commit")
     kept = changes.select("commit", "file").distinct().withColumn("k", F.count("*").over(size)).where(F.col("k") <= max_files).drop("k")
     per = kept.groupBy("file").agg(F.count("*").alias("own"))

@@ -23,9 +23,9 @@ def file_imports(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def file_reach(edges: DataFrame, nodes: DataFrame, entries: DataFrame, depth: int = 1000) -> DataFrame:
-    """file of all that entries reach over links other than contains (G8). entries: id (a file)."""
+    """file of all that entries reach over links other than contains (G8). entries: id (a file). Raises where a chain is longer than depth."""
     files = file_imports(edges.where("relation <> 'contains'"), nodes).select(F.col("from_file").alias("source"), F.col("to_file").alias("target"))
-    return layered(files, entries, depth).select(F.col("id").alias("file"))
+    return layered(files, entries, depth, whole=True).select(F.col("id").alias("file"))
 
 
 def nearest_tests(edges: DataFrame, tests: DataFrame, depth: int = 10, keep: int = 3, most_tests: int = 250) -> DataFrame:
@@ -57,7 +57,7 @@ def call_trace(calls: DataFrame, root: str, depth: int = 4, callees: int = 6, mo
     return seen.orderBy("depth", "id").limit(most).select("depth", "id")
 
 
-def mount_paths(mounts: DataFrame, routes: DataFrame, depth: int = 8) -> DataFrame:
+def mount_paths(mounts: DataFrame, routes: DataFrame, depth: int = 32) -> DataFrame:
     """router, path (G15): the prefixes of every chain of mounts put together, before the routes of the router.
 
     mounts: parent, child, prefix; routes: router, path. A router without a parent starts with nothing; chains longer than `depth` end (cycles).

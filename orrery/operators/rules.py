@@ -65,7 +65,7 @@ def longest_prefix(files: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def version_key(v: Column) -> Column:
-    """A sortable key of a dotted version: epoch, zero-padded numbers, pre-releases before the release.
+    """A sortable key of a dotted version: epoch, numbers, pre-releases before the release.
 
     Build metadata after + is dropped; 1.2 equals 1.2.0; a numeric pre-release part sorts before a word.
     """
@@ -73,10 +73,12 @@ def version_key(v: Column) -> Column:
     epoch = F.coalesce(F.nullif(F.regexp_extract(plain, r"^(\d+)!", 1), F.lit("")), F.lit("0"))
     core = F.regexp_extract(F.regexp_replace(plain, r"^\d+!", ""), r"^([0-9.]*)", 1)
     pre = F.regexp_replace(F.regexp_replace(plain, r"^\d+!", ""), r"^[0-9.]*[-.]?", "")
-    nums = F.filter(F.split(core, r"\."), lambda x: x != "")
-    padded = F.transform(F.concat(nums, F.array_repeat(F.lit("0"), 6)), lambda x: F.lpad(x, 12, "0"))
-    parts = F.transform(F.split(pre, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(x, 12, "0"))).otherwise(F.concat(F.lit("1"), x)))
-    return F.concat(F.lpad(epoch, 6, "0"), F.lit("|"), F.array_join(F.slice(padded, 1, 6), "."), F.when(pre == "", "~").otherwise(F.concat(F.lit("-"), F.array_join(parts, "."))))
+    # A number is written with its length in front, so numbers of any length and any many of them sort as text.
+    sized = lambda x: F.concat(F.lpad(F.length(F.regexp_replace(x, r"^0+(?=.)", "")).cast("string"), 4, "0"), F.lit(":"), F.regexp_replace(x, r"^0+(?=.)", ""))
+    nums = F.filter(F.split(F.regexp_replace(core, r"(?:\.0*)+$|^0+(?:\.0*)*$", ""), r"\."), lambda x: x != "")
+    parts = F.transform(F.split(pre, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), sized(x))).otherwise(F.concat(F.lit("1"), x)))
+    # "!" sorts before the "." of a further number, so 1.2 comes before 1.2.1.
+    return F.concat(sized(epoch), F.lit("|"), F.array_join(F.transform(nums, sized), "."), F.lit("!"), F.when(pre == "", "~").otherwise(F.concat(F.lit("-"), F.array_join(parts, "."))))
 
 
 def affected(packages: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from orrery.store import Scratch
 
 
-def layered(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """id, depth: least number of steps from a seed, at most `depth`; edges: source, target."""
+def layered(edges: DataFrame, seeds: DataFrame, depth: int, whole: bool = False) -> DataFrame:
+    """id, depth: least number of steps from a seed, at most `depth`; edges: source, target.
+
+    whole: all that the seeds reach is wanted; raises where that is further than `depth`.
+    """
     scratch = Scratch(edges.sparkSession, "layers")
     pairs = scratch.write(edges.select("source", "target").where("source <> target").distinct(), "pairs")
     front = scratch.write(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "layer-0")
@@ -24,6 +27,9 @@ def layered(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
+    else:
+        if whole:
+            raise RuntimeError(f"the walk goes on past {depth} layers")
     return seen
 
 
@@ -52,7 +58,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 8) -> Data
     """hop, id of one undirected shortest path, ties by least id (G4); empty if there is none."""
     spark = edges.sparkSession
     e = edges.select("source", "target").where("source <> target")
-    both = e.unionAll(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    both = Scratch(spark, "path").write(e.unionAll(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "both")  # read again at each hop back
     forth = layered(both, spark.createDataFrame([(start,)], "id string"), hops)
     found = forth.where(F.col("id") == end).first()
     if not found:
@@ -70,6 +76,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 200, driver_edges: int
 
     Nodes without both an in- and an out-edge are trimmed in rounds; what is left, if it is no more
     than driver_edges, is solved on the driver; beyond that by forward-backward colouring of all components in step.
+    Raises when the rounds do not suffice, rather than return unfinished components.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "scc")
@@ -90,16 +97,18 @@ def strong_components(edges: DataFrame, max_rounds: int = 200, driver_edges: int
     for k in range(max_rounds):
         # Colour: the least id that reaches a node. The part of a colour that also reaches its root is a component.
         ids = e.select(F.col("source").alias("id")).union(e.select("target")).distinct()
-        colour = _spread(e, ids.withColumn("c", F.col("id")), scratch, f"f{k}", max_rounds)
+        colour = _spread(e, ids.withColumn("c", F.col("id")), scratch, f"f{k}", 50 * max_rounds)
         same = e.join(colour.select(F.col("id").alias("source"), F.col("c").alias("cs")), "source").join(colour.select(F.col("id").alias("target"), F.col("c").alias("ct")), "target").where("cs = ct").select("source", "target", F.col("cs").alias("c"))
         roots = colour.where("id = c").select("id")
-        back = layered(same.select(F.col("target").alias("source"), F.col("source").alias("target")), roots, max_rounds)
+        back = layered(same.select(F.col("target").alias("source"), F.col("source").alias("target")), roots, 50 * max_rounds, whole=True)
         part = scratch.write(back.join(colour, "id").select("id", F.col("c").alias("component")), f"part-{k}")
         done = part if done is None else done.unionByName(part)
         gone = part.select("id")
         e = scratch.write(e.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti"), f"rest-{k}")
         if not e.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     sizes = done.groupBy("component").count().where("count > 1")
     return done.join(sizes, "component").select("id", "component")
 

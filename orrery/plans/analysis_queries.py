@@ -68,7 +68,7 @@ def diff_module_drift(spark, d):
     return compare.changed(e.where(f"ts < {_CUT}"), e.where(f"ts >= {_CUT}"), ["from_module", "to_module", "edge_class"])
 
 
-@query(G + f", o as (select target, ts from edges where {SEM}) select id from nodes where id in (select target from o where ts < timestamp '1995-07-01') and id not in (select target from o where ts >= timestamp '2001-06-01')")
+@query(G + f", o as materialized (select target, min(ts) as a, max(ts) as b from edges where {SEM} group by 1) select n.id from nodes n join o on o.target = n.id where a < timestamp '1995-07-01' and b < timestamp '2001-06-01'")
 def diff_orphaned(spark, d):
     """D5"""
     e = rollup.semantic(edges(spark, d, ("calls", "references")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.operators import evidence
+from orrery.operators import clones, evidence, history, paging
 from orrery.plans.review_queries import _PT, _SYM, _points, _symbols
 from orrery.plans.star import GRAPH_SQL, edges, nodes, table
 
@@ -79,3 +79,46 @@ def rank_concept_seeds(spark, d):
 def search_content(spark, d):
     """F12"""
     return evidence.content_search(table(spark, d, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("path"), "text"), "License")
+
+
+@query("with u as (select * from orders where o_orderpriority = '1-URGENT') select row_number() over (order by o_totalprice desc, o_orderkey) as rank, o_orderkey, count(*) over () as total, case when count(*) over () > 50 then replace(replace(rtrim(base64(encode('{\"v\":1,\"f\":\"' || substr(sha256('orders' || chr(10) || 'urgent'), 1, 24) || '\",\"o\":50}')), '='), '+', '-'), '/', '_') end as next_cursor, cast(least(greatest(round(o_orderkey % 6000 / 40.0), 20), 120) as integer) as nodes from u qualify rank > 25 and rank <= 50")
+def paging_by_cursor(spark, d):
+    """K2, K3, K4: the page after a cursor, the next cursor, and node budgets"""
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice")
+    own = paging.fingerprint("orders", "urgent")
+    got = paging.page(o, [F.desc("o_totalprice"), F.col("o_orderkey")], own, paging.cursor(own, 25), 25)
+    return got.select("rank", "o_orderkey", "total", "next_cursor", paging.node_budget(F.col("o_orderkey") % 6000).alias("nodes"))
+
+
+@query("with recursive p as (select c_custkey as a, c_custkey + 7 as b, 50 + c_custkey % 50 as similarity from customer where c_custkey % 21 < 14 and c_custkey + 7 in (select c_custkey from customer)), e as (select a, b from p union select b, a from p), r as (select distinct a as id, a as root from e union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as component from r group by 1), f as (select component, c_nationkey as location, arg_min(c_custkey % 90, c_custkey) as tokens from c join customer on c_custkey = id group by 1, 2), l as (select component, max(similarity) as strongest, min(similarity) as weakest from p join c on c.id = p.a group by 1), s as (select component, count(*) as members, cast(sum(tokens) as bigint) as tokens, array_to_string(list_sort(list(location)), ',') as first from f group by 1) select component, members, tokens, strongest, weakest, first from s join l using (component)")
+def clones_group_evidence(spark, d):
+    """A40, A20"""
+    c = table(spark, d, "customer")
+    ids = c.select(F.col("c_custkey").alias("b"))
+    pairs = c.where("c_custkey % 21 < 14").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 7).alias("b"), (50 + F.col("c_custkey") % 50).alias("similarity")).join(ids, "b", "left_semi")
+    fragments = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("location"), (F.col("c_custkey") % 90).alias("tokens"))
+    return clones.group_evidence(pairs, fragments).withColumn("first", F.array_join("first", ","))
+
+
+@query("with m as (select max(ts) - interval 1 day as now from events) select event_type, count(*) as n from events, m where ts <= now and ts >= now - interval 5 day group by 1")
+def evidence_fresh(spark, d):
+    """T6"""
+    e = table(spark, d, "events").select("ts", "event_type")
+    now = e.agg((F.max("ts") - F.expr("interval 1 day")).alias("now"))
+    return evidence.fresh_evidence(e.crossJoin(F.broadcast(now)), F.col("now"), 5).groupBy("event_type").agg(F.count("*").alias("n"))  # one row
+
+
+@query("select 'r' || p_size % 4 || '/' || case when p_size % 3 = 0 then 'in/' else '' end || p_partkey as file, p_brand as name, case when p_size % 4 = 3 and p_size % 3 = 0 then 'r3/in' else 'r' || p_size % 4 end as manifest, case when p_brand = case when p_size % 4 = 3 and p_size % 3 = 0 then 'Brand#13' else 'Brand#1' || p_size % 4 end then 'self' when p_brand in ('Brand#2' || p_size % 4, 'Brand#3' || p_size % 4) and not (p_size % 4 = 3 and p_size % 3 = 0) then 'declared' else 'missing' end as state from part where p_size % 4 > 0")
+def resolve_owned_dependencies(spark, d):
+    """Folders r1 to r3 and r3/in have manifests, r0 has none; r3/in declares nothing"""
+    folder = F.concat(F.lit("r"), F.col("p_size") % 4, F.when(F.col("p_size") % 3 == 0, "/in").otherwise(""))
+    files = table(spark, d, "part").select(F.concat(folder, F.lit("/"), "p_partkey").alias("file"), F.col("p_brand").alias("name"))
+    manifests = spark.createDataFrame([("r1", "Brand#11"), ("r2", "Brand#12"), ("r3", "Brand#13"), ("r3/in", "Brand#13")], "manifest string, package string")
+    declared = spark.createDataFrame([(f"r{k}", f"Brand#2{k}", f"Brand#3{k}") for k in (1, 2, 3)], "manifest string, alias string, package string")
+    return evidence.owned_dependencies(files, manifests, declared)
+
+
+@query("with k as (select o_custkey, count(distinct o_orderkey) as n from orders group by 1) select count(*) as commits, cast(sum(case when n > 20 then 1 else 0 end) as bigint) as omitted from k")
+def history_omitted_commits(spark, d):
+    """What co-change leaves out"""
+    return history.omitted_commits(table(spark, d, "orders").select(F.col("o_custkey").alias("commit"), F.col("o_orderkey").alias("file")), 20)

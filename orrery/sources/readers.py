@@ -13,11 +13,18 @@ def lcov(reports: DataFrame) -> DataFrame:
     return lines.select("file", F.split("x", ",")[0].cast("int").alias("line"), F.split("x", ",")[1].cast("long").alias("hits"))
 
 
-def numstat(logs: DataFrame, max_files: int = 1000) -> DataFrame:
+def numstat_omitted(logs: DataFrame, max_files: int = 80) -> DataFrame:
+    """commits, omitted: how many records the logs have, and how many `numstat` leaves out for their size."""
+    rec = logs.select(F.explode(F.split("text", "\x1e")).alias("r")).where("r <> ''")
+    files = F.size(F.filter(F.split("r", "\x00"), lambda x: F.size(F.split(x, "\t")) == 3))
+    return rec.agg(F.count("*").alias("commits"), F.coalesce(F.sum((files > max_files).cast("long")), F.lit(0)).alias("omitted"))
+
+
+def numstat(logs: DataFrame, max_files: int = 80) -> DataFrame:
     """commit, ts, file, additions, deletions, is_binary of `git log --numstat -z` output.
 
     Records: RS hash US time NUL, then `added TAB deleted TAB path NUL`. A rename has an empty path,
-    then the old and the new one. A commit of more than max_files files is left out whole.
+    then the old and the new one. A commit of more than max_files files is left out whole; `numstat_omitted` counts them.
     """
     rec = logs.select(F.explode(F.split("text", "\x1e")).alias("r")).where("r <> ''")
     head = F.split(F.substring_index("r", "\x00", 1), "\x1f")

@@ -83,6 +83,51 @@ def test_versions_and_ranges(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").withColumn("k", rules.version_key(F.col("v")))
     assert [r["i"] for r in df.orderBy("k").collect()] == list(range(6))
     assert spark.range(1).select(rules.version_key(F.lit("1.2")) == rules.version_key(F.lit("v1.2.0+build"))).first()[0]
+    # Any many numbers, of any length.
+    order = ["0.0", "1.2.3.4.5.6.7", "1.2.3.4.5.6.8", "1.2.3.4.5.6.8.1", "1.20250101000000", "1.120250101000000", "1.120250101000001"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").withColumn("k", rules.version_key(F.col("v")))
+    assert [r["i"] for r in df.orderBy("k").collect()] == list(range(len(order))) and df.select("k").distinct().count() == len(order)
+
+
+def test_path_classes(spark):
+    from orrery.functions.paths import path_classes
+
+    want = {
+        "a/x_test.go": "test", "pkg/test_util.py": "test", "cypress/x.cy.ts": "e2e,test", "dist/a.js": "generated", "web/.storybook/main.js": "story", "mock-data.json": "mock",
+        "scratch/a.py": "", "bench/a.py": "", "benchmarks/a.py": "benchmark", "a.pb.go": "", "specs/a.js": "", "third_party/a.c": "vendored", "notes.adoc": "docs", ".tmp-1/a": "temp", "integration-tests/a.js": "e2e,test",
+    }
+    df = spark.createDataFrame([(k,) for k in want], "p string").select("p", F.array_join(path_classes(F.col("p")), ",").alias("c"))
+    assert {r["p"]: r["c"] for r in df.collect()} == want
+
+
+def test_cursors_and_omitted_commits(spark):
+    import pytest
+
+    from orrery.operators import history, paging
+
+    own = paging.fingerprint("snapshot", "query")
+    assert paging.offset_of(paging.cursor(own, 40), own) == 40 and paging.offset_of(None, own) == 0
+    for bad in ("%%", paging.cursor(own, 40)[:-4], paging.cursor(paging.fingerprint("other"), 40), paging.cursor(own, -1)):
+        with pytest.raises(ValueError):
+            paging.offset_of(bad, own)
+    rows = spark.range(7).toDF("x")
+    last = paging.page(rows, [F.col("x")], own, paging.cursor(own, 5), 5).collect()
+    assert [(r["x"], r["rank"], r["total"], r["next_cursor"]) for r in last] == [(5, 6, 7, None), (6, 7, 7, None)]
+    changes = spark.createDataFrame([("big", f"f{i}") for i in range(90)] + [("c1", "a"), ("c1", "b"), ("c2", "a"), ("c2", "b")], "commit string, file string")
+    assert tuple(history.omitted_commits(changes).first()) == (3, 1)
+    assert [(r["a"], r["b"], r["n"]) for r in history.cochange(changes).collect()] == [("a", "b", 2)]
+
+
+def test_walks_that_do_not_end_in_time_are_errors(spark):
+    import pytest
+
+    from orrery.operators import traverse
+
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "source string, target string")
+    seed = spark.createDataFrame([("n0",)], "id string")
+    assert traverse.layered(chain, seed, 3).count() == 4
+    with pytest.raises(RuntimeError):
+        traverse.layered(chain, seed, 3, whole=True)
 
 
 def test_near_names(spark):
