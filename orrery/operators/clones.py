@@ -20,10 +20,20 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     return texts.select("id", tokens.alias("t")).select("id", grams.alias("g")).select("id", F.explode(F.array_distinct(wins)).alias("fp"))
 
 
-def clone_pairs(prints: DataFrame, least_shared: int = 8, similarity: float = 0.5) -> DataFrame:
+#: Fragments under SHORT tokens need so many shared fingerprints and so much similarity.
+SHORT, SHORT_SHARED, SHORT_SIMILARITY = 30, 2, 0.95
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """id, tokens: the number of words that `fingerprints` sees."""
+    return texts.select("id", F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")).alias("tokens"))
+
+
+def clone_pairs(prints: DataFrame, tokens: DataFrame | None = None, least_shared: int = 8, similarity: float = 0.5) -> DataFrame:
     """a, b, shared, similarity (integer percent): fingerprints in more than HOT fragments count nowhere.
 
-    The limit belongs to the operator's meaning and bounds each bucket of the inverted index.
+    The limit belongs to the operator's meaning and bounds each bucket of the inverted index. tokens: id, tokens; where given, a pair with
+    a fragment of under SHORT tokens is kept too if it shares SHORT_SHARED fingerprints at SHORT_SIMILARITY.
     """
     prints = Scratch(prints.sparkSession, "clones").write(prints, "prints")  # read three times
     rare = prints.groupBy("fp").agg(F.count("*").alias("n")).where((F.col("n") <= HOT))
@@ -31,9 +41,13 @@ def clone_pairs(prints: DataFrame, least_shared: int = 8, similarity: float = 0.
     size = kept.groupBy("id").agg(F.count("*").alias("n"))
     multi = kept.join(rare.where("n > 1").select("fp"), "fp", "left_semi")
     pairs = multi.withColumnRenamed("id", "a").join(multi.withColumnRenamed("id", "b"), "fp").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = pairs.where(F.col("shared") >= least_shared).join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    j = pairs.where(F.col("shared") >= (least_shared if tokens is None else min(least_shared, SHORT_SHARED))).join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     sim = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return j.where(sim >= similarity).select("a", "b", "shared", F.floor(sim * 100).cast("long").alias("similarity"))
+    kept = (sim >= similarity) & (F.col("shared") >= least_shared)
+    if tokens is not None:
+        j = j.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+        kept = kept | ((F.least("ta", "tb") < SHORT) & (sim >= SHORT_SIMILARITY) & (F.col("shared") >= SHORT_SHARED))
+    return j.where(kept).select("a", "b", "shared", F.floor(sim * 100).cast("long").alias("similarity"))
 
 
 def group_evidence(pairs: DataFrame, fragments: DataFrame, shown: int = 12) -> DataFrame:

@@ -108,3 +108,10 @@ def owned_dependencies(imports: DataFrame, manifests: DataFrame, dependencies: D
     names = dependencies.select("manifest", F.col("alias").alias("name")).union(dependencies.select("manifest", "package")).where("name is not null").distinct().withColumn("declared", F.lit(True))
     state = F.when(F.col("name") == F.col("itself"), "self").when(F.col("declared"), "declared").otherwise("missing")
     return at.join(names, ["manifest", "name"], "left").select("file", "name", "manifest", state.alias("state"))
+
+
+def contract_verdict(contracts: Column, matches: Column, mismatches: Column) -> Column:
+    """The verdict on a set of contracts (R20) from three totals: contracts, calls that match one, calls that match but for the method."""
+    called = F.when(mismatches > 0, "CLIENTS_AT_RISK_WITH_METHOD_MISMATCHES").otherwise("CLIENTS_AT_RISK")
+    uncalled = F.when(mismatches > 0, "HTTP_METHOD_MISMATCH").otherwise("NO_STATIC_CLIENT_CALLERS")
+    return F.when(matches > 0, called).when(contracts > 0, uncalled).otherwise("NO_ENDPOINTS_MATCHED")

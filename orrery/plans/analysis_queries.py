@@ -227,10 +227,11 @@ _TOK = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
 _FP = f"with t as materialized (select doc_id as id, {_TOK} as t from documents), g as materialized (select id, list_transform(range(1, len(t) - 6), lambda i: ('0x' || substr(md5(array_to_string(t[i:i + 7], ' ')), 1, 8))::bigint) as g from t), w as materialized (select distinct id, unnest(list_transform(range(1, len(g) - 1), lambda i: list_min(g[i:i + 3]))) as fp from g where len(g) >= 3)"
 
 
-@query(_FP + ", r as materialized (select fp, count(*) as n from w group by 1 having count(*) <= 120), k as materialized (select id, fp from w where fp in (select fp from r)), z as (select id, count(*) as n from k group by 1), p as (select x.id as a, y.id as b, count(*) as shared from k x join k y on x.fp = y.fp and x.id < y.id group by 1, 2 having count(*) >= 8) select a, b, shared, floor(shared / (m.n + q.n - shared) * 100)::bigint as similarity from p join z m on m.id = a join z q on q.id = b where shared / (m.n + q.n - shared) >= 0.5")
+@query(_FP + ", r as materialized (select fp, count(*) as n from w group by 1 having count(*) <= 120), k as materialized (select id, fp from w where fp in (select fp from r)), z as (select id, count(*) as n from k group by 1), p as (select x.id as a, y.id as b, count(*) as shared from k x join k y on x.fp = y.fp and x.id < y.id group by 1, 2 having count(*) >= 2) select a, b, shared, floor(shared / (m.n + q.n - shared) * 100)::bigint as similarity from p join z m on m.id = a join z q on q.id = b join t u on u.id = a join t v on v.id = b where (shared >= 8 and shared / (m.n + q.n - shared) >= 0.5) or (least(len(u.t), len(v.t)) < 30 and shared / (m.n + q.n - shared) >= 0.95)")
 def clones_pairs(spark, d):
     """W8, D3, J15, F17"""
-    return clones.clone_pairs(clones.fingerprints(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return clones.clone_pairs(clones.fingerprints(texts), clones.token_counts(texts))
 
 
 @query(f"with t as (select doc_id, unnest({_TOK}) as w from documents) select w as name, count(*) as n, count(distinct doc_id) as files from t group by 1")

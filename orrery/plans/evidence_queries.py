@@ -122,3 +122,11 @@ def resolve_owned_dependencies(spark, d):
 def history_omitted_commits(spark, d):
     """What co-change leaves out"""
     return history.omitted_commits(table(spark, d, "orders").select(F.col("o_custkey").alias("commit"), F.col("o_orderkey").alias("file")), 20)
+
+
+@query("with t as (select l_orderkey as id, sum(case when l_linenumber >= 3 then 1 else 0 end) as c, sum(case when l_linenumber >= 3 and l_quantity > 35 then 1 else 0 end) as m, sum(case when l_linenumber >= 3 and l_returnflag = 'R' then 1 else 0 end) as x from lineitem group by 1) select id, case when c > 0 and m = 0 then case when x > 0 then 'HTTP_METHOD_MISMATCH' else 'NO_STATIC_CLIENT_CALLERS' end when m > 0 and x > 0 then 'CLIENTS_AT_RISK_WITH_METHOD_MISMATCHES' when m > 0 then 'CLIENTS_AT_RISK' else 'NO_ENDPOINTS_MATCHED' end as verdict from t")
+def contracts_verdict(spark, d):
+    """All five verdicts"""
+    late = F.col("l_linenumber") >= 3
+    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count_if(late).alias("c"), F.count_if(late & (F.col("l_quantity") > 35)).alias("m"), F.count_if(late & (F.col("l_returnflag") == "R")).alias("x"))
+    return t.select("id", evidence.contract_verdict(F.col("c"), F.col("m"), F.col("x")).alias("verdict"))
