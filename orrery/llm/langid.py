@@ -199,9 +199,11 @@ def language(documents: DataFrame, vocabulary: str = VOCABULARY, per_language: i
     held = fold(F.col("doc_id"), 3) == 1
     base = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     taught = base.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    # The first rows of all languages at once; tasks pass on no more than per_language of each.
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = taught.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).select("lang", "doc_id")
+    # The first rows of all languages at once: of each of 256 parts of a language, then of what these leave.
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    parted = taught.select("lang", "doc_id").distinct().withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(256)))
+    some = parted.withColumn("place", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("place") <= per_language)
+    chosen = some.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("place") <= per_language).select("lang", "doc_id")
     langs = [r["lang"] for r in chosen.select("lang").distinct().limit(max_languages + 1).collect()]
     if len(langs) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
