@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -286,14 +285,14 @@ def _verified(pairs: DataFrame, bodies: DataFrame, threshold: float, parts: int,
 
 
 def _forests(threshold: float):
-    """Streams (key, p, q, band, member, component, keys, body) sorted by key, p and q: links of each group's spanning forest.
+    """Streams (key, p, q, member, component, body) sorted by key, p and q: links of each group's spanning forest.
 
     A pair is compared in the first band that it shares, so once in all.
     """
 
     def one(rows: pa.Table) -> pa.Table:
         row, h = _distinct(*_grams(rows.column("body")), rows.num_rows)
-        keys = pc.list_flatten(rows.column("keys")).to_numpy().reshape(-1, BANDS)
+        keys = band_keys(signatures(h, row.astype(np.int32), rows.num_rows))
         band = int(np.flatnonzero(keys[0] == rows.column("key")[0].as_py())[0])
         met = keys[:, :band]
         return spanning_forest(rows.column("member").to_numpy(), rows.column("component").to_numpy(), row, h, threshold, lambda i, later: ~(met[later] == met[i]).any(1))
@@ -317,7 +316,7 @@ def _forests(threshold: float):
 
 
 def _across(rows: DataFrame, threshold: float, parts: int, block: int, most: int = 1 << 20) -> DataFrame:
-    """Links (a, b) of lines of one bucket (key, member, component, keys, body) that join its components, by exact Jaccard.
+    """Links (a, b) of lines of one bucket (key, member, component, body) that join its components, by exact Jaccard.
 
     A bucket of more than `block` members or `most` bytes is dealt into parts, and each pair of parts is one group, so no
     group grows with the bucket. A group compares each member with the later ones that are not joined to it yet and
@@ -328,7 +327,7 @@ def _across(rows: DataFrame, threshold: float, parts: int, block: int, most: int
     cut = cut.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
     # Two members of one part meet in its groups with the other parts.
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or part <> other")
-    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "member", "component", "keys", "body")
+    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "member", "component", "body")
     return dealt.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_forests(threshold), "a long, b long").distinct()
 
 
@@ -358,14 +357,14 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
         others = others.join(tops.select(F.col("part").alias("key")).distinct(), "key", "left_anti").unionByName(own.select("key", F.col("h1").alias("member")).distinct())
     pairs = scratch.write(pairs.distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    bodies = fresh.select("h1", "body", "keys").join(involved, "h1", "left_semi").dropDuplicates(["h1"])
-    bodies = scratch.write(bodies.mapInArrow(_with_size, "h1 long, body binary, keys array<long>, n int"), "bodies")
+    bodies = fresh.select("h1", "body").join(involved, "h1", "left_semi").dropDuplicates(["h1"])
+    bodies = scratch.write(bodies.mapInArrow(_with_size, "h1 long, body binary, n int"), "bodies")
     links = scratch.write(_verified(pairs, bodies, threshold, parts), "links")
     comps = connected_components(links)
     # Where those of a bucket are of several components, they all meet one another, in blocks.
     rest = open_rows(others, comps, scratch, "open")
     if rest.limit(1).count():
-        more = _across(rest.join(bodies.select(F.col("h1").alias("member"), "keys", "body"), "member"), threshold, parts, block)
+        more = _across(rest.join(bodies.select(F.col("h1").alias("member"), "body"), "member"), threshold, parts, block)
         links = links.unionByName(scratch.write(more, "links-2"))
         comps = connected_components(links)
     for table in ("buckets", "pairs", "bodies", "open"):
