@@ -32,6 +32,8 @@ BLOCK = 1 << 20
 STARS = 3
 Q, BINS, ROWS = 8, 48, 4
 BANDS = BINS // ROWS
+#: Band keys are shuffled in so many passes, each over its bands alone: one pass's shuffle files are on disk at a time.
+PASSES = 2
 _TOP = np.iinfo(np.uint64).max
 _WORD = (SPACED != 0).astype(np.uint8)
 
@@ -115,11 +117,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(BANDS, dtype=U)).view(np.int64)
 
 
-_LINES = "d long, row long, line int, h1 long, h2 long, body binary, keys array<long>"
+_KEYS = [f"keys{p}" for p in range(PASSES)]
+_LINES = "d long, row long, line int, h1 long, h2 long, body binary, " + ", ".join(f"{k} array<long>" for k in _KEYS)
 
 
 def line_table(rows: DataFrame) -> DataFrame:
-    """Every line with a word: its place and hashes, and where a task meets it first its bytes and band keys."""
+    """Every line with a word: its place and hashes, and where a task meets it first its bytes and band keys, those of each pass in a column."""
 
     def run(batches):
         keep_memory()
@@ -143,7 +146,8 @@ def line_table(rows: DataFrame) -> DataFrame:
                 bodies = [raw[a:b] if f else None for a, b, f in zip(own.s.tolist(), own.e.tolist(), has.tolist(), strict=True)]
                 take = pa.array(own.text)
                 places = [batch.column(x).slice(i, j - i).take(take) for x in ("d", "row")]
-                yield pa.record_batch([*places, pa.array(own.number, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(bodies, pa.binary()), list_array(keys.ravel(), has * BANDS, pa.int64())], names=["d", "row", "line", "h1", "h2", "body", "keys"])
+                lists = [list_array(keys[:, p::PASSES].ravel(), has * keys[:, p::PASSES].shape[1], pa.int64()) for p in range(PASSES)]
+                yield pa.record_batch([*places, pa.array(own.number, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(bodies, pa.binary()), *lists], names=["d", "row", "line", "h1", "h2", "body", *_KEYS])
 
     return rows.select("d", "row", "text").mapInArrow(run, _LINES)
 
@@ -339,13 +343,17 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
     rows = documents.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = scratch.write(line_table(rows), "lines")
     fresh = lines.where("body is not null")
-    banded = fresh.select("h1", F.explode("keys").alias("key"))
+    banded = fresh.select("h1", F.explode(F.concat(*_KEYS)).alias("key"))
     # A hot bucket is dealt into parts, with keys of their own.
     few = scratch.write(hot_keys(banded, hot).where("salts > 1"), "hot")
-    dealt = banded.join(F.broadcast(few), "key", "left")  # 1,000 rows at most
+    few = F.broadcast(few)  # 1,000 rows at most
+    dealt = banded.join(few, "key", "left")
     part = F.when(F.col("salts") > 1, F.xxhash64("key", F.pmod(F.xxhash64("h1"), F.col("salts")))).otherwise(F.col("key"))
-    met = dealt.select(part.alias("key"), "h1").repartition(parts, "key").sortWithinPartitions("key", "h1").mapInArrow(_meet, "key long, h1 long, rank long, centers array<long>")
-    buckets = scratch.write(met, "buckets")
+    for p, keys in enumerate(_KEYS):
+        own = fresh.select("h1", F.explode(keys).alias("key")).join(few, "key", "left").select(part.alias("key"), "h1")
+        own = own.repartition(parts, "key").sortWithinPartitions("key", "h1").mapInArrow(_meet, "key long, h1 long, rank long, centers array<long>")
+        own = scratch.write(own, f"buckets-{p}")
+        buckets = buckets.unionByName(own) if p else own
     pairs = buckets.where("rank > 0").select("h1", F.explode("centers").alias("c")).select(F.least("c", "h1").alias("a"), F.greatest("c", "h1").alias("b"))
     # Lines that no center of their bucket is.
     others = buckets.where(F.col("rank") >= STARS).select("key", F.col("h1").alias("member"))
@@ -367,7 +375,7 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
         more = _across(rest.join(bodies.select(F.col("h1").alias("member"), "body"), "member"), threshold, parts, block)
         links = links.unionByName(scratch.write(more, "links-2"))
         comps = connected_components(links)
-    for table in ("buckets", "pairs", "bodies", "open"):
+    for table in (*(f"buckets-{p}" for p in range(PASSES)), "pairs", "bodies", "open"):
         scratch.drop(table)
     # Equal lines are told apart by both hashes, fuzzy ones by component; only lines with a partner go on.
     exact = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).join(comps.withColumnRenamed("id", "h1"), "h1", "left").where("n > 1 or component is not null")
