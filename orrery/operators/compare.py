@@ -48,6 +48,16 @@ def group_key(members: DataFrame, group: str, member: str) -> DataFrame:
     return members.groupBy(group).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(member)), "\n"), 256), 1, 20).alias("key"), F.count("*").alias("n"))
 
 
+def group_ratchet(base: DataFrame, now: DataFrame, changed: DataFrame) -> DataFrame:
+    """group, key, n of the groups whose key no base group has; blocked where a member's file is among the changed.
+
+    base, now: group, member, file; changed: file.
+    """
+    new = group_key(now, "group", "member").join(group_key(base, "group", "member").select("key").distinct(), "key", "left_anti")
+    touched = now.join(changed.select("file").distinct(), "file", "left_semi").select("group").distinct().withColumn("hit", F.lit(True))
+    return new.join(touched, "group", "left").select("group", "key", "n", F.coalesce("hit", F.lit(False)).alias("blocked"))
+
+
 def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row of each key."""
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")

@@ -111,8 +111,8 @@ def osa(a: str, b: str, most: int = 3) -> int:
 def near_names(names: DataFrame, popular: DataFrame) -> DataFrame:
     """name, popular, distance: within 1 edit, or 2 where the popular name has 8 letters or more.
 
-    Blocking: names within two edits share one of three pieces of the popular name, shifted by up to two places; here by the
-    multiset of letters' halves would be loose, so names meet by deletion neighbourhoods of up to two letters.
+    Names meet where they share what is left of them without up to two letters. Scoped names (`@scope/name`) are
+    compared with scoped ones only, and names of fewer than four letters, their scope left out, with none.
     """
 
     def deletions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +129,7 @@ def near_names(names: DataFrame, popular: DataFrame) -> DataFrame:
 
     own = names.select("name").distinct().mapInPandas(deletions, "name string, k string")
     other = popular.select("name").distinct().mapInPandas(deletions, "name string, k string").withColumnRenamed("name", "popular")
-    pairs = own.join(other, "k").where("name <> popular").select("name", "popular").distinct().join(popular.select("name").distinct(), "name", "left_anti")
+    pairs = own.join(other, "k").where("name <> popular and startswith(name, '@') = startswith(popular, '@')").where(F.length(F.regexp_replace("name", "^@[^/]+/", "")) >= 4).select("name", "popular").distinct().join(popular.select("name").distinct(), "name", "left_anti")
     d = pairs.withColumn("distance", distance("name", "popular"))
     return d.where((F.col("distance") <= 1) | ((F.col("distance") <= 2) & (F.length("popular") >= 8)))
 
