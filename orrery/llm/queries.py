@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, decontam, langid, lines, minhash, mixing, quality, rules, suffix, toxicity
+from orrery.llm import chat, codes, decontam, langid, lines, minhash, mixing, negatives, quality, rules, suffix, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,16 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_t(spark, sf_dir, "embeddings"), label)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(_t(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
@@ -78,11 +88,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_substrings": op8_repeated_substrings,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _CONTROL = r"(\|im_start\||\|im_end\||\|endoftext\||\|system\||\|user\||\|assistant\||/?s>|<SYS>>|</SYS>>|/?INST\])"
 
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain Lloyd, one table a round; whole numbers throughout, floors by the remainder."""
+    out = f"""
+with recursive v as materialized (
+  select row_number() over (order by vec_id, embedding) as rid, vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as q from embeddings where {_FINITE}
+), p as materialized (select rid, p, q[p * len(q) // {parts} + 1:(p + 1) * len(q) // {parts}] as x from v, range({parts}) as r(p)
+), b0 as materialized (select p, rid - 1 as e, x as c from p where rid <= {entries})
+"""
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for i in range(rounds + 1):
+        out += f""", a{i} as materialized (
+  select rid, p, x, cast((k).e as bigint) as e, cast((k).d as bigint) as d from (select rid, p.p, x, min(struct_pack(d := cast({far} as bigint), e := e)) as k from p join b{i} using (p) group by rid, p.p, x))
+"""
+        if i < rounds:
+            out += f""", s{i} as (select p, e, j, cast(sum(x[j]) as bigint) as s, count(*) as n from a{i}, unnest(range(1, len(x) + 1)) as u(j) group by p, e, j
+), b{i + 1} as materialized (
+  select b.p, b.e, coalesce(m.c, b.c) as c from b{i} b left join (select p, e, list((s - ((s % n) + n) % n) // n order by j) as c from s{i} group by p, e) m using (p, e))
+"""
+    return out + f""", f as (select rid, string_agg(lpad(to_hex(e), 2, '0'), '' order by p) as code, cast(sum(d) as bigint) as error from a{rounds} group by rid)
+select vec_id, lower(code) as code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) from b{rounds}) as codebooks_sha256
+from v join f using (rid)
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_hard_negatives": f"""
+with e as materialized (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+  from embeddings where vec_id is not null and label is not null and {_FINITE}
+), s as materialized (
+  select a.rid, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.q, b.q) as bigint) as score
+  from e a join e b on len(a.q) = len(b.q) and a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+), p as materialized (
+  select *, row_number() over (partition by rid order by score desc, vec_id) as k from s where same qualify k <= 5
+), n as (
+  select p.rid, p.k, p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.rid, p.k order by s.score desc, s.vec_id) as rank
+  from p join s on p.rid = s.rid where not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+""",
+    "op13_vector_codes": _codes_sql(),
     "op5_decontaminate": r"""
 with d as materialized (
   select row_number() over () as rid, doc_id,
