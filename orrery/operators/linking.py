@@ -111,43 +111,49 @@ def symbols_of(facts: DataFrame) -> DataFrame:
     return f.select("file", "name", "kind", F.col("imported").alias("space"), "owner", "line", "end_line", "exported", "top", ident.alias("id"))
 
 
-def link(facts: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(file imports, calls) of extracted facts.
-
-    File imports: file, target, relation (imports, re_exports, dynamic), line, type_only, spec, state. Calls: file, line, caller, relation,
-    name, owner, target, layer, state. A call means, in this order, a symbol of its own file; the origin of what its name is bound to, through barrels; the symbol of that name in
-    the file it is imported from. A member call means a member of a namespace or default import. Layer: own, import, barrel; state: resolved, ambiguous, missing.
-    `facts` is read several times: give a written table.
-    """
-    scratch = Scratch(facts.sparkSession, "link")
-    found = scratch.write(modules(facts.where("spec is not null and fact in ('import', 'binding', 'export')"), files, aliases), "modules")
-    at = found.select("file", "spec", "target").where("target is not null")
+def file_imports(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """file, target, relation (imports, re_exports, dynamic), line, type_only, spec, state of every import fact; `found` as `modules` gives it."""
     imports = facts.where("fact = 'import' and spec is not null").select("file", "spec", "kind", "line", "type_only").join(found, ["file", "spec"])
     relation = F.when(F.col("kind") == "reexport", "re_exports").when(F.col("kind") == "dynamic", "dynamic").otherwise("imports")
-    file_imports = imports.select("file", "target", relation.alias("relation"), "line", "type_only", "spec", "state")
+    return imports.select("file", "target", relation.alias("relation"), "line", "type_only", "spec", "state")
 
+
+def bindings_of(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """file, name, imported, target, type_only of imported names; the last binding of a name holds."""
+    at = found.select("file", "spec", "target").where("target is not null")
     bound = facts.where("fact = 'binding'").select("file", "spec", "name", "imported", "type_only", "line").join(at, ["file", "spec"])
-    bound = top_per(bound, ["file", "name"], [F.desc("line"), F.desc("spec"), F.desc("imported")], 1).select("file", "name", "imported", "target", "type_only")  # the last binding of a name holds
-    bound = scratch.write(bound, "bindings")
-    exports = facts.where("fact = 'export'").select("file", "spec", "name", "kind", "imported").join(at, ["file", "spec"], "left")
-    source = origins(exports.withColumnRenamed("file", "module"), bound.withColumnRenamed("file", "module"))
-    source = scratch.write(source, "origins").select(F.col("module").alias("from"), F.col("name").alias("wanted"), "origin", "origin_name", F.col("state").alias("passed"))
-    symbols = symbols_of(facts)
-    value = scratch.write(named_symbols(symbols), "values")
-    open_ = symbols.where("exported and space <> 'type'").select(F.col("file").alias("from"), F.col("name").alias("wanted")).distinct()
+    return top_per(bound, ["file", "name"], [F.desc("line"), F.desc("spec"), F.desc("imported")], 1).select("file", "name", "imported", "target", "type_only")
+
+
+def exports_of(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """module, name, kind, imported, target of export facts."""
+    at = found.select("file", "spec", "target").where("target is not null")
+    return facts.where("fact = 'export'").select("file", "spec", "name", "kind", "imported").join(at, ["file", "spec"], "left").drop("spec").withColumnRenamed("file", "module")
 
+
+def specs_of(facts: DataFrame) -> DataFrame:
+    return facts.where("spec is not null and fact in ('import', 'binding', 'export')").select("file", "spec")
+
+
+def link_calls(facts: DataFrame, bound: DataFrame, source: DataFrame, symbols: DataFrame) -> DataFrame:
+    """file, line, caller, relation, name, owner, target, layer, state of the calls, JSX uses and base classes in `facts`.
+
+    A call means, in this order, a symbol of its own file; the origin of what its name is bound to, through barrels; the symbol of that name in
+    the file it is imported from. A member call means a member of a namespace or default import; others are left out. Layer: own, import, barrel; state: resolved,
+    ambiguous, missing. bound, source, symbols: as `bindings_of`, `origins`, `symbols_of` give them; they are read several times.
+    """
+    source = source.select(F.col("module").alias("from"), F.col("name").alias("wanted"), "origin", "origin_name", F.col("state").alias("passed"))
+    value = named_symbols(symbols)
+    direct = symbols.where("exported and space <> 'type'").select(F.col("file").alias("from"), F.col("name").alias("wanted"), F.lit(True).alias("open")).distinct()
     calls = facts.where("fact in ('call', 'base')").select("file", "line", "caller", "name", "kind", "owner")
     need = calls.select("file", "name", "kind", "owner").distinct()
-    local = value.select("file", "name", F.col("id").alias("own"))
-    plain = need.where("kind in ('call', 'inherits', 'jsx') and owner is null").join(local, ["file", "name"], "left").withColumn("own", F.when(F.col("kind") != "jsx", F.col("own")))
-    via = bound.withColumnRenamed("name", "via")
-    plain = plain.join(via.withColumnRenamed("via", "name"), ["file", "name"], "left").withColumn("wanted", F.col("imported"))
-    member = need.where("owner is not null").join(via.where("imported in ('*', 'default') and not type_only").withColumnRenamed("via", "owner"), ["file", "owner"])
-    member = member.withColumn("own", F.lit(None).cast("string")).withColumn("wanted", F.when(F.col("imported") == "*", F.col("name")).otherwise(F.concat(F.lit("default."), "name")))
+    plain = need.where("kind in ('call', 'inherits', 'jsx') and owner is null").join(value.select("file", "name", F.col("id").alias("own")), ["file", "name"], "left")
+    plain = plain.withColumn("own", F.when(F.col("kind") != "jsx", F.col("own"))).join(bound, ["file", "name"], "left").withColumn("wanted", F.col("imported"))
+    spaces = bound.where("imported in ('*', 'default') and not type_only").withColumnRenamed("name", "owner")
+    member = need.where("owner is not null").join(spaces, ["file", "owner"]).withColumn("own", F.lit(None).cast("string"))
+    member = member.withColumn("wanted", F.when(F.col("imported") == "*", F.col("name")).otherwise(F.concat(F.lit("default."), "name")))
     every = plain.unionByName(member).withColumn("from", F.when(F.col("own").isNull(), F.col("target"))).drop("target")
-    every = every.join(source, ["from", "wanted"], "left")
-    direct = open_.withColumn("open", F.lit(True))
-    every = every.join(direct, ["from", "wanted"], "left")
+    every = every.join(source, ["from", "wanted"], "left").join(direct, ["from", "wanted"], "left")
     # A name without an export record is looked up in the imported file itself; a member only if the file exports it some other way.
     plainly = F.col("passed").isNull() & (F.col("owner").isNull() | F.col("open"))
     every = every.withColumn("file_of", F.when(F.col("passed") == "resolved", F.col("origin")).when(plainly, F.col("from")))
@@ -160,8 +166,16 @@ def link(facts: DataFrame, files: DataFrame, aliases: dict[str, str] | None = No
     same = (F.col("file") == F.col("_file")) & (F.col("name") == F.col("_name")) & (F.col("kind") == F.col("_kind")) & F.col("owner").eqNullSafe(F.col("_owner"))
     relation = F.when(F.col("kind") == "inherits", "inherits").when(F.col("kind") == "jsx", "references").otherwise("calls")
     who = F.when(F.col("caller").isNotNull(), F.concat("file", F.lit("#"), "caller"))
-    done = calls.join(every, same).select("file", "line", who.alias("caller"), relation.alias("relation"), "name", "owner", "target", "layer", "state")
-    return file_imports, done
+    return calls.join(every, same).select("file", "line", who.alias("caller"), relation.alias("relation"), "name", "owner", "target", "layer", "state")
+
+
+def link(facts: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(file imports, calls) of extracted facts, all layers in one. `facts` is read several times: give a written table."""
+    scratch = Scratch(facts.sparkSession, "link")
+    found = scratch.write(modules(specs_of(facts), files, aliases), "modules")
+    bound = scratch.write(bindings_of(facts, found), "bindings")
+    source = scratch.write(origins(exports_of(facts, found), bound.withColumnRenamed("file", "module")), "origins")
+    return file_imports(facts, found), link_calls(facts, bound, source, symbols_of(facts))
 
 
 def call_edges(calls: DataFrame) -> DataFrame:

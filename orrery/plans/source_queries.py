@@ -13,6 +13,7 @@ from orrery.operators import linking
 from orrery.plans.star import table
 from orrery.sources import javascript
 from orrery.store import Scratch
+from orrery.streaming import incremental
 
 QUERIES, ORACLE = {}, {}
 
@@ -96,7 +97,7 @@ union all select p.file, case when k % 2 = 0 then s.file else barrel end, 'impor
 def link_file_imports(spark, d):
     """ESM, CommonJS and re-exports, each specifier resolved to a file or package"""
     facts, files = _facts(spark, d)
-    return linking.link(facts, files)[0]
+    return linking.file_imports(facts, linking.modules(linking.specs_of(facts), files))
 
 
 
@@ -111,26 +112,42 @@ select module, name, case when count(*) = 1 then min(origin) end as origin, case
 def link_origins(spark, d):
     """Named, renamed and star exports through chains of barrels, to the end"""
     facts, files = _facts(spark, d)
-    found = linking.modules(facts.where("spec is not null"), files).select("file", "spec", "target")
-    exports = facts.where("fact = 'export'").join(found, ["file", "spec"], "left").select(F.col("file").alias("module"), "name", "kind", "imported", "target")
-    bindings = facts.where("fact = 'binding'").join(found, ["file", "spec"]).select(F.col("file").alias("module"), "name", "imported", "target")
-    return linking.origins(exports, bindings)
-
-
-@query(f"""with {_P}, c as (
-select s.file, v.* from s, lateral (values
-  (4, 'supply' || s || '@4', 'calls', 'check', null, file || '#check@5', 'own', 'resolved'), (4, 'supply' || s || '@4', 'calls', 'check', null, file || '#check@5', 'own', 'resolved'), (6, 'rate@6', 'calls', 'supply' || s, null, file || '#supply' || s || '@4', 'own', 'resolved'),
-  (7, 'Depot' || s || '@7', 'inherits', 'Base', null, file || '#Base@10', 'own', 'resolved'), (8, 'open@8', 'calls', 'check', null, file || '#check@5', 'own', 'resolved')) v(line, who, relation, name, owner, target, layer, state)
-union all select p.file, v.* from p join s using (s), lateral (values
-  (0, 2, 'make' || k || '@2', 'calls', 'get', null, s.file || '#supply' || s || '@4', 'import', 'resolved'), (0, 2, 'make' || k || '@2', 'calls', 'rate', null, s.file || '#rate@6', 'import', 'resolved'),
-  (1, 2, 'make' || k || '@2', 'calls', 'supply', 'sup', s.file || '#supply' || s || '@4', 'barrel', 'resolved'),
-  (1, 2, 'make' || k || '@2', 'calls', 'rate', 'sup', case when s % 5 = 0 then s.file || '#rate@6' end, case when s % 5 = 0 then 'barrel' end, case when s % 5 = 0 then 'resolved' else 'ambiguous' end),
-  (2, 2, 'make' || k || '@2', 'calls', 'get', null, s.file || '#supply' || s || '@4', 'import', 'resolved'), (2, 2, 'make' || k || '@2', 'calls', 'missing' || k, null, null, null, 'missing'), (2, 2, 'make' || k || '@2', 'calls', 'make' || k, null, p.file || '#make' || k || '@2', 'own', 'resolved'),
-  (3, 2, 'Part' || k || '@2', 'inherits', 'Depot' || s, null, s.file || '#Depot' || s || '@7', 'barrel', 'resolved'),
-  (3, 3, 'run@3', 'calls', 'pace', null, case when s % 5 = 0 then s.file || '#rate@6' end, case when s % 5 = 0 then 'barrel' end, case when s % 5 = 0 then 'resolved' else 'ambiguous' end)) w(shape, line, who, relation, name, owner, target, layer, state),
+    found = linking.modules(linking.specs_of(facts), files)
+    return linking.origins(linking.exports_of(facts, found), linking.bindings_of(facts, found).withColumnRenamed("file", "module"))
+
+
+def _calls_sql(moved: str) -> str:
+    """The linked calls; `moved`: by how many lines a supplier's file is moved down."""
+    return f"""with {_P}, t as (select *, {moved} as m from s), c as (
+select file, v.* from t, lateral (values
+  (4 + m, 'supply' || s || '@' || 4 + m, 'calls', 'check', null, file || '#check@' || 5 + m, 'own', 'resolved'), (4 + m, 'supply' || s || '@' || 4 + m, 'calls', 'check', null, file || '#check@' || 5 + m, 'own', 'resolved'),
+  (6 + m, 'rate@' || 6 + m, 'calls', 'supply' || s, null, file || '#supply' || s || '@' || 4 + m, 'own', 'resolved'),
+  (7 + m, 'Depot' || s || '@' || 7 + m, 'inherits', 'Base', null, file || '#Base@' || 10 + m, 'own', 'resolved'), (8 + m, 'open@' || 8 + m, 'calls', 'check', null, file || '#check@' || 5 + m, 'own', 'resolved')) v(line, who, relation, name, owner, target, layer, state)
+union all select p.file, v.* from p join t using (s), lateral (values
+  (0, 2, 'make' || k || '@2', 'calls', 'get', null, t.file || '#supply' || s || '@' || 4 + m, 'import', 'resolved'), (0, 2, 'make' || k || '@2', 'calls', 'rate', null, t.file || '#rate@' || 6 + m, 'import', 'resolved'),
+  (1, 2, 'make' || k || '@2', 'calls', 'supply', 'sup', t.file || '#supply' || s || '@' || 4 + m, 'barrel', 'resolved'),
+  (1, 2, 'make' || k || '@2', 'calls', 'rate', 'sup', case when s % 5 = 0 then t.file || '#rate@' || 6 + m end, case when s % 5 = 0 then 'barrel' end, case when s % 5 = 0 then 'resolved' else 'ambiguous' end),
+  (2, 2, 'make' || k || '@2', 'calls', 'get', null, t.file || '#supply' || s || '@' || 4 + m, 'import', 'resolved'), (2, 2, 'make' || k || '@2', 'calls', 'missing' || k, null, null, null, 'missing'), (2, 2, 'make' || k || '@2', 'calls', 'make' || k, null, p.file || '#make' || k || '@2', 'own', 'resolved'),
+  (3, 2, 'Part' || k || '@2', 'inherits', 'Depot' || s, null, t.file || '#Depot' || s || '@' || 7 + m, 'barrel', 'resolved'),
+  (3, 3, 'run@3', 'calls', 'pace', null, case when s % 5 = 0 then t.file || '#rate@' || 6 + m end, case when s % 5 = 0 then 'barrel' end, case when s % 5 = 0 then 'resolved' else 'ambiguous' end)) w(shape, line, who, relation, name, owner, target, layer, state),
   lateral (select w.line, w.who, w.relation, w.name, w.owner, w.target, w.layer, w.state) v where k % 4 = shape)
-select file, line, file || '#' || who as caller, relation, name, owner, target, layer, state from c""")
+select file, line, file || '#' || who as caller, relation, name, owner, target, layer, state from c"""
+
+
+@query(_calls_sql("0"))
 def link_calls(spark, d):
     """Own symbols, then import bindings, then barrel origins, with ambiguity as a state"""
     facts, files = _facts(spark, d)
     return linking.link(facts, files)[1]
+
+
+@query(_calls_sql("case when s % 10 = 3 then 1 else 0 end"))
+def streaming_maintained_calls(spark, d):
+    """A graph built whole, then brought up to date after a tenth of the suppliers' files moved down a line"""
+    scratch = Scratch(spark, "maintained")
+    graph = incremental.SourceGraph(spark, f"{scratch.base}/graph", most_changed=1 << 40, most_affected=1 << 40)
+    files = scratch.write(source_files(spark, d), "files")
+    graph.rebuild(files)
+    moved = F.when(F.col("file").rlike(r"supp/s\d*3\.js$"), F.concat(F.lit("// moved\n"), "text")).otherwise(F.col("text"))
+    graph.refresh(scratch.write(files.withColumn("text", moved), "later"))
+    return graph.table("calls")

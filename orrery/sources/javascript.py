@@ -27,7 +27,7 @@ _WORDS = {
     "export", "default", "extends", "const", "let", "var", "async", "with", "instanceof", "this",
 }
 _MODIFIERS = {"async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "abstract", "declare", "*", "accessor"}
-_CONTINUES = {",", "=", "(", "[", "{", ".", "?.", "?", ":", "+", "-", "*", "/", "%", "&", "|", "^", "<", ">", "=>", "!", "~"}
+_CONTINUES = {",", "=", "(", "[", "{", ".", "?.", "?", ":", "+", "-", "*", "/", "%", "&", "|", "^", "<", "=>", "!", "~"}
 _TYPESCRIPT = (".ts", ".tsx")
 
 
@@ -160,7 +160,7 @@ def facts_of(file: str, text: str | None) -> list[dict]:
 
     def head(i: int) -> int:
         """The opening brace of a declaration whose head starts at i, or the token before its end."""
-        while i < s.n and not s.is_(i, "{", ";"):
+        while i < s.n and not s.is_(i, "{", ";", "class", "interface", "enum", "function", "import", "export"):
             i = s.close[i] + 1 if s.is_(i, "(", "[") and i in s.close else i + 1
         return i
 
@@ -190,7 +190,7 @@ def facts_of(file: str, text: str | None) -> list[dict]:
             return j
         found: list[tuple[str, str, bool]] = []
         named_only = True
-        while j < s.n and not s.is_(j, "from", ";"):
+        while j < s.n and not s.is_(j, "from", ";", "import", "export", "const", "function", "class"):
             if s.is_(j, "{"):
                 found += [(local, name, t) for _, name, local, t in s.braced(j)]
                 j = s.close.get(j, s.n) + 1
