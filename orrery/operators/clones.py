@@ -63,3 +63,36 @@ def group_evidence(pairs: DataFrame, fragments: DataFrame, shown: int = 12) -> D
     few = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= shown).groupBy("component").agg(F.array_sort(F.collect_list("location")).alias("first"))
     linked = pairs.join(comps.select(F.col("id").alias("a"), "component"), "a").groupBy("component").agg(F.max("similarity").alias("strongest"), F.min("similarity").alias("weakest"))
     return named.join(linked, "component").join(few, "component").select("component", "members", "tokens", "strongest", "weakest", "first")
+
+
+#: Words of several languages that stay where names are renamed.
+KEYWORDS = (
+    "if else for while do switch case break continue return function const let var new class extends async await try catch finally throw import from export default typeof instanceof in of delete void yield static get set this super null undefined true false "
+    "def elif except lambda pass raise with as is not and or None True False func go defer chan map range struct interface type package nil err string int bool byte float64 public private protected final void long double boolean"
+).split(" ")
+_CODE = r"[A-Za-z_$][A-Za-z0-9_$]*|(?:0[xX][0-9A-Fa-f_]+|0[bB][01_]+|0[oO][0-7_]+|[0-9][0-9_]*(?:\.[0-9][0-9_]*)?(?:[eE][+-]?[0-9][0-9_]*)?)n?|[^\sA-Za-z0-9_]"
+
+
+def code_tokens(texts: DataFrame) -> DataFrame:
+    """id, strict, renamed: the tokens of code; renamed has I for every name that is no keyword. Numbers are N: and their text, as they are behaviour, not names.
+
+    For source files, blank comments and strings first (`sources.javascript.masked`).
+    """
+    raw = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_CODE), 0)
+    strict = F.transform(raw, lambda t: F.when(t.rlike("^[0-9]"), F.concat(F.lit("N:"), t)).otherwise(t))
+    words = F.array(*map(F.lit, sorted(set(KEYWORDS))))
+    renamed = F.transform("strict", lambda t: F.when(t.rlike("^[A-Za-z_$]") & ~t.startswith("N:") & ~F.array_contains(words, t), "I").otherwise(t))
+    return texts.select("id", strict.alias("strict")).select("id", "strict", renamed.alias("renamed"))
+
+
+def code_fingerprints(tokens: DataFrame, form: str) -> DataFrame:
+    """id, fp of a token column (`strict` or `renamed`): windows of 8-grams as in `fingerprints`, and each numeric token by itself.
+
+    Fragments of fewer than 11 tokens have none. fp: 60 bits of an MD5.
+    """
+    key = lambda text: F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    long = tokens.where(F.size(form) >= GRAM + WINDOW - 1).select("id", F.col(form).alias("t"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("t") - GRAM + 1), lambda i: key(F.array_join(F.slice("t", i, GRAM), " ")))
+    wins = F.transform(F.sequence(F.lit(1), F.size("g") - WINDOW + 2), lambda i: F.array_min(F.slice("g", i, WINDOW)))
+    numbers = F.transform(F.filter("t", lambda t: t.startswith("N:")), lambda t: key(F.concat(F.lit("numeric:"), t)))
+    return long.select("id", "t", grams.alias("g")).select("id", F.explode(F.array_distinct(F.concat(wins, numbers))).alias("fp"))

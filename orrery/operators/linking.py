@@ -126,9 +126,9 @@ def bindings_of(facts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def exports_of(facts: DataFrame, found: DataFrame) -> DataFrame:
-    """module, name, kind, imported, target of export facts."""
+    """module, name, kind, imported, target, type_only of export facts."""
     at = found.select("file", "spec", "target").where("target is not null")
-    return facts.where("fact = 'export'").select("file", "spec", "name", "kind", "imported").join(at, ["file", "spec"], "left").drop("spec").withColumnRenamed("file", "module")
+    return facts.where("fact = 'export'").select("file", "spec", "name", "kind", "imported", "type_only").join(at, ["file", "spec"], "left").drop("spec").withColumnRenamed("file", "module")
 
 
 def specs_of(facts: DataFrame) -> DataFrame:
@@ -182,3 +182,21 @@ def call_edges(calls: DataFrame) -> DataFrame:
     """source, target, relation, line of resolved calls; JSX outside all symbols comes from its file; nothing calls itself."""
     source = F.coalesce("caller", F.when(F.col("relation") == "references", F.col("file")))
     return calls.where("state = 'resolved'").select(source.alias("source"), "target", "relation", "line").where("source is not null and source <> target")
+
+
+def external_references(uses: DataFrame, bound: DataFrame, exports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """id, refs: how often other files use each symbol by a name imported from its file.
+
+    A named import counts each use of its local name; a namespace counts the accesses to each member; a re-export counts one. Type-only imports count for symbols of
+    type space, others for those of value space, both for classes and enums. uses: as `javascript.uses` gives them; bound, exports: with targets. Symbols that
+    nothing uses are left out.
+    """
+    total = uses.groupBy("file", "name").agg(F.sum("n").alias("n"))
+    named = bound.where("imported not in ('*', 'default')").join(total, ["file", "name"]).select(F.col("target").alias("of"), F.col("imported").alias("wanted"), "type_only", "n")
+    spaces = bound.where("imported = '*'").select("file", "name", "target", "type_only")
+    member = spaces.join(uses.where("member is not null"), ["file", "name"]).select(F.col("target").alias("of"), F.col("member").alias("wanted"), "type_only", "n")
+    passed = exports.where("kind = 'named' and target is not null").select(F.col("target").alias("of"), F.col("imported").alias("wanted"), "type_only", F.lit(1).cast("long").alias("n"))
+    sums = named.unionByName(member).unionByName(passed).groupBy("of", "wanted", "type_only").agg(F.sum("n").alias("n"))
+    fits = (F.col("space") == "both") | F.when(F.col("type_only"), F.col("space") == "type").otherwise(F.col("space") != "type")
+    own = symbols.select(F.col("file").alias("of"), F.col("name").alias("wanted"), "space", "id")
+    return sums.join(own, ["of", "wanted"]).where(fits).groupBy("id").agg(F.sum("n").alias("refs"))

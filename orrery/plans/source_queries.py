@@ -151,3 +151,16 @@ def streaming_maintained_calls(spark, d):
     moved = F.when(F.col("file").rlike(r"supp/s\d*3\.js$"), F.concat(F.lit("// moved\n"), "text")).otherwise(F.col("text"))
     graph.refresh(scratch.write(files.withColumn("text", moved), "later"))
     return graph.table("calls")
+
+
+@query(f"""with {_P}, u as (
+  select s.file || '#supply' || s || '@4' as id, count(*) as refs from p join s using (s) where k % 4 in (0, 2) group by all
+  union all select s.file || '#rate@6', count(*) from p join s using (s) where k % 4 = 0 group by all
+  union all select file || '#supply' || s || '@4', 1 from s)
+select id, cast(sum(refs) as bigint) as refs from u group by id""")
+def link_external_references(spark, d):
+    """Uses of imported names and namespace members, re-exports as one"""
+    files = source_files(spark, d)
+    facts, names = _facts(spark, d)
+    found = linking.modules(linking.specs_of(facts), names)
+    return linking.external_references(javascript.uses(files), linking.bindings_of(facts, found), linking.exports_of(facts, found), linking.symbols_of(facts))

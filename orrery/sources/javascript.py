@@ -367,3 +367,49 @@ def masked(files: DataFrame) -> DataFrame:
 
 def is_javascript(file: Column) -> Column:
     return file.rlike(r"\.([cm]?js|jsx|tsx?)$")
+
+
+_USE = "file string, name string, member string, n long"
+
+
+def uses(files: DataFrame) -> DataFrame:
+    """file, name, member, n: how often each name stands in code outside of import and re-export statements, and what member follows it (null: none).
+
+    Names after a dot are members and count with what they follow; comments and the insides of strings are no code. For A29.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out: dict[tuple, int] = {}
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()):
+                s = _Source(file or "", text or "")
+                skip = _statements(s)
+                for i in range(s.n):
+                    if s.kind[i] == NAME and not s.is_(i - 1, ".", "?.") and i not in skip:
+                        member = s.text[i + 2] if s.is_(i + 1, ".", "?.") and s.name(i + 2) else None
+                        key = (file, s.text[i], member)
+                        out[key] = out.get(key, 0) + 1
+            columns = list(zip(*(k + (n,) for k, n in out.items()))) or [(), (), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["file", "name", "member", "n"])
+
+    return files.select("file", "text").mapInArrow(run, _USE)
+
+
+def _statements(s: _Source) -> set[int]:
+    """Tokens of import statements, of re-exports, and of patterns that a require call fills."""
+    out: set[int] = set()
+    for i in range(s.n):
+        if s.depth[i] or s.kind[i] != NAME:
+            continue
+        end = None
+        if s.is_(i, "import") and not s.is_(i + 1, "(", "."):
+            end = next((j for j in range(i, min(s.n, i + 4000)) if s.string(j) is not None or s.is_(j, ";")), None)
+        elif s.is_(i, "export") and (s.is_(i + 1, "{", "*") or (s.is_(i + 1, "type") and s.is_(i + 2, "{", "*"))):
+            at = i + 1 + s.is_(i + 1, "type")
+            close = s.close.get(at, at)
+            end = close + 2 if s.is_(close + 1, "from") else next((j for j in range(at, min(s.n, at + 5)) if s.string(j) is not None), None) if s.is_(at, "*") else None
+        elif s.is_(i, "const", "let", "var") and s.is_(i + 1, "{") and i + 1 in s.close and s.is_(s.close[i + 1] + 1, "=") and s.is_(s.close[i + 1] + 2, "require"):
+            end = s.close[i + 1] + 2
+        if end is not None:
+            out.update(range(i, end + 1))
+    return out

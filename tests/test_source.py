@@ -263,3 +263,19 @@ def test_a_stream_maintains_the_graph(spark, tmp_path):
     assert [r.target for r in graph.table("calls").collect()] == ["a.js#f@2"]
     sink(spark.createDataFrame([("a.js", None, True, 4)], schema), 2)
     assert graph.head().reason == "files-changed" and [r.state for r in graph.table("calls").collect()] == ["missing"]
+
+
+def test_external_references(spark):
+    texts = {
+        "a.ts": "export function one() { one() }\nexport interface Two {}\nexport class Three {}\nfunction hidden() {}\n",
+        "b.ts": "import { one as uno, Three } from './a'\nimport type { Two } from './a'\nimport * as ns from './a'\nuno(uno); new Three(); ns.one(); ns . one; ns?.hidden(); // uno\nlet x: Two = 'uno', y: Two; z.uno\n",
+        "c.ts": "export { one, Three as T } from './a'\nexport type { Two } from './a'\nexport * from './a'\n",
+        "d.js": "const { one } = require('./a')\none(`${one}`)\n",
+        "e.ts": "import './a'\nimport def from './a'\ndef(); one()\n",
+    }
+    files = repo(spark, texts)
+    facts = javascript.facts(files).cache()
+    found = linking.modules(linking.specs_of(facts), files)
+    got = linking.external_references(javascript.uses(files), linking.bindings_of(facts, found), linking.exports_of(facts, found), linking.symbols_of(facts))
+    assert {r.id: r.refs for r in got.collect()} == {"a.ts#one@1": 2 + 2 + 1 + 2, "a.ts#Two@2:type": 2 + 1, "a.ts#Three@3": 1 + 1, "a.ts#hidden@4": 1}
+    assert javascript.uses(spark.createDataFrame([("x.js", None), ("y.js", "")], "file string, text string")).collect() == []
