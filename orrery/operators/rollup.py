@@ -47,16 +47,22 @@ def with_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(src, "source").join(dst, "target")
 
 
+def counted(edges: DataFrame) -> DataFrame:
+    """source, target, relation, edge_class, n of edges that are no containment and pass no names on: repeats are counted before anything joins them."""
+    e = edges.where((F.col("relation") != "contains") & ~F.col("barrel_proxy"))
+    return e.groupBy("source", "target", "relation", edge_class().alias("edge_class")).agg(F.count("*").alias("n"))
+
+
 def file_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """from_file, to_file, edge_class, n, dominant relation, ties by name (A4)."""
-    e = with_files(edges.where((F.col("relation") != "contains") & ~F.col("barrel_proxy")), nodes).where("from_file <> to_file")
-    by = e.groupBy("from_file", "to_file", edge_class().alias("edge_class"), "relation").count()
+    e = with_files(counted(edges), nodes).where("from_file <> to_file")
+    by = e.groupBy("from_file", "to_file", "edge_class", "relation").agg(F.sum("n").alias("count"))
     return by.groupBy("from_file", "to_file", "edge_class").agg(F.sum("count").alias("n"), F.min(F.struct((-F.col("count")).alias("c"), "relation")).alias("top")).select("from_file", "to_file", "edge_class", "n", F.col("top.relation").alias("relation"))
 
 
 def module_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    e = with_files(edges.where((F.col("relation") != "contains") & ~F.col("barrel_proxy")), nodes).where("from_module <> to_module")
-    return e.groupBy("from_module", "to_module", edge_class().alias("edge_class")).agg(F.count("*").alias("n"))
+    e = with_files(counted(edges), nodes).where("from_module <> to_module")
+    return e.groupBy("from_module", "to_module", "edge_class").agg(F.sum("n").alias("n"))
 
 
 def multigraph(edges: DataFrame, relation: str = "calls") -> DataFrame:

@@ -153,17 +153,14 @@ def resolve_call_arguments(spark, d):
     return resolve.call_arguments(p)
 
 
-@query(G + """, own as (select id as module, case when loc % 50 = 0 then 'default' else label end as name from nodes where kind = 'part'), st as (select source as module, target as src from edges where relation = 'imports'),
-s0 as (select distinct module, name, module as origin from own),
-s1 as (select distinct st.module, s0.name, origin from s0 join st on st.src = s0.module where name <> 'default' and (st.module, s0.name) not in (select (module, name) from own)),
-s2 as (select distinct st.module, s1.name, origin from s1 join st on st.src = s1.module where (st.module, s1.name) not in (select (module, name) from own)),
-a as (select * from s0 union select * from s1 union select * from s2)
+@query(G.replace("with ", "with recursive ", 1) + """, own as (select id as module, case when loc % 50 = 0 then 'default' else label end as name from nodes where kind = 'part'), st as (select source as module, target as src from edges where relation = 'imports'),
+a(module, name, origin) as (select module, name, module from own union select st.module, a.name, a.origin from a join st on st.src = a.module where a.name <> 'default' and not exists (select 1 from own where own.module = st.module and own.name = a.name))
 select module, name, case when count(*) = 1 then min(origin) end as origin, case when count(*) = 1 then 'resolved' else 'ambiguous' end as state from a group by 1, 2""")
 def resolve_reexports(spark, d):
     """J4, G14"""
     own = nodes(spark, d).where("kind = 'part'").select(F.col("id").alias("module"), F.when(F.col("loc") % 50 == 0, "default").otherwise(F.col("label")).alias("name"))
     star = edges(spark, d, ("imports",)).select(F.col("source").alias("module"), F.col("target").alias("from"))
-    return resolve.reexports(own, star, 2)
+    return resolve.reexports(own, star)
 
 
 @query("select l_orderkey as name, min(l_returnflag) as method, min(l_linestatus) as argument, min(l_suppkey % 3) as file from lineitem group by 1 having count(distinct (l_returnflag, l_linestatus, l_suppkey % 3)) = 1")

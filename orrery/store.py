@@ -17,9 +17,11 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new local one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a new local one only where it is unset and all of Spark is one process."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_KEY} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
