@@ -3,7 +3,8 @@
 Every language has a probability for each piece of a fixed public vocabulary. The probability of a
 word sums over all its segmentations into pieces (the forward algorithm), so no tokenizer has to
 guess one. Words are runs of letters and their marks, lower-cased, of any length, with the vocabulary's word mark in
-front. A text's log-probability adds up over its words. Words past `PLAIN_LENGTH` letters are summed in logarithms.
+front. A text's log-probability adds up over its words. Words past `PLAIN_LENGTH` letters, and those whose sums come near the
+least number there is, are summed in logarithms; the result is the same.
 Piece probabilities come from expectation-maximisation (forward-backward) on a bounded sample.
 
 The forward pass runs over many words at once, and each task keeps the scores of words it has met.
@@ -26,6 +27,7 @@ from orrery.llm.text import U
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PLAIN_LENGTH = 48
+LEAST = 1e-200  # sums below this lose digits: such words are summed in logarithms
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _ASCII = re.compile("[a-z]+")
 _MARK = "▁"
@@ -134,41 +136,52 @@ class Segmenter:
         out = np.zeros((len(words), table.shape[1]))
         for part, long in self._parts(words):
             ids, size = self.spell([words[j] for j in part])
-            if long:
-                out[part] = self._forward_log(ids, table)[np.arange(len(part)), size]
-            else:
-                out[part] = np.log(self.forward(ids, table)[np.arange(len(part)), size] + 1e-300)
+            low = np.ones(len(part), bool)
+            if not long:
+                value = self.forward(ids, table)[np.arange(len(part)), size]
+                low = (value < LEAST).any(1)
+                out[part[~low]] = np.log(value[~low])
+            if low.any():
+                out[part[low]] = self._forward_log(ids[low], table)[np.arange(int(low.sum())), size[low]]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in words that occur so many times (one language)."""
         total = np.zeros(self.n + 2)
-        p = table[:, 0]
-        with np.errstate(divide="ignore"):
-            log = np.log(p)
         for part, long in self._parts(words):
             ids, size = self.spell([words[j] for j in part])
-            n, width, _ = ids.shape
-            steps = self._steps(ids)
-            add, one, zero = (np.add, 0.0, -np.inf) if long else (np.multiply, 1.0, 0.0)
-            alpha = (self._forward_log if long else self.forward)(ids, table)[:, :, 0]
-            own = log if long else p
-            beta = np.full((n, width + 1), zero)
-            beta[np.arange(n), size] = one
-            for t in range(width - 1, -1, -1):
-                for k in steps:
-                    if k < width - t:
-                        term = add(own[ids[:, t, k]], beta[:, t + k + 1])
-                        beta[:, t] = np.logaddexp(beta[:, t], term) if long else beta[:, t] + term
-            for t in range(width):
-                for k in steps:
-                    if k < width - t:
-                        use = add(add(alpha[:, t], own[ids[:, t, k]]), beta[:, t + k + 1])
-                        use = np.exp(use - beta[:, 0]) if long else use / np.maximum(beta[:, 0], 1e-300)
-                        total += np.bincount(ids[:, t, k], weights=use * counts[part], minlength=self.n + 2)
+            low = np.ones(len(part), bool)
+            if not long:
+                alpha = self.forward(ids, table)[:, :, 0]
+                low = alpha[np.arange(len(part)), size] < LEAST
+                if not low.all():
+                    self._uses(total, ids[~low], size[~low], counts[part[~low]], table[:, 0], alpha[~low], False)
+            if low.any():
+                self._uses(total, ids[low], size[low], counts[part[low]], table[:, 0], self._forward_log(ids[low], table)[:, :, 0], True)
         total[self.n] = 0
         return total
 
+    def _uses(self, total: np.ndarray, ids: np.ndarray, size: np.ndarray, counts: np.ndarray, p: np.ndarray, alpha: np.ndarray, logs: bool) -> None:
+        """Adds the pieces' expected uses in some words, in probabilities or in their logs."""
+        n, width, _ = ids.shape
+        steps = self._steps(ids)
+        add, one, zero = (np.add, 0.0, -np.inf) if logs else (np.multiply, 1.0, 0.0)
+        with np.errstate(divide="ignore"):
+            own = np.log(p) if logs else p
+        beta = np.full((n, width + 1), zero)
+        beta[np.arange(n), size] = one
+        for t in range(width - 1, -1, -1):
+            for k in steps:
+                if k < width - t:
+                    term = add(own[ids[:, t, k]], beta[:, t + k + 1])
+                    beta[:, t] = np.logaddexp(beta[:, t], term) if logs else beta[:, t] + term
+        for t in range(width):
+            for k in steps:
+                if k < width - t:
+                    use = add(add(alpha[:, t], own[ids[:, t, k]]), beta[:, t + k + 1])
+                    use = np.exp(use - beta[:, 0]) if logs else use / beta[:, 0]
+                    total += np.bincount(ids[:, t, k], weights=use * counts, minlength=self.n + 2)
+
 
 def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth: float = 0.05) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the table (pieces + 2) x languages of probabilities."""
@@ -179,6 +192,7 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth
         words = sorted(counts[lang])
         n = np.array([counts[lang][w] for w in words], float)
         p = np.full((len(pieces) + 2, 1), 1 / (len(pieces) + 1))
+        p[len(pieces)] = 0  # where no piece is, nothing may pass
         for _ in range(rounds):
             use = seg.expected(words, n, p) + smooth if words else np.ones(len(pieces) + 2)
             use[len(pieces)] = 0

@@ -149,9 +149,15 @@ def mix(documents: DataFrame, share: float = 1.5, limit: float = 2.0, block_word
 
 
 def taken(plan: DataFrame, draws: DataFrame) -> DataFrame:
-    """The plan with `taken`, the words that the shards draw of each document; rows equal in id, source, text and lang are drawn alike."""
-    drawn = draws.groupBy("key").agg(F.count_distinct("pass").alias("drawn"))
-    return plan.join(drawn, "key", "left").withColumn("taken", F.col("size") * F.coalesce("drawn", F.lit(0)))
+    """The plan with what the shards draw of each document: `taken`, words; `shards`, the shard of each copy by pass, joined by commas; `at`, the copies' positions in them.
+
+    Rows equal in id, source, text and lang are drawn alike: each pass counts once.
+    """
+    once = draws.groupBy("key", "pass").agg(F.min("shard").alias("shard"), F.min("position").alias("position"))
+    drawn = once.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "position"))).alias("d"))  # a document has as many copies as its limit
+    got = plan.join(drawn, "key", "left")
+    each = lambda f: F.coalesce(F.array_join(F.transform("d", lambda x: x[f].cast("string")), ","), F.lit(""))
+    return got.withColumns({"taken": F.col("size") * F.when(F.col("d").isNotNull(), F.size("d")).otherwise(0), "shards": each("shard"), "at": each("position")}).drop("d")
 
 
 def mixed_shards(documents: DataFrame, **options) -> DataFrame:

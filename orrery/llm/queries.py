@@ -43,7 +43,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, draws = mixing.mix(_t(spark, sf_dir, "documents"))
-    return mixing.taken(plan, draws).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(plan, draws).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
