@@ -365,8 +365,9 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
         others = others.join(tops.select(F.col("part").alias("key")).distinct(), "key", "left_anti").unionByName(own.select("key", F.col("h1").alias("member")).distinct())
     pairs = scratch.write(pairs.distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    bodies = fresh.select("h1", "body").join(involved, "h1", "left_semi").dropDuplicates(["h1"])
-    bodies = scratch.write(bodies.mapInArrow(_with_size, "h1 long, body binary, n int"), "bodies")
+    # Lines are named by 64 bits while they are compared: of those that share a name the least by its other 64 bits stands for it, and only it takes a component.
+    bodies = fresh.select("h1", "h2", "body").join(involved, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("h2", "body")).alias("b")).select("h1", "b.h2", "b.body")
+    bodies = scratch.write(bodies.mapInArrow(_with_size, "h1 long, h2 long, body binary, n int"), "bodies")
     links = scratch.write(_verified(pairs, bodies, threshold, parts), "links")
     comps = connected_components(links)
     # Where those of a bucket are of several components, they all meet one another, in blocks.
@@ -375,10 +376,11 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
         more = _across(rest.join(bodies.select(F.col("h1").alias("member"), "body"), "member"), threshold, parts, block)
         links = links.unionByName(scratch.write(more, "links-2"))
         comps = connected_components(links)
+    comps = scratch.write(comps.join(bodies.select(F.col("h1").alias("id"), "h2"), "id").select(F.col("id").alias("h1"), "h2", "component"), "components")
     for table in (*(f"buckets-{p}" for p in range(PASSES)), "pairs", "bodies", "open"):
         scratch.drop(table)
     # Equal lines are told apart by both hashes, fuzzy ones by component; only lines with a partner go on.
-    exact = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).join(comps.withColumnRenamed("id", "h1"), "h1", "left").where("n > 1 or component is not null")
+    exact = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).join(comps, ["h1", "h2"], "left").where("n > 1 or component is not null")
     named = exact.select("h1", "h2", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).alias("g2"))
     met = scratch.write(lines.select("d", "row", "line", "h1", "h2").join(named, ["h1", "h2"]).select("g1", F.coalesce("g2", F.lit(0)).alias("g2"), "d", "row", "line"), "met")
     # The first of each group stays.

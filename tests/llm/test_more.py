@@ -128,3 +128,19 @@ def test_mixes_of_odd_tables(spark):
     ties = spark.createDataFrame([(1, "a b c d", "s", "en")] * 6, "doc_id long, text string, source string, lang string")
     got = mixing.taken(*mixing.mix(ties)).collect()
     assert len({r.taken for r in got}) == 1 and len(got) == 6
+
+
+def test_lines_that_share_half_a_name_are_not_one(spark, monkeypatch):
+    """With a first half of one bit, nearly all lines collide: none may go but for an exact double or a verified likeness."""
+    from orrery.llm import lines
+
+    whole = lines.line_table
+
+    def colliding(rows):
+        return whole(rows).withColumn("h1", F.when(F.col("body").isNotNull(), F.pmod("h1", F.lit(2)).cast("long")).otherwise(F.col("h1")))
+
+    monkeypatch.setattr(lines, "line_table", colliding)
+    texts = ["alpha beta gamma delta epsilon one", "a wholly different line of words here", "zeta eta theta iota kappa lambda mu", "nothing like the other lines at all 7"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:1])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(d).collect()}
+    assert [got[i] for i in range(4)] == texts and got[4] == ""
