@@ -124,3 +124,37 @@ def change_classes(files: DataFrame, lines: DataFrame, symbols: DataFrame) -> tu
     whole = F.when(F.col("is_binary"), "unknown").when(F.col("is_deleted"), "removed").when(F.col("is_renamed"), "signature-changed").when(F.col("is_new"), "added")
     whole = whole.when(F.col("surface"), "signature-changed").when(~F.col("surface"), "unknown").when(F.col("rank").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in CLASSES]), F.col("rank"))).otherwise("metadata-only")
     return own, all_.select("file", whole.alias("class"))
+
+
+#: Classes of a file that put its callers at high risk.
+BREAKING = ["removed", "signature-changed", "unknown"]
+
+
+def change_seeds(files: DataFrame, own: DataFrame, classes: DataFrame, symbols: DataFrame, is_test: Column, include_added: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(file, class of each changed file with `test-only` for tests; file, id of the nodes to follow from it).
+
+    own, classes: as `change_classes` gives them; symbols: file, id, exported; a file's own node is its path; is_test: over `file`. Changed symbols are followed, added ones only if
+    asked for; a removed or changed signature that is exported brings its file. A file that is binary, removed, renamed or unknown is followed itself, and all but renamed ones with all
+    their symbols; so is one whose surface changed outside of symbols. Tests are followed nowhere.
+    """
+    flags = files.select("file", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_deleted", "is_renamed", "is_binary")])
+    test = F.coalesce(is_test, F.lit(False))
+    product = classes.where(~test).withColumnRenamed("class", "file_class").join(flags, "file", "left")
+    changed = own.join(product.select("file"), "file").join(symbols.select("file", "id", "exported"), ["file", "id"], "left")
+    followed = changed.where((F.col("class") != "metadata-only") & ((F.col("class") != "added") | F.lit(include_added)))
+    bring = followed.where(F.col("class").isin("removed", "signature-changed") & F.coalesce("exported", F.lit(False))).select("file", F.col("file").alias("id"))
+    bare = product.join(own.select("file").distinct().withColumn("mapped", F.lit(True)), "file", "left")
+    broken = F.col("is_binary") | F.col("is_deleted") | F.col("is_renamed") | (F.col("file_class") == "unknown")
+    alone = ~broken & (F.col("file_class") == "signature-changed") & F.col("mapped").isNull()
+    new = ~broken & (F.col("file_class") == "added") & F.lit(include_added)
+    nodes = bare.where(broken | alone | new).select("file", F.col("file").alias("id"))
+    all_of = product.where(F.col("is_binary") | F.col("is_deleted") | (F.col("file_class") == "unknown")).select("file").join(symbols.select("file", "id"), "file")
+    seeds = followed.select("file", "id").unionByName(bring).unionByName(nodes).unionByName(all_of).where("id is not null").distinct()
+    return classes.select("file", F.when(test, "test-only").otherwise(F.col("class")).alias("class")), seeds
+
+
+def change_verdict(classes: DataFrame) -> DataFrame:
+    """verdict (LOW, MEDIUM, HIGH), files, breaking, bodies of all changed files: one row, LOW for none."""
+    breaking, body = F.col("class").isin(*BREAKING), F.col("class") == "body-changed"
+    sums = classes.agg(F.count("*").alias("files"), F.coalesce(F.sum(breaking.cast("long")), F.lit(0)).alias("breaking"), F.coalesce(F.sum(body.cast("long")), F.lit(0)).alias("bodies"))
+    return sums.select(F.when(F.col("breaking") > 0, "HIGH").when(F.col("bodies") > 0, "MEDIUM").otherwise("LOW").alias("verdict"), "files", "breaking", "bodies")
