@@ -11,10 +11,11 @@ A byte goes if a `LENGTH`-byte string covering it also starts earlier in the cor
 4. Groups of several different segments get them as bytes, one for each. The first segment of each group is its base. The bases of many
    groups (about half a MB) become one index: their suffixes are sorted, the Burrows-Wheeler transform is run-compressed, and suffix positions are
    sampled at the run ends. The other segments stream their matching statistics over it, and a window whose longest match
-   reaches LENGTH at an earlier place is marked.
-5. What is not marked, new text beside a repeated passage, is compared exactly among the segments of its group, by the hashes of its windows.
+   reaches LENGTH is marked if the earliest place of that string in the index, known from the order of the suffixes, is earlier; so are a base's own windows.
+5. Windows that no base has, new text beside a repeated passage, are compared exactly among the other segments of their group, by their hashes.
 
-Every mark has an earlier equal string, and the earliest of equal windows is never marked, so step 5 finds what step 4 leaves.
+Every mark has an earlier equal string, and the earliest of equal windows is never marked. A base comes first in its group, so a window that
+it has goes by the index alone; step 5 sees no window of a base.
 Only (hash, place) pairs and differing segments are shuffled. The segments of a hot group are dealt to several tasks, each with the base;
 the windows left there meet in one more shuffle. Memory: one batch of rows, one pack of segments.
 
@@ -126,7 +127,7 @@ class RunLengthIndex:
         self.to[by] = np.cumsum(size[by]) - size[by]
         self.by, self.by_symbol, self.by_start = by, self.run_symbol[by], self.run_start[by]
         self.symbol_from = np.searchsorted(self.by_symbol, np.arange(259))
-        lcp = np.zeros(n, np.int64)
+        lcp = self.lcp = np.zeros(n, np.int64)
         lcp[1:] = self.shared(self.order[1:], self.order[:-1])
         self.threshold = np.zeros(len(by), np.int64)  # in the order of `by`, against the run before of the same symbol
         same = np.flatnonzero(self.by_symbol[1:] == self.by_symbol[:-1]) + 1
@@ -135,6 +136,16 @@ class RunLengthIndex:
             key = np.append(lcp * (n + 1) + np.arange(n), np.iinfo(np.int64).max)
             self.threshold[same] = np.minimum.reduceat(key, np.stack([low, high], 1).ravel())[::2] % (n + 1)
 
+    def earliest(self, place: np.ndarray, length: int) -> np.ndarray:
+        """For each position the least `place` (one for each position) at which its next `length` symbols start: equal ones stand together in suffix order."""
+        if not hasattr(self, "to"):
+            self._prepare()
+        out = place.copy()
+        if len(self.order):
+            run = np.flatnonzero(np.concatenate(([True], self.lcp[1:] < length)))
+            out[self.order] = np.repeat(np.minimum.reduceat(place[self.order], run), np.diff(np.append(run, len(place))))
+        return out
+
     def pointers(self, patterns: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """For each place of each pattern (rows of bytes + 1, filled up with 0) a text position where its longest match begins, or -1.
 
@@ -363,6 +374,13 @@ def _judge(table: pa.Table):
     value = hashes.of(begin[seg] + t, begin[seg] + t + LENGTH)
     place = (text[seg] << 32) + cols["start"][seg] + t
     gone = np.zeros(len(seg), bool)
+    # The earliest place of each window of the bases; those that also start earlier go.
+    at = np.repeat(np.arange(len(base_of)), lens[base_of] + 1)
+    offset = np.arange(len(index.text)) - index.start[at]
+    there = (text[base_of[at]] << 32) + cols["start"][base_of[at]] + offset
+    least = index.earliest(there, LENGTH)
+    twice = np.flatnonzero((least < there) & (index.left >= LENGTH))
+    gone[(np.cumsum(count) - count)[base_of[at[twice]]] + offset[twice]] = True
     stream = np.flatnonzero(~head)
     if len(stream):
         grid, own_lens = _grid([body[i] for i in stream])
@@ -373,13 +391,10 @@ def _judge(table: pa.Table):
         p = pointer[line[seg[on]], t[on]].astype(np.int64)
         ok = (p >= 0) & (index.left[np.maximum(p, 0)] >= LENGTH)
         on, p = on[ok], p[ok]
-        at = np.searchsorted(index.start, p, "right") - 1
-        found = base_of[at]
-        earlier = (text[found] << 32) + cols["start"][found] + (p - index.start[at]) < place[on]
         # Matching statistic of LENGTH or more: the longest match begins with the whole window.
-        gone[on] = earlier & (own.of(p, p + LENGTH) == value[on])
-    # Windows without a mark, against one another and the base's.
-    left = np.flatnonzero(~gone)
+        gone[on] = (least[p] < place[on]) & (own.of(p, p + LENGTH) == value[on])
+    # Windows of the other segments that no base has, against one another.
+    left = np.flatnonzero(~gone & ~head[seg])
     order = left[np.lexsort((place[left], mix(value[left] ^ mix(g[seg[left]].astype(U)))))]
     first = np.ones(len(order), bool)
     first[1:] = (value[order][1:] != value[order][:-1]) | (g[seg[order]][1:] != g[seg[order]][:-1])

@@ -144,3 +144,36 @@ def test_lines_that_share_half_a_name_are_not_one(spark, monkeypatch):
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:1])], "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.dedup_lines(d).collect()}
     assert [got[i] for i in range(4)] == texts and got[4] == ""
+
+
+def test_the_run_length_index_decides_the_removals(monkeypatch):
+    import pyarrow as pa
+
+    from orrery.llm import suffix
+
+    rnd = random.Random(2)
+    base = bytes(rnd.randrange(97, 123) for _ in range(200))
+    base = base[:160] + base[20:140]  # it repeats itself
+    other = base[:150] + bytes(rnd.randrange(65, 91) for _ in range(120))
+    third = other[120:]  # new text of the second, which no base has
+    body = [base, other, third]
+    table = pa.table({"h": [1] * 3, "salt": [-1] * 3, "doc": [1, 2, 3], "row": [7] * 3, "start": pa.array([0, 0, 0], pa.int32()), "base": [True, False, False], "bytes": pa.array(body, pa.binary())})
+
+    def removed():
+        out = {d: set() for d in (1, 2, 3)}
+        for batch in suffix._judge(table):
+            for r in batch.to_pylist():
+                if r["w"] is None:
+                    out[r["doc"]] |= set(range(r["start"], r["end"]))
+        return out
+
+    want, seen = {d: set() for d in (1, 2, 3)}, set()
+    for d, text in enumerate(body, 1):
+        for i in range(len(text) - suffix.LENGTH + 1):
+            if text[i : i + suffix.LENGTH] in seen:
+                want[d] |= set(range(i, i + suffix.LENGTH))
+            seen.add(text[i : i + suffix.LENGTH])
+    assert removed() == want and all(want.values())
+    monkeypatch.setattr(suffix.RunLengthIndex, "pointers", lambda self, patterns, lens: np.full(patterns.shape, -1, np.int32))
+    off = removed()
+    assert off[1] == want[1] and off[2] == set() and off[3] == want[3]
