@@ -148,16 +148,19 @@ def mix(documents: DataFrame, share: float = 1.5, limit: float = 2.0, block_word
     return done, draws
 
 
-def taken(plan: DataFrame, draws: DataFrame) -> DataFrame:
+def taken(plan: DataFrame, draws: DataFrame, most: int = 2) -> DataFrame:
     """The plan with what the shards draw of each document: `taken`, words; `shards`, the shard of each copy by pass, joined by commas; `at`, the copies' positions in them.
 
-    Rows equal in id, source, text and lang are drawn alike: each pass counts once.
+    Rows equal in id, source, text and lang are drawn alike: each pass counts once. most: the passes of a document, the mix's limit; more raise. They are columns of plain numbers while
+    they are gathered, so no list is held for a document.
     """
-    once = draws.groupBy("key", "pass").agg(F.min("shard").alias("shard"), F.min("position").alias("position"))
-    drawn = once.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "position"))).alias("d"))  # a document has as many copies as its limit
+    own = [(f"{c}_{p}", F.min(F.when(F.col("pass") == p, F.col(c)))) for c in ("shard", "position") for p in range(most)]
+    drawn = draws.groupBy("key").agg(F.max("pass").alias("last"), *[f.alias(n) for n, f in own])
+    drawn = drawn.select("key", *[F.when(F.col("last") < most, F.col(n)).otherwise(F.raise_error(F.lit("a document has more passes than `most`"))).alias(n) for n, _ in own])
     got = plan.join(drawn, "key", "left")
-    each = lambda f: F.coalesce(F.array_join(F.transform("d", lambda x: x[f].cast("string")), ","), F.lit(""))
-    return got.withColumns({"taken": F.col("size") * F.when(F.col("d").isNotNull(), F.size("d")).otherwise(0), "shards": each("shard"), "at": each("position")}).drop("d")
+    number = sum((F.col(f"shard_{p}").isNotNull().cast("long") for p in range(most)), F.lit(0).cast("long"))
+    each = lambda c: F.concat_ws(",", *[F.col(f"{c}_{p}").cast("string") for p in range(most)])
+    return got.withColumns({"taken": F.col("size") * number, "shards": each("shard"), "at": each("position")}).drop(*[n for n, _ in own])
 
 
 def mixed_shards(documents: DataFrame, **options) -> DataFrame:

@@ -228,26 +228,21 @@ def test_incremental_is_a_full_build(spark, tmp_path):
         assert same_graph(graph, fresh)
 
 
-@pytest.mark.parametrize(
-    "change, most, reason",
-    [
-        ({"src/new.js": "f()"}, {}, "files-changed"),
-        ({"src/use.tsx": None}, {}, "files-changed"),
-        ({"src/a.js": "// x\n" + REPO["src/a.js"], "src/b.ts": "// x\n" + REPO["src/b.ts"]}, {"most_changed": 1}, "too-many-changed"),
-        ({"package.json": "{ }"}, {}, "config-changed"),
-        ({"notes.md": "b"}, {}, "language"),
-        ({"src/index.ts": "// x\n" + REPO["src/index.ts"]}, {}, "barrel-changed"),
-        ({"src/b.ts": REPO["src/b.ts"] + "export const more = 1\n"}, {}, "exports-changed"),
-        ({"src/b.ts": "// x\n" + REPO["src/b.ts"]}, {"most_affected": 1}, "too-many-affected"),
-    ],
-)
-def test_every_fallback(spark, tmp_path, change, most, reason):
-    keep = {k: v for k, v in REPO.items() if k in ("src/a.js", "src/b.ts", "src/index.ts", "src/use.tsx")} | {"package.json": "{}", "notes.md": "a"}
-    graph = SourceGraph(spark, str(tmp_path), **most)
-    graph.rebuild(repo(spark, keep))
-    graph.refresh(repo(spark, {k: v for k, v in (keep | change).items() if v is not None}))
-    head = graph.head()
-    assert (head.kind, head.reason) == ("full", reason)
+def test_every_fallback(spark, tmp_path):
+    texts = {k: v for k, v in REPO.items() if k in ("src/a.js", "src/b.ts", "src/index.ts", "src/use.tsx")} | {"package.json": "{}", "notes.md": "a"}
+    graph = SourceGraph(spark, str(tmp_path))
+    graph.rebuild(repo(spark, texts))
+    moved = lambda *files: {f: "// x\n" + texts[f] for f in files}
+    steps = [
+        (lambda: {"src/new.js": "f()"}, {}, "files-changed"), (lambda: {"src/new.js": None}, {}, "files-changed"), (lambda: moved("src/a.js", "src/b.ts"), {"most_changed": 1}, "too-many-changed"), (lambda: {"package.json": "{ }"}, {}, "config-changed"),
+        (lambda: {"notes.md": "b"}, {}, "language"), (lambda: moved("src/index.ts"), {}, "barrel-changed"), (lambda: {"src/b.ts": texts["src/b.ts"] + "export const more = 1\n"}, {}, "exports-changed"), (lambda: moved("src/b.ts"), {"most_affected": 1}, "too-many-affected"),
+    ]
+    for change, most, reason in steps:
+        texts = {k: v for k, v in (texts | change()).items() if v is not None}
+        graph.most_changed, graph.most_affected = most.get("most_changed", 24), most.get("most_affected", 80)
+        graph.refresh(repo(spark, texts))
+        head = graph.head()
+        assert (head.kind, head.reason) == ("full", reason)
 
 
 def test_a_stream_maintains_the_graph(spark, tmp_path):
