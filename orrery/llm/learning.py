@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import linear
-from orrery.llm.text import Chunk, chunks, list_array
+from orrery.llm.text import Chunk, chunks, give_back, list_array
 from orrery.llm.weaklabel import LabelModel
 
 
@@ -48,17 +48,20 @@ def train(rows: DataFrame, features: Features, votes: Votes, mined: int = 0, l1:
 
     got = rows.mapInArrow(extract, "doc_id long, label int, votes array<int>, features array<int>").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    got = got.take(pa.array(order))
-    label = got.column("label").to_numpy()
+    label = got.column("label").to_numpy()[order]
+    # Views of what Spark sent: the features, most of the sample, are not copied to be put in order.
     own = [np.asarray(x.values, np.int32) for x in got.column("features")]
+    own = [own[i] for i in order]
     n = len(label)
     width = len(got.column("votes")[0]) if n else 0
-    v = np.array(got.column("votes").combine_chunks().flatten(), np.int64).reshape(n, width) if n else np.zeros((0, 0), np.int64)
+    v = np.array(got.column("votes").combine_chunks().flatten(), np.int64).reshape(n, width)[order] if n else np.zeros((0, 0), np.int64)
     if mined and n:
         v = with_silence(np.concatenate([v, _mined(own, label, mined)], 1))
     model = LabelModel()
     soft = model.fit(v, label)
     weights, bias = linear.fit(own, soft, l1=l1)
+    del got, own, v
+    give_back()
     return weights, bias, model
 
 

@@ -23,12 +23,13 @@ def fit(rows: list[np.ndarray], soft: np.ndarray, keep: int = 4096, least_rows:
     n = len(rows)
     prior = float((soft.sum() + 0.5) / (n + 1)) if n else 0.5
     bias = float(np.log(prior / (1 - prior)))
-    flat = np.concatenate(rows).astype(np.int32) if n else np.zeros(0, np.int32)
-    if not len(flat):
+    if not any(len(r) for r in rows):
         return weights, bias
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=DIM).astype(float)
-    good = np.bincount(flat, weights=soft[row], minlength=DIM)
+    # Row by row: the driver never holds more of the sample at once than its rows and the features that stay.
+    seen, good = np.zeros(DIM), np.zeros(DIM)
+    for r, p in zip(rows, soft.tolist(), strict=True):
+        seen[r] += 1
+        good[r] += p
     expect = seen * prior
     chi = (good - expect) ** 2 / (seen * prior * (1 - prior) * (1 - seen / (n + 1)) + 1e-9)
     chi[(seen < min(least_rows, max(1, n // 50))) | (seen >= n)] = 0
@@ -36,10 +37,10 @@ def fit(rows: list[np.ndarray], soft: np.ndarray, keep: int = 4096, least_rows:
     chosen = np.sort(chosen[chi[chosen] > 6.6])
     if not len(chosen):
         return weights, bias
-    slot = np.full(DIM, -1)
+    slot = np.full(DIM, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
-    on = slot[flat] >= 0
-    row, col = row[on], slot[flat[on]]
+    col = [c[c >= 0] for c in (slot[r] for r in rows)]
+    row, col = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in col]), np.concatenate(col)
     m = len(chosen)
     v = np.ones(m) / np.sqrt(m)
     for _ in range(12):

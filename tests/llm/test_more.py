@@ -2,13 +2,14 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import langid, mixing
+from orrery.llm import langid, linear, mixing
 
 PIECES = ["a", "b", "ab", "ba", "▁", "▁a", "▁ab"]
 
@@ -177,3 +178,18 @@ def test_the_run_length_index_decides_the_removals(monkeypatch):
     monkeypatch.setattr(suffix.RunLengthIndex, "pointers", lambda self, patterns, lens: np.full(patterns.shape, -1, np.int32))
     off = removed()
     assert off[1] == want[1] and off[2] == set() and off[3] == want[3]
+
+
+def test_fit_holds_little_beside_its_rows():
+    rng = np.random.default_rng(0)
+    soft = rng.random(3000).round(2)
+    # One mark in every second row, and 800 features of no use in each.
+    rows = [np.unique(np.append(rng.integers(1000, linear.DIM, 800), 7 if p > 0.5 else 8)).astype(np.int32) for p in soft]
+    tracemalloc.start()
+    try:
+        weights, bias = linear.fit(rows, soft)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert weights[7] > 0 > weights[8] and np.isfinite(bias)
+    assert most < 3 * sum(r.nbytes for r in rows)
