@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,6 +121,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 _KEYS = [f"keys{p}" for p in range(PASSES)]
 _LINES = "d long, row long, line int, h1 long, h2 long, body binary, " + ", ".join(f"{k} array<long>" for k in _KEYS)
 
+#: The table of lines is the largest one and read few times: it is compressed lightly, and its texts and keys, hardly two of them equal in a file, have no dictionaries.
+_PLAIN = {"parquet.compression.codec.zstd.level": "1", **{f"parquet.enable.dictionary#{c}": "false" for c in ("body", *(f"{k}.list.element" for k in _KEYS))}}
+
 
 def line_table(rows: DataFrame) -> DataFrame:
     """Every line with a word: its place and hashes, and where a task meets it first its bytes and band keys, those of each pass in a column."""
@@ -152,13 +156,33 @@ def line_table(rows: DataFrame) -> DataFrame:
     return rows.select("d", "row", "text").mapInArrow(run, _LINES)
 
 
-def hot_keys(banded: DataFrame, most: int) -> DataFrame:
-    """(key, salts) of the buckets of more than `most` rows, by a mergeable sketch of all rows; 1,000 keys at most.
+def _frequent(batches):
+    """(key, n) of the keys that are over one in 20,000 of a million or more key rows, by counting these; of fewer rows, all keys."""
+    held, size = [], 0
+
+    def counted() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        on = n > size // 20_000
+        return pa.record_batch([pa.array(key[on]), pa.array(n[on])], names=["key", "n"])
+
+    for batch in batches:
+        for column in batch.columns:
+            held.append(column.flatten().to_numpy())
+            size += len(held[-1])
+        if size >= 1 << 20:
+            yield counted()
+            held, size = [], 0
+    if size:
+        yield counted()
+
+
+def hot_keys(fresh: DataFrame, most: int) -> DataFrame:
+    """(key, salts) of the buckets of more than `most` rows, by a mergeable count of all rows that leaves out less than one in 20,000 of them for a key; 1,000 keys at most.
 
     Only the dealing of rows to tasks hangs on it: a key left out is dealt to one task, which streams it.
     """
-    top = F.expr("approx_top_k(key, 1000, 20000)").alias("top")
-    return banded.agg(top).select(F.explode("top").alias("t")).where(F.col("t.count") > most).select(F.col("t.item").alias("key"), F.ceil(F.col("t.count") / most).cast("int").alias("salts"))
+    counts = fresh.select(*_KEYS).mapInArrow(_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") > most).orderBy(F.desc("n"), "key").limit(1000).select("key", F.ceil(F.col("n") / most).cast("int").alias("salts"))
 
 
 def _meet(batches):
@@ -246,30 +270,45 @@ def _with_size(batches):
         yield pa.record_batch([*batch.columns, pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int32))], names=[*batch.schema.names, "n"])
 
 
+def _runs(body: pa.Array, most: int = BLOCK):
+    """(first, after the last) of runs of rows of `most` bytes, or of one row."""
+    end = np.cumsum(pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(end):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
 def _similar(threshold: float):
     """Streams (a, salt, b, n, body) sorted so that each center (b is null) comes before its members: links (a, b) at the threshold."""
 
     def run(batches):
         keep_memory()
-        own = np.zeros(0, U)  # the center's set
+        own = np.zeros(0, U)  # the set of the center that goes on
         for batch in batches:
-            size, b = batch.column("n").to_numpy(), batch.column("b")
-            row, h = _grams(batch.column("body"))
-            edges = np.flatnonzero(np.append(np.asarray(b.is_null()), True)).tolist()
-            span = np.searchsorted(row, np.arange(len(size) + 1))
-            ok = np.zeros(len(size), bool)
-            for first, last in zip([-1, *edges[:-1]], edges, strict=True):  # a center and the rows up to the next one
-                if first >= 0:
-                    own = np.unique(h[span[first] : span[first + 1]])
-                for low in range(first + 1, last, 256):
-                    high = min(low + 256, last)
-                    theirs, member = h[span[low] : span[high]], row[span[low] : span[high]] - low
-                    at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-                    hit = np.zeros((high - low) * len(own), bool)
-                    hit[(member * len(own) + at)[own[at] == theirs]] = True
-                    common = hit.reshape(high - low, -1).sum(1)
-                    ok[low:high] = common >= threshold * (len(own) + size[low:high] - common)
-            yield pa.record_batch([batch.column("a"), b], names=["a", "b"]).filter(pa.array(ok))
+            for i, j in _runs(batch.column("body")):
+                part = batch.slice(i, j - i)
+                b, size = part.column("b"), part.column("n").to_numpy()
+                center = np.asarray(b.is_null())
+                row, h = _distinct(*_grams(part.column("body")), len(size))
+                # All sets at once: those of the centers, the one that goes on first, and for each member the number of its center.
+                of = np.cumsum(center)
+                at_center = center[row]
+                head, mine = np.append(np.zeros(len(own), np.int64), of[row[at_center]]), np.append(own, h[at_center])
+                begin = np.searchsorted(head, np.arange(of[-1] + 2))
+                row, h = row[~at_center], h[~at_center]
+                # Elements are found by the center's number and their upper bits, which keep their order, then compared whole.
+                bits = U(int(of[-1] + 1).bit_length())
+                key = lambda n, x: (n.astype(U) << (U(64) - bits)) | (x >> bits)  # noqa: B023, E731
+                at = np.searchsorted(key(head, mine), key(of[row], h))
+                mine = np.append(mine, np.zeros(2, U))
+                edge = begin[of[row] + 1]
+                hit = ((mine[at] == h) & (at < edge)) | ((mine[at + 1] == h) & (at + 1 < edge))
+                common = np.bincount(row[hit], minlength=len(size))
+                ok = ~center & (common >= threshold * (np.diff(begin)[of] + size - common))
+                own = mine[begin[-2] : begin[-1]]
+                yield pa.record_batch([part.column("a"), b], names=["a", "b"]).filter(pa.array(ok))
 
     return run
 
@@ -294,27 +333,46 @@ def _forests(threshold: float):
     A pair is compared in the first band that it shares, so once in all.
     """
 
-    def one(rows: pa.Table) -> pa.Table:
+    def grouped(rows: pa.Table, edges: list):
+        """The links of whole groups that begin at `edges`; shingles and band keys of all of them are made at once."""
         row, h = _distinct(*_grams(rows.column("body")), rows.num_rows)
         keys = band_keys(signatures(h, row.astype(np.int32), rows.num_rows))
-        band = int(np.flatnonzero(keys[0] == rows.column("key")[0].as_py())[0])
-        met = keys[:, :band]
-        return spanning_forest(rows.column("member").to_numpy(), rows.column("component").to_numpy(), row, h, threshold, lambda i, later: ~(met[later] == met[i]).any(1))
+        span = np.searchsorted(row, np.arange(rows.num_rows + 1))
+        key, member, component = (rows.column(x).to_numpy() for x in ("key", "member", "component"))
+        same = keys == key[:, None]
+        for i, j in zip(edges, [*edges[1:], rows.num_rows], strict=True):
+            band = int(np.flatnonzero(same[i])[0])
+            met = keys[i:j, :band]
+            at = slice(span[i], span[j])
+            yield spanning_forest(member[i:j], component[i:j], row[at] - i, h[at], threshold, lambda k, later: ~(met[later] == met[k]).any(1))  # noqa: B023
 
     def run(batches):
         keep_memory()
         held: list = []
+
+        def whole(table: pa.Table, edges: list, most: int = 2 * BLOCK):
+            """The groups of a table, in runs of `most` bytes or of one group; the last edge is the end of the last group."""
+            end = np.cumsum(pc.binary_length(table.column("body")).to_numpy().astype(np.int64))
+            at, i = [0, *(int(end[x - 1]) for x in edges[1:])], 0
+            while i < len(edges) - 1:
+                j = i + 1
+                while j < len(edges) - 1 and at[j + 1] - at[i] <= most:
+                    j += 1
+                links = [x for x in grouped(table.slice(edges[i], edges[j] - edges[i]), [x - edges[i] for x in edges[i:j]]) if x.num_rows]
+                if links:
+                    yield from pa.concat_tables(links).combine_chunks().to_batches()
+                i = j
+
         for batch in batches:
             held.append(batch)
             table = pa.Table.from_batches(held)
             group = np.stack([table.column(x).to_numpy().astype(np.int64) for x in ("key", "p", "q")])
-            edge = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
-            last = int(edge[-1]) if len(edge) else 0
-            for a, b in zip([0, *edge[:-1].tolist()], edge.tolist(), strict=False):
-                yield from one(table.slice(a, b - a)).to_batches()
-            held = table.slice(last).to_batches()  # the last group may go on
+            edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist()]
+            yield from whole(table, edges)
+            held = table.slice(edges[-1]).to_batches()  # the last group may go on
         if held and sum(b.num_rows for b in held):
-            yield from one(pa.Table.from_batches(held)).to_batches()
+            table = pa.Table.from_batches(held)
+            yield from whole(table, [0, table.num_rows])
 
     return run
 
@@ -341,11 +399,11 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
     scratch = Scratch(spark, "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = scratch.write(line_table(rows), "lines")
+    lines = scratch.write(line_table(rows), "lines", **_PLAIN)
     fresh = lines.where("body is not null")
     banded = fresh.select("h1", F.explode(F.concat(*_KEYS)).alias("key"))
     # A hot bucket is dealt into parts, with keys of their own.
-    few = scratch.write(hot_keys(banded, hot).where("salts > 1"), "hot")
+    few = scratch.write(hot_keys(fresh, hot).where("salts > 1"), "hot")
     few = F.broadcast(few)  # 1,000 rows at most
     dealt = banded.join(few, "key", "left")
     part = F.when(F.col("salts") > 1, F.xxhash64("key", F.pmod(F.xxhash64("h1"), F.col("salts")))).otherwise(F.col("key"))
@@ -382,11 +440,11 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
     # Equal lines are told apart by both hashes, fuzzy ones by component; only lines with a partner go on.
     exact = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).join(comps, ["h1", "h2"], "left").where("n > 1 or component is not null")
     named = exact.select("h1", "h2", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).alias("g2"))
-    met = scratch.write(lines.select("d", "row", "line", "h1", "h2").join(named, ["h1", "h2"]).select("g1", F.coalesce("g2", F.lit(0)).alias("g2"), "d", "row", "line"), "met")
+    met = scratch.write(lines.select("d", "row", "line", "h1", "h2").join(named.hint("shuffle_hash"), ["h1", "h2"]).select("g1", F.coalesce("g2", F.lit(0)).alias("g2"), "d", "row", "line"), "met")
     # The first of each group stays.
     place = F.struct("d", "row", "line")
     keep = met.groupBy("g1", "g2").agg(F.min(place).alias("keep"))
-    gone = met.join(keep, ["g1", "g2"]).where(place > F.col("keep"))
+    gone = met.join(keep.hint("shuffle_hash"), ["g1", "g2"]).where(place > F.col("keep"))
     drops = scratch.write(gone.groupBy("d", "row").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
     scratch.drop("lines")
     scratch.drop("met")
@@ -400,9 +458,11 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8, counted: bool = Tr
     """
     slim = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("own"))
     rows, drops = removed_lines(slim, threshold)
-    cut = rows.join(drops, ["d", "row"], "left")
+    # The removals are small beside the texts: they are hashed, so that texts need no sort.
+    cut = rows.join(drops.hint("shuffle_hash"), ["d", "row"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    # A match is a line with a word, from its first letter on.
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*+"))
     text = F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text"))
     counts = [F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed")]
     return cut.select(*[text.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in documents.columns], *counts * counted)

@@ -42,8 +42,8 @@ class Scratch:
         fs.mkdirs(at)
         fs.deleteOnExit(at)
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
-        """Write df as Parquet and read it back: the plan above this starts at the files.
+    def write(self, df: DataFrame, table: str, **options: str) -> DataFrame:
+        """Write df as Parquet, with the writer's options, and read it back: the plan above this starts at the files.
 
         Spark is asked to delete the shuffle files of this write when it is done; the session's own setting holds again after it.
         """
@@ -51,7 +51,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEAN, None)
         self.spark.conf.set(_CLEAN, "true")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").options(**options).parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEAN)

@@ -6,10 +6,12 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import langid, linear, mixing
+from orrery.llm import langid, linear, lines, mixing
+from orrery.llm.text import list_array
 
 PIECES = ["a", "b", "ab", "ba", "▁", "▁a", "▁ab"]
 
@@ -193,3 +195,65 @@ def test_fit_holds_little_beside_its_rows():
         tracemalloc.stop()
     assert weights[7] > 0 > weights[8] and np.isfinite(bias)
     assert most < 3 * sum(r.nbytes for r in rows)
+
+
+def bodies(*texts):
+    return pa.array([t.encode() for t in texts], pa.binary())
+
+
+def test_groups_of_lines_share_one_pass_over_their_shingles(monkeypatch):
+    calls, grams = [], lines._grams
+    monkeypatch.setattr(lines, "_grams", lambda *a: calls.append(1) or grams(*a))
+    rng = random.Random(3)
+    texts = [rng.choice("xyz") + "".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(200)]
+    # Groups of two lines that differ in the last letter, and of two of different text.
+    pairs = [(t, t + "!") if i % 2 else (t, t[::-1]) for i, t in enumerate(texts)]
+    body = bodies(*[t for p in pairs for t in p])
+    row, h = lines._distinct(*grams(body), len(body))
+    keys = lines.band_keys(lines.signatures(h, row.astype(np.int32), len(body)))
+    key = np.array([next((a for a, b in zip(keys[2 * g], keys[2 * g + 1]) if a == b), keys[2 * g][0]) for g in range(200)])
+    order = np.argsort(key, kind="stable")
+    at = np.stack([2 * order, 2 * order + 1], 1).ravel()
+    at = at[[i % 2 == 0 or g % 2 == 1 for i, g in enumerate(at // 2)]]  # the second of different text is in no bucket with the first
+    zero = np.zeros(len(at), np.int32)
+    batch = pa.record_batch([pa.array(key[at // 2]), pa.array(zero), pa.array(zero), pa.array(at), pa.array(at), body.take(pa.array(at))], names=["key", "p", "q", "member", "component", "body"])
+    for cuts in ([0, len(at)], [0, 7, 100, 101, len(at)]):
+        calls.clear()
+        out = pa.Table.from_batches(list(lines._forests(0.8)(batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))))
+        assert sorted(zip(*out.to_pydict().values(), strict=True)) == [(2 * g, 2 * g + 1) for g in range(1, 200, 2)]
+        assert len(calls) <= len(cuts)
+
+
+def test_links_to_centers_across_batches():
+    rng = random.Random(4)
+    rows = []
+    for a in range(60):
+        t = "".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 60, 90])))
+        rows.append((a, None, t))
+        for b in range(rng.choice([1, 2, 30])):
+            k = rng.randrange(len(t))
+            rows.append((a, 1000 * a + b, t if b % 3 == 0 else t[:k] + "?" + t[k + 1 :] if b % 3 == 1 else t[::-1]))
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for *_, t in rows]
+    want, own = [], set()
+    for (a, b, _), s in zip(rows, sets, strict=True):
+        if b is None:
+            own = s
+        elif len(s & own) >= 0.8 * len(s | own):
+            want.append((a, b))
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), bodies(*[r[2] for r in rows])], names=["a", "b", "n", "body"])
+    for size in (1, 7, len(rows)):
+        out = pa.Table.from_batches(list(lines._similar(0.8)(batch.slice(i, size) for i in range(0, len(rows), size))))
+        assert list(zip(*out.to_pydict().values(), strict=True)) == want
+
+
+def test_frequent_keys_are_counted_over_all_batches():
+    keys = np.concatenate([np.full(3000, 5), np.arange(100, 2_000_000)]).reshape(-1, 1)
+    np.random.default_rng(0).shuffle(keys)
+    column = list_array(keys.ravel(), np.full(len(keys), 1), pa.int64())
+    names = [f"keys{p}" for p in range(lines.PASSES)]
+    empty = list_array(np.zeros(0, np.int64), np.zeros(10_000, np.int64), pa.int64())
+    found = Counter()
+    for out in lines._frequent(pa.record_batch([column.slice(i, 10_000), *[empty.slice(0, len(column.slice(i, 10_000)))] * (lines.PASSES - 1)], names=names) for i in range(0, len(column), 10_000)):
+        for k, n in zip(out.column("key").to_pylist(), out.column("n").to_pylist(), strict=True):
+            found[k] += n
+    assert found == {5: 3000}
