@@ -35,8 +35,16 @@ Q, BINS, ROWS = 8, 48, 4
 BANDS = BINS // ROWS
 #: Band keys are shuffled in so many passes, each over its bands alone: one pass's shuffle files are on disk at a time.
 PASSES = 2
+#: Ranges of keys that a shuffle partition gets; a task sorts one after the other.
+RANGES = 4
 _TOP = np.iinfo(np.uint64).max
-_WORD = (SPACED != 0).astype(np.uint8)
+_WORD = SPACED != 0
+_SPACES = bytes(np.flatnonzero(~_WORD).tolist())
+
+
+def _strip(line: bytes) -> bytes:
+    """The line from its first to its last word."""
+    return line.strip(_SPACES)
 
 
 class Lines:
@@ -47,9 +55,10 @@ class Lines:
         size = len(c.data)
         end = np.flatnonzero((c.data == 10) | ~c.inside)  # every text ends in a mark, so every line has an end
         begin = np.concatenate(([0], end[:-1] + 1)) if len(end) else end
-        word = _WORD[c.data]
-        word[~c.inside] = 0
-        has = np.maximum.reduceat(word, begin).astype(bool) if len(end) else np.zeros(0, bool)
+        # Most lines begin with a word; the others are looked at whole.
+        has = _WORD[c.data[begin]] & c.inside[begin]
+        for k in np.flatnonzero(~has & (begin < end)).tolist():
+            has[k] = bool(_strip(c.data[begin[k] : end[k]].tobytes()))
         text = c.text_of(begin)
         number = np.arange(len(begin)) - np.searchsorted(begin, c.start)[text]
         self.s, self.e, self.text, self.number, self.size = begin[has], end[has], text[has], number[has], size
@@ -65,12 +74,8 @@ class Lines:
 
         Bytes that begin no such shingle have the index len(which).
         """
-        two = self.data[:-1].astype(np.uint16)
-        two |= self.data[1:].astype(np.uint16) << np.uint16(8)
-        four = two[:-2].astype(np.uint32)
-        four |= two[2:].astype(np.uint32) << np.uint32(16)
-        h = four[:-4].astype(U)
-        h |= four[4:].astype(U) << U(32)
+        # Eight bytes from each byte on, as a number.
+        h = np.ndarray(len(self.data) - Q + 1, "<u8", self.data, 0, (1,)).astype(U)
         s, e = self.s[which], self.e[which]
         n = np.maximum(e - s - Q + 1, 1)
         bound = np.zeros(2 * len(s) + 2, np.int64)
@@ -119,14 +124,31 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 _KEYS = [f"keys{p}" for p in range(PASSES)]
-_LINES = "d long, row long, line int, h1 long, h2 long, body binary, " + ", ".join(f"{k} array<long>" for k in _KEYS)
+_LINES = "d long, row long, line int, h1 long, h2 long, body binary, " + ", ".join(f"{k} binary" for k in _KEYS)
 
 #: The table of lines is the largest one and read few times: it is compressed lightly, and its texts and keys, hardly two of them equal in a file, have no dictionaries.
-_PLAIN = {"parquet.compression.codec.zstd.level": "1", **{f"parquet.enable.dictionary#{c}": "false" for c in ("body", *(f"{k}.list.element" for k in _KEYS))}}
+_PLAIN = {"parquet.compression.codec.zstd.level": "1", **{f"parquet.enable.dictionary#{c}": "false" for c in ("body", *_KEYS)}}
+
+
+def _packed(values: np.ndarray, counts: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """A binary column of 64-bit values, `counts` of them in each row: Spark moves it as one value, not as a list."""
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(8 * counts, out=offsets[1:])
+    mask = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(counts), [mask, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    """The 64-bit values of a packed column, or of a list column."""
+    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
+        return column.flatten().to_numpy()
+    _, offs, data = column.buffers()
+    offsets = np.frombuffer(offs, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.int64, (int(offsets[-1]) - int(offsets[0])) // 8, int(offsets[0])) if len(column) and offsets[-1] > offsets[0] else np.zeros(0, np.int64)
 
 
 def line_table(rows: DataFrame) -> DataFrame:
-    """Every line with a word: its place and hashes, and where a task meets it first its bytes and band keys, those of each pass in a column."""
+    """Every line with a word: its place and hashes, and where a task meets it first its bytes and band keys, those of each pass packed in a column."""
 
     def run(batches):
         keep_memory()
@@ -150,8 +172,8 @@ def line_table(rows: DataFrame) -> DataFrame:
                 bodies = [raw[a:b] if f else None for a, b, f in zip(own.s.tolist(), own.e.tolist(), has.tolist(), strict=True)]
                 take = pa.array(own.text)
                 places = [batch.column(x).slice(i, j - i).take(take) for x in ("d", "row")]
-                lists = [list_array(keys[:, p::PASSES].ravel(), has * keys[:, p::PASSES].shape[1], pa.int64()) for p in range(PASSES)]
-                yield pa.record_batch([*places, pa.array(own.number, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(bodies, pa.binary()), *lists], names=["d", "row", "line", "h1", "h2", "body", *_KEYS])
+                packed = [_packed(keys[:, p::PASSES].ravel(), has * keys[:, p::PASSES].shape[1], has > 0) for p in range(PASSES)]
+                yield pa.record_batch([*places, pa.array(own.number, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(bodies, pa.binary()), *packed], names=["d", "row", "line", "h1", "h2", "body", *_KEYS])
 
     return rows.select("d", "row", "text").mapInArrow(run, _LINES)
 
@@ -167,7 +189,7 @@ def _frequent(batches):
 
     for batch in batches:
         for column in batch.columns:
-            held.append(column.flatten().to_numpy())
+            held.append(_flat(column))
             size += len(held[-1])
         if size >= 1 << 20:
             yield counted()
@@ -185,6 +207,89 @@ def hot_keys(fresh: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") > most).orderBy(F.desc("n"), "key").limit(1000).select("key", F.ceil(F.col("n") / most).cast("int").alias("salts"))
 
 
+def _parts(key: np.ndarray, h: np.ndarray, hot: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of hot buckets, the key of the part of its bucket that each of them is dealt to); hot: the number of parts of each hot key."""
+    if not hot:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known = np.array(sorted(hot), np.int64)
+    salts = np.array([hot[k] for k in known.tolist()], U)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    on = np.flatnonzero(known[at] == key)
+    return on, mix(key[on].view(U) ^ mix(mix(h[on].view(U)) % salts[at[on]] + U(1))).view(np.int64)
+
+
+def _deal(hot: dict, ranges: int, most: int = 1 << 20):
+    """Streams (h1, keys) to blocks (range, keys, h1s), packed: each task's rows by the range of their key, those of hot buckets by the key of their part."""
+
+    def block(keys: list, lines: list) -> pa.RecordBatch:
+        key, h = np.concatenate(keys), np.concatenate(lines)
+        on, part = _parts(key, h, hot)
+        key[on] = part
+        at = (((key.view(U) >> U(32)) * U(ranges)) >> U(32)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        n = np.bincount(at, minlength=ranges)
+        some = np.flatnonzero(n)
+        return pa.record_batch([pa.array(some, pa.int32()), _packed(key[order], n[some]), _packed(h[order], n[some])], names=["range", "keys", "lines"])
+
+    def run(batches):
+        keys, lines, size = [], [], 0
+        for batch in batches:
+            keys.append(_flat(batch.column(1)))
+            lines.append(np.repeat(batch.column("h1").to_numpy(), len(keys[-1]) // max(1, batch.num_rows)))
+            size += len(keys[-1])
+            if size >= most:
+                yield block(keys, lines)
+                keys, lines, size = [], [], 0
+        if size:
+            yield block(keys, lines)
+
+    return run
+
+
+def _of_hot(hot: dict):
+    """Streams (h1, keys of each pass) to the rows (key, part, h1) of hot buckets."""
+
+    def run(batches):
+        for batch in batches:
+            for column in batch.columns[1:]:
+                key = _flat(column)
+                h = np.repeat(batch.column("h1").to_numpy(), len(key) // max(1, batch.num_rows))
+                on, part = _parts(key, h, hot)
+                yield pa.record_batch([pa.array(key[on]), pa.array(part), pa.array(h[on])], names=["key", "part", "h1"])
+
+    return run
+
+
+def _sorted(batches):
+    """Blocks (range, keys, lines) sorted by range to rows (key, h1) sorted by both within whole ranges."""
+    held: list = []
+
+    def rows(blocks: list) -> pa.RecordBatch:
+        key, h = (np.concatenate([_flat(b.column(x)) for b in blocks]) for x in ("keys", "lines"))
+        order = np.argsort(key)
+        key, h = key[order], h[order]
+        same = key[1:] == key[:-1]
+        # Few keys come twice: only theirs are put in order of the lines.
+        on = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        h[on] = h[on[np.lexsort((h[on], key[on]))]]
+        return pa.record_batch([pa.array(key), pa.array(h)], names=["key", "h1"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.column("range").to_numpy()
+        if held and held[0].column("range")[0].as_py() != at[0]:
+            yield rows(held)
+            held = []
+        first = int(np.searchsorted(at, at[-1]))
+        if first:
+            yield rows([*held, batch.slice(0, first)])
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield rows(held)
+
+
 def _meet(batches):
     """Rows (key, h1) sorted by both: those of keys of two lines or more, with their rank in the key and its centers.
 
@@ -327,6 +432,35 @@ def _verified(pairs: DataFrame, bodies: DataFrame, threshold: float, parts: int,
     return rows.mapInArrow(_similar(threshold), "a long, b long")
 
 
+def _few_pairs(component: np.ndarray, size: np.ndarray, met: np.ndarray, threshold: float, most: int = 256) -> np.ndarray | None:
+    """The pairs of a group (pairs x 2) that are of two components, near enough in size and in no earlier band; None if the group or their number is large."""
+    n = len(component)
+    if n > most:
+        return None
+    a, b = np.triu_indices(n, 1)
+    on = (component[a] != component[b]) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]))
+    a, b = a[on], b[on]
+    on = ~(met[a] == met[b]).any(1)
+    return np.stack([a[on], b[on]], 1) if on.sum() <= 8 * n else None
+
+
+def _forest_of_pairs(pairs: np.ndarray, member: np.ndarray, component: np.ndarray, sets: list, threshold: float) -> pa.Table:
+    """Links (a, b) of those of some pairs that reach the threshold, a spanning forest; sets: the sorted distinct elements of each member."""
+    label, a, b = component.copy(), [], []
+    for i, j in pairs.tolist():
+        if label[i] == label[j]:
+            continue
+        both = np.concatenate((sets[i], sets[j]))
+        both.sort(kind="stable")  # two sorted runs are merged
+        common = np.count_nonzero(both[1:] == both[:-1])
+        if common >= threshold * (len(both) - common):
+            label[label == label[j]] = label[i]
+            a.append(member[i])
+            b.append(member[j])
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def _forests(threshold: float):
     """Streams (key, p, q, member, component, body) sorted by key, p and q: links of each group's spanning forest.
 
@@ -338,11 +472,17 @@ def _forests(threshold: float):
         row, h = _distinct(*_grams(rows.column("body")), rows.num_rows)
         keys = band_keys(signatures(h, row.astype(np.int32), rows.num_rows))
         span = np.searchsorted(row, np.arange(rows.num_rows + 1))
+        size = np.diff(span)
         key, member, component = (rows.column(x).to_numpy() for x in ("key", "member", "component"))
         same = keys == key[:, None]
         for i, j in zip(edges, [*edges[1:], rows.num_rows], strict=True):
             band = int(np.flatnonzero(same[i])[0])
             met = keys[i:j, :band]
+            pairs = _few_pairs(component[i:j], size[i:j], met, threshold)
+            if pairs is not None:
+                if len(pairs):
+                    yield _forest_of_pairs(pairs, member[i:j], component[i:j], [h[span[k] : span[k + 1]] for k in range(i, j)], threshold)
+                continue
             at = slice(span[i], span[j])
             yield spanning_forest(member[i:j], component[i:j], row[at] - i, h[at], threshold, lambda k, later: ~(met[later] == met[k]).any(1))  # noqa: B023
 
@@ -400,24 +540,22 @@ def removed_lines(documents: DataFrame, threshold: float = 0.8, block: int = 204
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = scratch.write(line_table(rows), "lines", **_PLAIN)
-    fresh = lines.where("body is not null")
-    banded = fresh.select("h1", F.explode(F.concat(*_KEYS)).alias("key"))
+    # Where the bytes are not asked for, the keys say what is new, and the bytes are not read.
+    fresh, keyed = lines.where("body is not null"), lines.where(f"{_KEYS[0]} is not null")
     # A hot bucket is dealt into parts, with keys of their own.
-    few = scratch.write(hot_keys(fresh, hot).where("salts > 1"), "hot")
-    few = F.broadcast(few)  # 1,000 rows at most
-    dealt = banded.join(few, "key", "left")
-    part = F.when(F.col("salts") > 1, F.xxhash64("key", F.pmod(F.xxhash64("h1"), F.col("salts")))).otherwise(F.col("key"))
+    few = {r.key: r.salts for r in hot_keys(keyed, hot).where("salts > 1").collect()}  # 1,000 at most
     for p, keys in enumerate(_KEYS):
-        own = fresh.select("h1", F.explode(keys).alias("key")).join(few, "key", "left").select(part.alias("key"), "h1")
-        own = own.repartition(parts, "key").sortWithinPartitions("key", "h1").mapInArrow(_meet, "key long, h1 long, rank long, centers array<long>")
+        own = keyed.select("h1", keys).mapInArrow(_deal(few, RANGES * parts), "range int, keys binary, lines binary")
+        own = own.repartitionById(parts, F.col("range")).sortWithinPartitions("range")
+        own = own.mapInArrow(lambda batches: _meet(_sorted(batches)), "key long, h1 long, rank long, centers array<long>")
         own = scratch.write(own, f"buckets-{p}")
         buckets = buckets.unionByName(own) if p else own
     pairs = buckets.where("rank > 0").select("h1", F.explode("centers").alias("c")).select(F.least("c", "h1").alias("a"), F.greatest("c", "h1").alias("b"))
     # Lines that no center of their bucket is.
     others = buckets.where(F.col("rank") >= STARS).select("key", F.col("h1").alias("member"))
-    if few.limit(1).count():  # the least lines of a hot bucket's parts meet, and its parts are one bucket again
-        own = dealt.where("salts > 1")
-        tops = own.groupBy("key", part.alias("part")).agg(F.min("h1").alias("h1"))
+    if few:  # the least lines of a hot bucket's parts meet, and its parts are one bucket again
+        own = keyed.select("h1", *_KEYS).mapInArrow(_of_hot(few), "key long, part long, h1 long")
+        tops = own.groupBy("key", "part").agg(F.min("h1").alias("h1"))
         split = tops.groupBy("key").agg(F.min("h1").alias("a"))
         pairs = pairs.unionByName(tops.join(split, "key").where("h1 <> a").select("a", F.col("h1").alias("b")))
         others = others.join(tops.select(F.col("part").alias("key")).distinct(), "key", "left_anti").unionByName(own.select("key", F.col("h1").alias("member")).distinct())
@@ -459,10 +597,25 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8, counted: bool = Tr
     slim = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("own"))
     rows, drops = removed_lines(slim, threshold)
     # The removals are small beside the texts: they are hashed, so that texts need no sort.
-    cut = rows.join(drops.hint("shuffle_hash"), ["d", "row"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
-    # A match is a line with a word, from its first letter on.
-    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*+"))
-    text = F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text"))
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed")]
-    return cut.select(*[text.alias(c) if c == "text" else F.col(f"own.`{c}`") for c in documents.columns], *counts * counted)
+    joined = rows.join(drops.hint("shuffle_hash"), ["d", "row"], "left")
+    done = joined.select("own", F.size("drop").alias("n"), _cut(counted)(F.col("text").cast("binary"), "drop").alias("cut"))
+    counts = [F.col("cut.n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_removed")]
+    return done.select(*[F.col("cut.text").cast("string").alias(c) if c == "text" else F.col(f"own.`{c}`") for c in documents.columns], *counts * counted)
+
+
+def _cut(counted: bool):
+    """(text without the lines whose numbers are given, lines with a word in the whole text, where counted) of UTF-8 bytes."""
+
+    def of(text: pa.Array, drop: pa.Array) -> pa.Array:
+        kept, n = [], []
+        for t, gone in zip(text.to_pylist(), drop.to_pylist(), strict=True):
+            parts = (t or b"").split(b"\n") if counted or gone else []
+            n.append(sum(map(bool, map(_strip, parts))))
+            if gone:
+                for i in reversed(gone):
+                    del parts[i]
+                t = b"\n".join(parts)
+            kept.append(t)
+        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(n, pa.int64())], ["text", "n_lines"])
+
+    return F.arrow_udf(of, "text binary, n_lines long")

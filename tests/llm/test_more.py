@@ -257,3 +257,64 @@ def test_frequent_keys_are_counted_over_all_batches():
         for k, n in zip(out.column("key").to_pylist(), out.column("n").to_pylist(), strict=True):
             found[k] += n
     assert found == {5: 3000}
+
+
+def test_band_keys_are_dealt_in_blocks():
+    """Every (key, line) comes out once, in order, with all of its key's; a task sends a row a range at most; hot buckets go by part."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(-(2**63), 2**63, 3000)
+    key = rng.integers(-(2**63), 2**63, (3000, 6))
+    key[::3, 2], key[:2000, 4] = 77, -5  # a bucket of 1,000 lines and a hot one of 2,000
+    want = sorted(zip(key.ravel().tolist(), np.repeat(line, 6).tolist(), strict=True))
+    for hot in ({}, {-5: 3}):
+        batches = [pa.record_batch([pa.array(line[i : i + 700]), lines._packed(key[i : i + 700].ravel(), np.full(len(line[i : i + 700]), 6))], names=["h1", "keys0"]) for i in range(0, 3000, 700)]
+        blocks = [b for x in (batches[:2], batches[2:]) for b in lines._deal(hot, 8)(x)]
+        assert sum(b.num_rows for b in blocks) <= 2 * 8
+        table = pa.Table.from_batches(blocks).sort_by("range")
+        for size in (1, 3, table.num_rows):
+            out = list(lines._sorted(table.combine_chunks().to_batches(max_chunksize=size)))
+            got = [(k, h) for b in out for k, h in zip(b.column("key").to_pylist(), b.column("h1").to_pylist(), strict=True)]
+            assert all(b.column("key").to_pylist() == sorted(b.column("key").to_pylist()) for b in out)
+            assert sorted(h for _, h in got) == sorted(h for _, h in want)
+            if not hot:
+                assert sorted(got) == want and [x for x in got if x[0] == 77] == [x for x in want if x[0] == 77]
+                assert not {k for k, _ in got} - {k for k, _ in want}
+            else:
+                assert [x for x in got if x[0] == 77] == [x for x in want if x[0] == 77] and all(k != -5 for k, _ in got)
+                rows = [r for b in lines._of_hot(hot)(batches) for r in b.to_pylist()]
+                assert {r["key"] for r in rows} == {-5} and len({r["part"] for r in rows}) == 3 and len(rows) == 2000
+                assert {(r["part"], r["h1"]) for r in rows} == set(got) - set(want)
+
+
+def test_groups_of_few_open_pairs_need_no_index(monkeypatch):
+    """Small groups are decided pair by pair, with the components that all pairs would give; nothing is numbered for them."""
+    monkeypatch.setattr(lines, "spanning_forest", None)
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh") for _ in range(120))
+    texts = [base, base[:60] + "#" + base[61:], base[:119] + "#", base[::-1], base + "!"]
+    row, h = lines._distinct(*lines._grams(bodies(*texts)), len(texts))
+    sets = [h[row == i] for i in range(len(texts))]
+    size, far = np.array([len(x) for x in sets]), np.arange(2 * len(texts)).reshape(-1, 2)
+    component = np.array([0, 1, 2, 3, 0])
+    like = {(i, j) for j in range(5) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    pairs = lines._few_pairs(component, size, far, 0.8)
+    assert {tuple(p) for p in pairs.tolist()} == {(i, j) for j in range(5) for i in range(j)} - {(0, 4)}
+    got = lines._forest_of_pairs(pairs, np.arange(5), component, sets, 0.8).to_pylist()
+    assert len(got) == 2 and {(r["a"], r["b"]) for r in got} <= like  # 0, 1, 2 and 4 are alike, 0 and 4 one component before
+    far[1, 1] = far[2, 1]
+    assert (1, 2) not in {tuple(p) for p in lines._few_pairs(component, size, far, 0.8).tolist()}
+    assert lines._few_pairs(np.arange(300), np.ones(300), np.zeros((300, 0)), 0.8) is None
+    # Through the operator's own stream, two lines of one bucket:
+    keys = lines.band_keys(lines.signatures(h, row.astype(np.int32), len(texts)))
+    on = np.array([0, 4])
+    band = int(np.flatnonzero(keys[0] == keys[4])[0])
+    zero = np.zeros(2, np.int32)
+    batch = pa.record_batch([pa.array(keys[on, band]), pa.array(zero), pa.array(zero), pa.array(on), pa.array(on), bodies(texts[0], texts[4])], names=["key", "p", "q", "member", "component", "body"])
+    assert [r for x in lines._forests(0.8)(iter([batch])) for r in x.to_pylist()] == [{"a": 0, "b": 4}]
+
+
+def test_texts_are_cut_by_bytes(spark):
+    text = ["a\n \n\tb\n \n", None, "", "\n\n", "x\ny\nx"]
+    drop = [[0, 2], None, None, None, [2]]
+    got = lines._cut(True).func(pa.array([t if t is None else t.encode() for t in text], pa.binary()), pa.array(drop, pa.list_(pa.int32()))).to_pylist()
+    assert [(r["text"], r["n_lines"]) for r in got] == [(" \n \n".encode(), 3), (None, 0), (b"", 0), (b"\n\n", 0), (b"x\ny", 3)]
