@@ -25,13 +25,16 @@ def schema_references(refs: DataFrame, objects: DataFrame, symbols: DataFrame) -
     """source, target (J5): each mention of a declared schema object, from the innermost symbol around it, else from its file.
 
     refs: point, file, line, name; objects: id, name; symbols: file, id, lo, hi. Other names give nothing; no edge leads to itself.
+    Sources and names are distinct before they meet the objects, so only objects of several names can give an edge twice.
     """
+    named = objects.select("name", F.col("id").cast("string").alias("target")).distinct()
+    many = named.groupBy("target").agg(F.count("*").alias("n"))
     known = refs.join(objects.select("name").distinct(), "name", "left_semi")
     inner = innermost(known.select("point", "file", "line"), symbols)
     source = F.coalesce(F.col("symbol").cast("string"), F.col("file"))
     own = known.join(inner, "point", "left").select(source.alias("source"), "name").distinct()
-    found = own.join(objects.select("name", F.col("id").cast("string").alias("target")), "name")
-    return found.where("source <> target").select("source", "target").distinct()
+    edges = lambda which: own.join(named.join(many.where(which), "target").drop("n"), "name").where("source <> target").select("source", "target")
+    return edges("n = 1").unionByName(edges("n > 1").distinct())
 
 
 def fingerprint(rule: Column, kind: Column, evidence: Column) -> Column:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orrery.operators import ranges
+from orrery.operators import evidence, ranges
 
 
 def rows(df, *cols):
@@ -41,3 +41,11 @@ def test_innermost_against_enumeration_with_a_range_to_the_end_of_file(spark):
     assert rows(got, "point", "symbol") == sorted((p, m[2]) for p, m in want.items())
     none = spark.createDataFrame([], "file string, id long, lo long, hi long")
     assert ranges.innermost(spark.createDataFrame(points, "point long, file string, line long"), none).count() == 0
+
+
+def test_schema_references_meet_objects_of_several_names_once(spark):
+    refs = spark.createDataFrame([(1, "f", 5, "a"), (2, "f", 5, "b"), (3, "f", 90, "a"), (4, "g", 1, "c"), (5, "g", 1, "none")], "point long, file string, line long, name string")
+    objects = spark.createDataFrame([(7, "a"), (7, "b"), (7, "b"), (8, "c"), (9, "a"), (1, "a")], "id long, name string")
+    symbols = spark.createDataFrame([("f", 1, 1, 9), ("f", 2, 90, 2**40)], "file string, id long, lo long, hi long")
+    got = evidence.schema_references(refs, objects, symbols)
+    assert rows(got, "source", "target") == [("1", "7"), ("1", "9"), ("2", "1"), ("2", "7"), ("2", "9"), ("g", "8")]
