@@ -46,7 +46,7 @@ def range_innermost_symbol(spark, d):
 def range_hunk_symbols(spark, d):
     """J16"""
     hunks = _points(spark, d).select(F.col("point").alias("hunk"), "file", F.col("line").alias("from"), (F.col("line") + F.col("more")).alias("to"))
-    return ranges.hunk_symbols(hunks, _symbols(spark, d), F.col("id") % 7 == F.col("hunk") % 7)
+    return ranges.hunk_symbols(hunks, _symbols(spark, d), (F.col("hunk") % 7, F.col("id") % 7))
 
 
 @query(f"with {_SYM}, {_PT}, l as (select file, line, bool_or(more >= 10) as hit from q group by 1, 2), fp as (select file, (100 * count(*) filter (hit)) // count(*) as pct from l group by 1), o as (select id, count(*) as total, count(*) filter (hit) as covered from s join l on s.file = l.file and line between lo and hi group by 1) select s.id, coalesce(total, 0) as total, coalesce(covered, 0)::bigint as covered, coalesce((100 * covered) // total, fp.pct)::bigint as pct from s left join o on s.id = o.id left join fp on fp.file = s.file")

@@ -49,3 +49,17 @@ def test_schema_references_meet_objects_of_several_names_once(spark):
     symbols = spark.createDataFrame([("f", 1, 1, 9), ("f", 2, 90, 2**40)], "file string, id long, lo long, hi long")
     got = evidence.schema_references(refs, objects, symbols)
     assert rows(got, "source", "target") == [("1", "7"), ("1", "9"), ("2", "1"), ("2", "7"), ("2", "9"), ("g", "8")]
+
+
+def test_hunk_symbols_against_enumeration_with_a_range_to_the_end_of_file(spark):
+    held, r = _ranges(2, 60), random.Random(3)
+    hunks = [(h, r.choice("fgh"), x := r.randrange(-25, 70), x + r.choice([-1, 0, 1, 5, 33]), r.choice([None, 0, 1, 2])) for h in range(300)]
+    hunks += [(900, "f", 2**39, 2**39 + 1, 1), (0, "f", 5, 6, 1), (0, "f", 5, 6, 2)]  # hunk 0 is given with several mentions
+    want = {}
+    for h, f, a, b, key in hunks:
+        for g, i, lo, hi in held:
+            if f == g and a <= b and lo <= hi and a <= hi and lo <= b:
+                want[h] = min(want.get(h, (True, 2**60, 0)), (key is None or i % 3 != key, hi - lo, i))
+    h = spark.createDataFrame(hunks, "hunk long, file string, `from` long, `to` long, key int")
+    got = ranges.hunk_symbols(h, spark.createDataFrame(held, "file string, id long, lo long, hi long"), (F.col("key"), F.col("id") % 3))
+    assert rows(got, "hunk", "symbol") == sorted((h, m[2]) for h, m in want.items())
