@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import ranges
 from orrery.operators.rules import top_per
 from orrery.store import Scratch
 
@@ -41,14 +42,38 @@ def handlers(endpoints: DataFrame, symbols: DataFrame, imports: DataFrame, near:
     """endpoint, handler, score, state (J10): same file 100, same folder 40, imported 35, within `near` lines of one file 20.
 
     endpoints: endpoint, name, file, folder, line; symbols: id, name, file, folder, line; imports: file, id. Two best ones: ambiguous.
+    No endpoint meets its namesakes one by one. For each set of signals symbols are counted by what such an endpoint asks for
+    (lines by dyadic intervals), so it learns how many show these signals or more. Each set has a score of its own and a larger
+    set a greater one, so in the best set that any symbol shows none shows more.
     """
-    s = symbols.select("id", "name", F.col("file").alias("f2"), F.col("folder").alias("d2"), F.col("line").alias("l2"))
-    met = endpoints.join(s, "name").join(imports.distinct().withColumn("bound", F.lit(35)), ["file", "id"], "left")
-    same = F.col("file") == F.col("f2")
-    score = F.when(same, 100).otherwise(0) + F.when(F.col("folder") == F.col("d2"), 40).otherwise(0) + F.coalesce("bound", F.lit(0))
-    score = score + F.when(same & (F.abs(F.col("line") - F.col("l2")) <= near), 20).otherwise(0)
-    sums = met.withColumn("score", score).groupBy("endpoint", "score").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    best = sums.groupBy("endpoint").agg(F.max(F.struct("score", "n", "id")).alias("b"))
+    kind = symbols.schema
+    void = {c: F.lit(None).cast(kind[c].dataType) for c in ("file", "folder")}
+
+    def asks(base: int, file: Column, folder: Column, here: Column, nodes: Column) -> Column:
+        """The sets of signals that hold, as rows of score, file, folder, level, node. base: 0, or 35 with the importing file as `file`."""
+        def key(score: int, f: Column, d: Column, held: Column, level: Column = F.lit(None).cast("int"), node: Column = F.lit(None).cast("long")) -> Column:
+            return F.when(held, F.struct(F.lit(base + score).alias("score"), f.alias("file"), d.alias("folder"), level.alias("level"), node.alias("node")))
+
+        wide = file if base else void["file"]
+        both = here & folder.isNotNull()
+        plain = F.array(key(0, wide, void["folder"], F.lit(True)), key(40, wide, folder, folder.isNotNull()), key(100, file, void["folder"], here), key(140, file, folder, both))
+        close = F.flatten(F.transform(nodes, lambda x: F.array(key(120, file, void["folder"], here, x["level"], x["node"]), key(160, file, folder, both, x["level"], x["node"]))))
+        return F.array_compact(F.concat(plain, F.coalesce(F.when(here, close), F.array())))
+
+    s = symbols.where("name is not null").select("id", "name", F.col("file").alias("f"), "folder", "line")
+    known = imports.repartition("id").distinct().join(s, "id")  # an id's repeats meet in the partition that joins it
+    ends = ranges.above(F.col("line"), F.lit(max(1, (2 * near).bit_length())))
+    shown = s.select("id", "name", F.explode(asks(0, F.col("f"), F.col("folder"), F.col("f").isNotNull(), ends)).alias("k"))
+    bound = known.select("id", "name", F.explode(asks(35, F.col("file"), F.col("folder"), F.col("file") == F.col("f"), ends)).alias("k"))
+    keys = ["name", "k.score", "k.file", "k.folder", "k.level", "k.node"]
+    sums = shown.unionByName(bound).select("id", *keys).groupBy("score", "name", "file", "folder", "level", "node").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    around = ranges.cover(F.col("line") - near, F.col("line") + near)
+    own = F.col("file").isNotNull()
+    asked = endpoints.select("endpoint", "name", F.explode(F.concat(asks(0, F.col("file"), F.col("folder"), own, around), F.when(own, asks(35, F.col("file"), F.col("folder"), own, around)).otherwise(F.array()))).alias("k")).select("endpoint", *keys)
+    a, b = asked.alias("a"), sums.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("score", "name")] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("file", "folder", "level", "node")]
+    met = a.join(b, on).select("endpoint", "a.score", "n", "id").groupBy("endpoint", "score").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    best = met.groupBy("endpoint").agg(F.max(F.struct("score", "n", "id")).alias("b"))
     one = F.col("b.n") == 1
     return best.select("endpoint", F.when(one, F.col("b.id")).alias("handler"), F.col("b.score").alias("score"), F.when(one, "resolved").otherwise("ambiguous").alias("state"))
 

@@ -1,16 +1,29 @@
 """Operators whose work must grow with their input and not with pairs: results against enumeration, and inputs that the pairs would end."""
 
 import random
+import threading
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from orrery.operators import evidence, ranges
+from orrery.operators import evidence, ranges, resolve
 
 
 def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
+@contextmanager
+def within(spark, seconds):
+    """Jobs that still run after so many seconds are cancelled, and the test fails."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+
+
 def test_cover_has_each_line_once(spark):
     spans = [(lo, hi) for lo in range(-9, 10) for hi in range(lo, 10)]
     df = spark.createDataFrame([(i, lo, hi, x) for i, (lo, hi) in enumerate(spans) for x in range(-12, 13)], "i int, lo long, hi long, x long")
@@ -63,3 +76,28 @@ def test_hunk_symbols_against_enumeration_with_a_range_to_the_end_of_file(spark)
     h = spark.createDataFrame(hunks, "hunk long, file string, `from` long, `to` long, key int")
     got = ranges.hunk_symbols(h, spark.createDataFrame(held, "file string, id long, lo long, hi long"), (F.col("key"), F.col("id") % 3))
     assert rows(got, "hunk", "symbol") == sorted((h, m[2]) for h, m in want.items())
+
+
+def test_handlers_against_enumeration(spark):
+    r = random.Random(4)
+    side = lambda n: [(i, r.choice("xyz"), r.choice(["f", "g", None]), r.choice(["d", "e", None]), r.choice([None, *range(0, 90, 7)])) for i in range(n)]
+    ends, held = [*side(80), (0, "x", "f", "e", 5)], [*side(25), (7, "y", "f", "d", 1)]  # endpoint 0 and symbol 7 are given twice
+    imported = [(r.choice(["f", "g", None]), r.randrange(30)) for _ in range(20)]
+    want = {}
+    for e, name, f, d, line in ends:
+        for i, other, f2, d2, l2 in held:
+            if name == other:
+                same = f is not None and f == f2
+                score = 100 * same + 40 * (d is not None and d == d2) + 35 * (f is not None and (f, i) in imported) + 20 * (same and None not in (line, l2) and abs(line - l2) <= 20)
+                want.setdefault(e, {}).setdefault(score, []).append(i)
+    best = {e: (max(by), by[max(by)]) for e, by in want.items()}
+    cols = "name string, file string, folder string, line int"
+    got = resolve.handlers(spark.createDataFrame(ends, f"endpoint long, {cols}"), spark.createDataFrame(held, f"id long, {cols}"), spark.createDataFrame(imported, "file string, id long"))
+    assert rows(got.fillna(-1), "endpoint", "handler", "score", "state") == sorted((e, ids[0] if len(ids) == 1 else -1, k, "resolved" if len(ids) == 1 else "ambiguous") for e, (k, ids) in best.items())
+
+
+def test_handlers_do_not_meet_namesakes_one_by_one(spark):
+    many = spark.range(250_000).select(F.col("id").alias("endpoint"), F.lit("x").alias("name"), F.lit("f").alias("file"), F.lit("d").alias("folder"), (F.col("id") % 9000).cast("int").alias("line"))
+    got = resolve.handlers(many, many.withColumnRenamed("endpoint", "id"), many.select("file", F.col("endpoint").alias("id")))
+    with within(spark, 60):
+        assert rows(got.groupBy("score", "state").count(), "score", "state", "count") == [(195, "ambiguous", 250_000)]
