@@ -9,6 +9,9 @@ from orrery.operators import ranges
 from orrery.operators.rules import top_per
 from orrery.store import Scratch
 
+#: Fixed value: the most rows of a step that joins send to all executors.
+FEW = 50_000
+
 
 def scopes(calls: DataFrame, own: DataFrame, shared: DataFrame) -> DataFrame:
     """file, name, target, scope of each call: the file's symbol, else its folder's if that is one only.
@@ -125,26 +128,34 @@ def call_arguments(calls: DataFrame, most: int = 12) -> DataFrame:
 def reexports(own: DataFrame, star: DataFrame, depth: int | None = None, bound: int = 10_000) -> DataFrame:
     """module, name, origin, state (J4, G14): names that star exports pass on, until nothing changes, or within `depth` steps if given.
 
-    own: module, name; star: module, from. An own name shadows a star's; `default` is never passed on;
-    cycles end since a known (module, name, origin) is not new; several origins are ambiguous. Past `bound` steps it raises.
+    own: module, name; star: module, from. An own name shadows a star's; `default` is never passed on; several origins are
+    ambiguous. Past `bound` steps it raises. A (module, name) has no origin yet, one, or several, and which ones they are
+    makes no difference then: it goes on at most twice, so cycles end, and the work does not grow with the origins of a name.
     """
-    scratch = Scratch(own.sparkSession, "reexports")
-    mine, star = own.select("module", "name").distinct(), star.select("module", "from").distinct()
-    front = scratch.write(mine.withColumn("origin", F.col("module")), "step-0")
-    seen = front
-    k = 0
+    spark = own.sparkSession
+    scratch, keys = Scratch(spark, "reexports"), ["module", "name"]
+    star = scratch.write(star.select("module", "from").distinct(), "star")
+    front = scratch.write(own.select(*keys).distinct().select(*keys, F.col("module").alias("origin"), F.lit(False).alias("many"), F.lit(True).alias("settled")), "steps/0")
+    steps = lambda: spark.read.schema(front.schema).option("recursiveFileLookup", "true").parquet(f"{scratch.base}/steps")
+    few = lambda df, n: F.broadcast(df) if n <= FEW else df
+    k, n = 0, front.count()
     while depth is None or k < depth:
         k += 1
         if k > bound:
             raise RuntimeError(f"star exports still pass names on after {bound} steps")
-        more = front.where("name <> 'default'").withColumnRenamed("module", "from").join(star, "from").select("module", "name", "origin").distinct()
-        more = more.join(mine, ["module", "name"], "left_anti").join(seen, ["module", "name", "origin"], "left_anti")
-        front = scratch.write(more, f"step-{k}")
-        if not front.limit(1).count():
+        passed = few(front.where("name <> 'default'").select(F.col("module").alias("from"), "name", "origin", "many"), n)
+        got = passed.join(star, "from").groupBy(*keys).agg(F.min("origin").alias("origin"), (F.max("many") | (F.min("origin") < F.max("origin"))).alias("many"))
+        got = scratch.write(got, f"got-{k}")
+        old = steps().join(few(got.select(*keys), got.count()), keys).groupBy(*keys).agg(F.max("settled").alias("done"), F.min("origin").alias("was"))
+        news = got.join(old, keys, "left").where("done is null or (not done and (many or origin <> was))")
+        many = F.col("many") | F.col("done").isNotNull()
+        front = scratch.write(news.select(*keys, F.when(~many, F.col("origin")).alias("origin"), many.alias("many"), many.alias("settled")), f"steps/{k}")
+        scratch.drop(f"got-{k}")
+        n = front.count()
+        if not n:
             break
-        seen = seen.unionByName(front)
-    n = seen.groupBy("module", "name").agg(F.count("*").alias("n"), F.min("origin").alias("origin"))
-    return n.select("module", "name", F.when(F.col("n") == 1, F.col("origin")).alias("origin"), F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("state"))
+    end = steps().groupBy(*keys).agg(F.max("many").alias("many"), F.min("origin").alias("origin"))
+    return end.select(*keys, F.when(~F.col("many"), F.col("origin")).alias("origin"), F.when(F.col("many"), "ambiguous").otherwise("resolved").alias("state"))
 
 
 def wrappers(calls: DataFrame) -> DataFrame:

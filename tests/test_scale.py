@@ -101,3 +101,31 @@ def test_handlers_do_not_meet_namesakes_one_by_one(spark):
     got = resolve.handlers(many, many.withColumnRenamed("endpoint", "id"), many.select("file", F.col("endpoint").alias("id")))
     with within(spark, 60):
         assert rows(got.groupBy("score", "state").count(), "score", "state", "count") == [(195, "ambiguous", 250_000)]
+
+
+def test_reexports_against_enumeration_and_stars_are_read_once(spark):
+    r = random.Random(5)
+    own = {(f"m{r.randrange(14)}", r.choice(["x", "y", "default"])) for _ in range(16)}
+    star = {(f"m{r.randrange(14)}", f"m{r.randrange(14)}") for _ in range(22)}
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    mine = spark.createDataFrame(sorted(own), "module string, name string")
+    stars = spark.createDataFrame(sorted(star), "`module` string, `from` string").withColumn("from", seen("from"))
+    for depth in (2, None):
+        found, front, k = {(m, n, m) for m, n in own}, {(m, n, m) for m, n in own}, 0
+        while front and (depth is None or k < depth):
+            k += 1
+            front = {(m, n, o) for f, n, o in front if n != "default" for m, g in star if f == g and (m, n) not in own} - found
+            found |= front
+        want = {}
+        for m, n, o in found:
+            want.setdefault((m, n), []).append(o)
+        got = rows(resolve.reexports(mine, stars, depth).fillna(""), "module", "name", "origin", "state")
+        assert got == sorted((m, n, *((os[0], "resolved") if len(os) == 1 else ("", "ambiguous"))) for (m, n), os in want.items())
+        assert {x[3] for x in got} == {"resolved", "ambiguous"}
+    assert read.value == 2 * len(star)
