@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.paths import glob_regex
+from orrery.functions.paths import glob_regex, module_of
 
 
 def boundary(file_pairs: DataFrame, forbidden: list[tuple[str, str]]) -> DataFrame:
@@ -32,11 +32,23 @@ def over_budget(values: DataFrame, budgets: dict[str, float]) -> DataFrame:
     return values.select("id", F.explode(hits).alias("h")).select("id", "h.budget", "h.value")
 
 
-def fitness(pairs: DataFrame) -> DataFrame:
-    """module, cohesion, boundary_ratio from distinct (from_file, to_file, from_module, to_module)."""
-    p = pairs.select("from_file", "to_file", "from_module", "to_module").distinct()
-    both = p.select(F.col("from_module").alias("module"), (F.col("from_module") == F.col("to_module")).alias("own")).unionAll(p.where("from_module <> to_module").select("to_module", F.lit(False)))
-    agg = both.groupBy("module").agg(F.count(F.when(F.col("own"), 1)).alias("internal"), F.count(F.when(~F.col("own"), 1)).alias("boundary"))
+def fitness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """module, internal, boundary, cohesion, boundary_ratio from the distinct pairs of files that edges join.
+
+    edges: source, target; nodes: id, file. The least id of a file stands for it. Pairs are made distinct where the edges of a
+    target are together, so only those that lead to files of several nodes are shuffled once more; the rest go on as counts of modules.
+    """
+    file = W.partitionBy("file")
+    n = nodes.select("id", "file").select("id", module_of(F.col("file")).alias("module"), F.min("id").over(file).alias("least"), F.max("id").over(file).alias("most"))
+    src = n.select(F.col("id").alias("source"), F.col("least").alias("f"), F.col("module").alias("from_module"))
+    dst = n.select(F.col("id").alias("target"), F.col("module").alias("to_module"), F.when(F.col("least") < F.col("most"), F.col("least")).alias("shared"))
+    met = edges.select("source", "target").join(src, "source").drop("source").join(dst, "target").distinct()
+    once = met.groupBy("from_module", "to_module", "shared", F.when(F.col("shared").isNotNull(), F.col("f")).alias("f")).agg(F.count("*").alias("n"))
+    p = once.groupBy("from_module", "to_module").agg(F.sum(F.when(F.col("shared").isNull(), F.col("n")).otherwise(1)).alias("n"))
+    ends = F.array(F.struct(F.col("from_module").alias("module"), (F.col("from_module") == F.col("to_module")).alias("own")), F.when(F.col("from_module") != F.col("to_module"), F.struct(F.col("to_module").alias("module"), F.lit(False).alias("own"))))
+    both = p.select(F.explode(F.array_compact(ends)).alias("e"), "n")
+    summed = lambda held: F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0))
+    agg = both.groupBy("e.module").agg(summed(F.col("e.own")).alias("internal"), summed(~F.col("e.own")).alias("boundary"))
     total = F.col("internal") + F.col("boundary")
     return agg.select("module", "internal", "boundary", F.round(F.col("internal") / total, 4).alias("cohesion"), F.round(F.col("boundary") / total, 4).alias("boundary_ratio"))
 

@@ -200,7 +200,7 @@ def rules_budgets(spark, d):
 @query(G + f", p as (select distinct a.file as ff, b.file as tf, a.module as fm, b.module as tm from edges join f a on a.id = source join f b on b.id = target where {SEM}), u as (select fm as module, fm = tm as own from p union all select tm, false from p where fm <> tm), g as (select module, count(*) filter (where own) as internal, count(*) filter (where not own) as boundary from u group by 1) select module, internal, boundary, round(internal / (internal + boundary), 4) as cohesion, round(boundary / (internal + boundary), 4) as boundary_ratio from g")
 def rules_fitness(spark, d):
     """A30, A31, R3"""
-    return rules.fitness(rollup.with_files(rollup.semantic(edges(spark, d)), nodes(spark, d)))
+    return rules.fitness(rollup.semantic(edges(spark, d)), nodes(spark, d))
 
 
 @query("select p_partkey as id, concat_ws(',', case when p_size >= 40 then 'p_size:HIGH' when p_size >= 25 then 'p_size:WARNING' end, case when p_retailprice >= 1800 then 'p_retailprice:HIGH' when p_retailprice >= 1400 then 'p_retailprice:WARNING' end) as breaches, case when p_size >= 40 or p_retailprice >= 1800 then 'high' else 'medium' end as severity from part where p_size >= 25 or p_retailprice >= 1400")

@@ -60,9 +60,9 @@ def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] = ("conta
         edge(t("lineitem"), key("S", "l_suppkey"), key("P", "l_partkey"), "references", no, no, F.col("l_discount") == 0, F.col("l_linenumber"), F.col("l_shipdate"))
     if "imports" in relations:
         w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        nxt = t("lineitem").select("l_partkey", F.lead("l_partkey").over(w).alias("nxt")).where("nxt is not null and nxt <> l_partkey").distinct()
+        nxt = t("lineitem").select("l_partkey", F.lead("l_partkey").over(w).alias("nxt")).where("nxt is not null and nxt <> l_partkey")
         brand = t("part").select("p_partkey", "p_brand")
-        same = nxt.join(brand, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey").withColumnRenamed("p_brand", "b").join(brand, (F.col("nxt") == F.col("p_partkey")) & (F.col("b") == F.col("p_brand")))
+        same = nxt.join(brand, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey").withColumnRenamed("p_brand", "b").join(brand, (F.col("nxt") == F.col("p_partkey")) & (F.col("b") == F.col("p_brand"))).select("l_partkey", "nxt").distinct()  # few are left here
         edge(same, key("P", "l_partkey"), key("P", "nxt"), "imports")
     out = parts[0]
     for p in parts[1:]:

@@ -1,18 +1,35 @@
 """Operators whose work must grow with their input and not with pairs: results against enumeration, and inputs that the pairs would end."""
 
+import os
 import random
 import threading
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import evidence, ranges, resolve
+from orrery.operators import evidence, ranges, resolve, rules
+from orrery.plans import CORE_QUERIES
 
 
 def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
+DATA = "/root/testdata/sf0.001"
+
+
+def shuffles(spark, name):
+    """How often a query shuffles if it may broadcast nothing of its own accord."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        return CORE_QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def within(spark, seconds):
     """Jobs that still run after so many seconds are cancelled, and the test fails."""
@@ -129,3 +146,29 @@ def test_reexports_against_enumeration_and_stars_are_read_once(spark):
         assert got == sorted((m, n, *((os[0], "resolved") if len(os) == 1 else ("", "ambiguous"))) for (m, n), os in want.items())
         assert {x[3] for x in got} == {"resolved", "ambiguous"}
     assert read.value == 2 * len(star)
+
+
+def _graph(seed):
+    r = random.Random(seed)
+    nodes = [(f"n{i}", f"{r.choice('ab')}/{r.choice('xy')}/{i // r.choice([1, 4])}") for i in range(24)]
+    edges = [(f"n{r.randrange(26)}", f"n{r.randrange(26)}", r.choice(["calls", "imports", "contains"]), r.random() < 0.3, r.random() < 0.3, r.random() < 0.2) for _ in range(150)]
+    return nodes, edges
+
+
+def test_fitness_against_enumeration_with_files_of_several_nodes(spark):
+    nodes, edges = _graph(6)
+    file, module = dict(nodes), lambda f: f.rsplit("/", 1)[0]
+    want = {}
+    for a, b in {(file[e[0]], file[e[1]]) for e in edges if e[0] in file and e[1] in file}:
+        for m in {module(a), module(b)}:
+            want.setdefault(m, [0, 0])[module(a) != module(b)] += 1
+    e = spark.createDataFrame([x[:2] for x in edges], "source string, target string")
+    got = rules.fitness(e, spark.createDataFrame(nodes, "id string, file string"))
+    assert rows(got, "module", "internal", "boundary") == sorted((m, *c) for m, c in want.items())
+    assert len({f for _, f in nodes}) < len(nodes) and any(0 not in c for c in want.values())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_fitness_shuffles_edges_by_source_and_by_target_only(spark):
+    # 8 for the graph's edges, 4 for the nodes on both sides, 2 for the edges, 3 for counts of modules
+    assert shuffles(spark, "rules_fitness") <= 17
