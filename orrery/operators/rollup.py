@@ -54,10 +54,19 @@ def counted(edges: DataFrame) -> DataFrame:
 
 
 def file_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """from_file, to_file, edge_class, n, dominant relation, ties by name (A4)."""
-    e = with_files(counted(edges), nodes).where("from_file <> to_file")
-    by = e.groupBy("from_file", "to_file", "edge_class", "relation").agg(F.sum("n").alias("count"))
-    return by.groupBy("from_file", "to_file", "edge_class").agg(F.sum("count").alias("n"), F.min(F.struct((-F.col("count")).alias("c"), "relation")).alias("top")).select("from_file", "to_file", "edge_class", "n", F.col("top.relation").alias("relation"))
+    """from_file, to_file, edge_class, n, dominant relation, ties by name (A4).
+
+    Edges are shuffled by source, counted there, and then by target. A target's counts are a file's, if no file has several
+    nodes (asked first, of the nodes alone); otherwise they are summed in one more shuffle for each of the two groupings.
+    """
+    n, cls = nodes.select("id", "file"), ["from_file", "to_file", "edge_class"]
+    e = edges.where((F.col("relation") != "contains") & ~F.col("barrel_proxy")).select("source", "target", "relation", edge_class().alias("edge_class"))
+    e = e.join(n.select(F.col("id").alias("source"), F.col("file").alias("from_file")), "source").groupBy("source", "target", "relation", "edge_class", "from_file").agg(F.count("*").alias("n"))
+    e = e.drop("source").join(n.select(F.col("id").alias("target"), F.col("file").alias("to_file")), "target").where("from_file <> to_file")
+    several = n.groupBy("file").agg((F.min("id") < F.max("id")).alias("several")).where("several").limit(1).count()
+    keys = cls if several else ["target", *cls]
+    by = e.groupBy(*keys, "relation").agg(F.sum("n").alias("count"))
+    return by.groupBy(*keys).agg(F.sum("count").alias("n"), F.min(F.struct((-F.col("count")).alias("c"), "relation")).alias("top")).select(*cls, "n", F.col("top.relation").alias("relation"))
 
 
 def module_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import evidence, ranges, resolve, rules
+from orrery.operators import evidence, ranges, resolve, rollup, rules
 from orrery.plans import CORE_QUERIES
 
 
@@ -172,3 +172,23 @@ def test_fitness_against_enumeration_with_files_of_several_nodes(spark):
 def test_fitness_shuffles_edges_by_source_and_by_target_only(spark):
     # 8 for the graph's edges, 4 for the nodes on both sides, 2 for the edges, 3 for counts of modules
     assert shuffles(spark, "rules_fitness") <= 17
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_file_edges_against_enumeration_with_and_without_files_of_several_nodes(spark, alone):
+    nodes, edges = _graph(7)
+    nodes = [(i, f"{f}/{i}") for i, f in nodes] if alone else nodes
+    file, want = dict(nodes), {}
+    for a, b, relation, t, c, proxy in edges:
+        if a in file and b in file and relation != "contains" and not proxy and file[a] != file[b]:
+            by = want.setdefault((file[a], file[b], "type" if t else "compile" if c else "runtime"), {})
+            by[relation] = by.get(relation, 0) + 1
+    cols = "source string, target string, relation string, type_only boolean, compile_only boolean, barrel_proxy boolean"
+    got = rollup.file_edges(spark.createDataFrame(edges, cols), spark.createDataFrame(nodes, "id string, file string"))
+    assert rows(got, "from_file", "to_file", "edge_class", "n", "relation") == sorted((*k, sum(by.values()), min(by, key=lambda r: (-by[r], r))) for k, by in want.items())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_file_edges_shuffle_edges_by_source_and_by_target_only(spark):
+    # 8 for the graph's edges, 2 for the nodes on both sides, 2 for the edges
+    assert shuffles(spark, "rollup_file_edges") <= 12
